@@ -40,35 +40,31 @@ def method_id(name: Column, package: Column) -> Column:
     return named_id(name, package)
 
 
-def align_positions(
-    old_nodes: DataFrame, new_nodes: DataFrame, scope: Sequence[str] = SCOPE, type_corr: DataFrame | None = None
-) -> DataFrame:
-    """Nodes of both trees by position, with ``type_differs`` and the field facts that differ.
+def align_positions(sided: DataFrame, scope: Sequence[str] = SCOPE, type_corr: DataFrame | None = None) -> DataFrame:
+    """Nodes of both sides by position, with ``type_differs`` and the field facts that differ.
 
     Channel directions below the top never differ; see the type rules for the top. ``type_corr`` maps own
     named types of the old side; without it they correspond by name.
     """
-    old_nodes = old_nodes.withColumn("corr_id", named_id(F.col("label"), F.col("named_pkg")))
+    sided = sided.withColumn("corr_id", named_id(F.col("label"), F.col("named_pkg")))
     if type_corr is not None:
         mapped = type_corr.select(
-            *scope, F.col("old_name").alias("label"), F.lit("").alias("named_pkg"),
+            *scope, F.lit("old").alias("side"), F.col("old_name").alias("label"), F.lit("").alias("named_pkg"),
             F.struct("new_kind", "new_name").alias("maps_to"),
         )
-        old_nodes = old_nodes.join(mapped, [*scope, "label", "named_pkg"], "left")
-    else:
-        old_nodes = old_nodes.withColumn("maps_to", F.lit(None).cast("struct<new_kind:string,new_name:string>"))
-    new_nodes = new_nodes.withColumn("corr_id", named_id(F.col("label"), F.col("named_pkg"))).withColumn(
-        "maps_to", F.lit(None).cast("struct<new_kind:string,new_name:string>")
-    )
-    nodes = align(old_nodes, new_nodes, [*scope, "root", "part", "path"], [*NODE_COLUMNS, "corr_id", "maps_to"])
-    return nodes.withColumns(_differences())
+        sided = sided.join(mapped, [*scope, "side", "label", "named_pkg"], "left")
+    nodes = align(sided, [*scope, "root", "part", "path"], [*NODE_COLUMNS, "corr_id", "maps_to"])
+    return nodes.withColumns(_differences("old_maps_to" in nodes.columns))
+
 
+def _differences(mapped: bool) -> dict[str, Column]:
+    def old(column):
+        return F.col("old_" + column)
+
+    def new(column):
+        return F.col("new_" + column)
 
-def _differences() -> dict[str, Column]:
-    old, new = (lambda c: F.col("old_" + c)), (lambda c: F.col("new_" + c))
     same_kind = old("node_kind") == new("node_kind")
-    mapped = old("maps_to").isNotNull() & (old("node_kind") == "named")
-    by_map = (new("node_kind") == old("maps_to")["new_kind"]) & (new("label") == old("maps_to")["new_name"])
     by_kind = same_kind & (
         F.when(old("node_kind") == "basic", old("label") == new("label"))
         .when(old("node_kind") == "named", old("corr_id") == new("corr_id"))
@@ -76,6 +72,11 @@ def _differences() -> dict[str, Column]:
         .when(old("node_kind") == "signature", old("variadic").eqNullSafe(new("variadic")))
         .otherwise(True)
     )
+    corresponds = by_kind
+    if mapped:
+        target = old("maps_to")
+        by_map = (new("node_kind") == target["new_kind"]) & (new("label") == target["new_name"])
+        corresponds = F.when((old("node_kind") == "named") & target.isNotNull(), by_map).otherwise(by_kind)
     paired = F.col("in_old") & F.col("in_new")
     # An unexported embedded named field goes by its type; every other field by its name.
     by_type = (
@@ -83,7 +84,7 @@ def _differences() -> dict[str, Column]:
         & ~is_exported(old("field_name")) & ~is_exported(new("field_name"))
     )
     return {
-        "type_differs": ~(paired & F.coalesce(F.when(mapped, by_map).otherwise(by_kind), F.lit(False))),
+        "type_differs": ~(paired & F.coalesce(corresponds, F.lit(False))),
         "embedded_differs": paired & ~old("embedded").eqNullSafe(new("embedded")),
         "tag_differs": paired & (F.coalesce(old("struct_tag"), F.lit("")) != F.coalesce(new("struct_tag"), F.lit(""))),
         "name_differs": paired
@@ -92,14 +93,12 @@ def _differences() -> dict[str, Column]:
     }
 
 
-def compare_types(
-    old_nodes: DataFrame, new_nodes: DataFrame, scope: Sequence[str] = SCOPE, type_corr: DataFrame | None = None
-) -> DataFrame:
+def compare_types(sided: DataFrame, scope: Sequence[str] = SCOPE, type_corr: DataFrame | None = None) -> DataFrame:
     """Whether the types at each (root, part) correspond, and the printed cause when they do not.
 
     Two aggregations over aligned nodes: per child of the top node, then per tree. No tree is gathered.
     """
-    nodes = align_positions(old_nodes, new_nodes, scope, type_corr)
+    nodes = align_positions(sided, scope, type_corr)
     tree = [*scope, "root", "part"]
     depth = F.size("path")
     slot = F.when(depth > 0, F.get("path", 0)).otherwise(-1)
@@ -174,20 +173,20 @@ def _cause() -> Column:
 
 
 def embedded_names_correspond(
-    old_nodes: DataFrame, new_nodes: DataFrame, scope: Sequence[str] = SCOPE, type_corr: DataFrame | None = None
+    sided: DataFrame, scope: Sequence[str] = SCOPE, type_corr: DataFrame | None = None
 ) -> DataFrame:
     """Field rows of both sides with ``corresponds``: by type when embedded and unexported, else by name."""
-    nodes = align_positions(old_nodes, new_nodes, scope, type_corr)
+    nodes = align_positions(sided, scope, type_corr)
     fields = nodes.filter(F.col("in_old") & F.col("in_new") & F.col("old_field_name").isNotNull())
     return fields.select(
         *scope, "root", "part", "path", "old_field_name", "new_field_name", (~F.col("name_differs")).alias("corresponds")
     )
 
 
-def align_interface_methods(old_methods: DataFrame, new_methods: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
+def align_interface_methods(methods: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
     """Per interface of both sides: counts of methods, of shared ids and of equal signatures."""
     on = [*scope, "owner"]
-    both = align(old_methods, new_methods, [*on, "method_name"], ["corr_key"])
+    both = align(methods, [*on, "method_name"], ["corr_key"])
     return both.groupBy(*on).agg(
         F.count_if("in_old").alias("n_old"),
         F.count_if("in_new").alias("n_new"),
@@ -246,7 +245,7 @@ def _ancestors(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.withColumns({"prefix": F.slice("path", F.lit(1), F.col("level")), "step": F.get("path", F.col("level"))})
 
 
-def _met_types(items: DataFrame, old_nodes: DataFrame, new_nodes: DataFrame, scope: Sequence[str]) -> DataFrame:
+def _met_types(items: DataFrame, sided: DataFrame, scope: Sequence[str]) -> DataFrame:
     """Named types that a comparison of ``items`` (old_root, new_root, pos, chain) meets, with their place.
 
     Below a pair of different kinds or counts nothing is met, nor after the first child that differs in
@@ -255,9 +254,10 @@ def _met_types(items: DataFrame, old_nodes: DataFrame, new_nodes: DataFrame, sco
     keys = [*scope, "old_root", "part"]
     place = ["pos", "chain"]
     facts = ["node_kind", "label", "named_pkg", "array_len", "variadic", "embedded", "struct_tag"]
-    left = items.select(*scope, "old_root").join(old_nodes.withColumnRenamed("root", "old_root"), [*scope, "old_root"])
-    right = items.select(*scope, "old_root", "new_root").join(new_nodes.withColumnRenamed("root", "new_root"), [*scope, "new_root"])
-    nodes = align(left, right, [*keys, "path"], facts)
+    old = items.select(*scope, F.lit("old").alias("side"), "old_root", F.col("old_root").alias("root"))
+    new = items.select(*scope, F.lit("new").alias("side"), "old_root", F.col("new_root").alias("root"))
+    walked = sided.join(old.unionByName(new), [*scope, "side", "root"])
+    nodes = align(walked, [*keys, "path"], facts)
 
     paired = F.col("in_old") & F.col("in_new")
     old_kind, new_kind = F.col("old_node_kind"), F.col("new_node_kind")
@@ -305,7 +305,7 @@ def _met_types(items: DataFrame, old_nodes: DataFrame, new_nodes: DataFrame, sco
 
 
 def establish_correspondence(
-    objects: DataFrame, old_nodes: DataFrame, new_nodes: DataFrame, scope: Sequence[str] = SCOPE, max_rounds: int = 100
+    objects: DataFrame, sided: DataFrame, scope: Sequence[str] = SCOPE, max_rounds: int = 100
 ) -> DataFrame:
     """Map old named types to new ones: the first pair met wins, even under a new name.
 
@@ -327,7 +327,7 @@ def establish_correspondence(
         *scope, F.col("obj_name").alias("old_root"), F.col("obj_name").alias("new_root"),
         F.array("obj_name").alias("pos"), empty.alias("chain"),
     )
-    direct = materialize(types.unionByName(_met_types(others, old_nodes, new_nodes, scope)).select(*columns), "direct")
+    direct = materialize(types.unionByName(_met_types(others, sided, scope)).select(*columns), "direct")
 
     def winners(candidates: DataFrame) -> DataFrame:
         best = F.min(F.struct("pos", "new_kind", "new_name", "chain")).alias("w")
@@ -339,7 +339,7 @@ def establish_correspondence(
             *scope, F.col("old_name").alias("old_root"), F.col("new_name").alias("new_root"), "pos",
             F.concat("chain", F.array("old_name")).alias("chain"),
         )
-        derived = _met_types(items, old_nodes, new_nodes, scope)
+        derived = _met_types(items, sided, scope)
         # A type is never entered again from within itself.
         derived = derived.filter(~F.array_contains("chain", F.col("old_name")))
         following = materialize(winners(direct.unionByName(derived.select(*columns))), "mapping")

@@ -13,12 +13,32 @@ from apidrift.operators.messages import emit, message
 SCOPE = ("pair_id", "pkg_name")
 
 
-def align(old: DataFrame, new: DataFrame, on: Sequence[str], columns: Sequence[str], how: str = "full_outer") -> DataFrame:
-    """Rows of both sides side by side: ``old_*``, ``new_*`` and the flags ``in_old``, ``in_new``."""
-    on = list(on)
-    left = old.select(*on, *[F.col(c).alias("old_" + c) for c in columns if c in old.columns], F.lit(True).alias("in_old"))
-    right = new.select(*on, *[F.col(c).alias("new_" + c) for c in columns if c in new.columns], F.lit(True).alias("in_new"))
-    return left.join(right, on, how).fillna(False, ["in_old", "in_new"])
+def both_sides(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Two tables as one with a ``side`` column, the form in which differences are taken."""
+    return old.withColumn("side", F.lit("old")).unionByName(new.withColumn("side", F.lit("new")), allowMissingColumns=True)
+
+
+def align(sided: DataFrame, on: Sequence[str], columns: Sequence[str], matched: bool = False) -> DataFrame:
+    """Rows of both sides next to each other: ``old_*``, ``new_*`` and the flags ``in_old``, ``in_new``.
+
+    A row is unique per side and key, so one grouping does the work of a full outer join: the table is
+    read and shuffled once, and no key can collect more than two rows. ``matched`` keeps pairs only.
+    """
+    columns = [c for c in columns if c in sided.columns]
+    facts = F.struct(F.lit(True).alias("_present"), *columns)
+    grouped = sided.groupBy(*on).agg(
+        F.max(F.when(F.col("side") == "old", facts)).alias("_old"),
+        F.max(F.when(F.col("side") == "new", facts)).alias("_new"),
+    )
+    if matched:
+        grouped = grouped.filter(F.col("_old").isNotNull() & F.col("_new").isNotNull())
+    return grouped.select(
+        *on,
+        *[F.col("_old")[c].alias("old_" + c) for c in columns],
+        *[F.col("_new")[c].alias("new_" + c) for c in columns],
+        F.col("_old").isNotNull().alias("in_old"),
+        F.col("_new").isNotNull().alias("in_new"),
+    )
 
 
 # Outcome of a comparison of type trees, when the new side brings it.
@@ -26,14 +46,14 @@ COMPARISON = ("corresponds", "type_cause")
 
 
 def with_comparison(
-    new: DataFrame, comparison: DataFrame, scope: Sequence[str], owner: str, part: str | None = None
+    sided: DataFrame, comparison: DataFrame, scope: Sequence[str], owner: str, part: str | None = None
 ) -> DataFrame:
-    """Attach the outcome for (root, part) to new-side rows; rows without a tree keep NULL."""
+    """Attach the outcome for (root, part); rows without a tree keep NULL."""
     outcome = comparison if part else comparison.filter("part = ''").drop("part")
     outcome = outcome.withColumnRenamed("root", owner)
     if part:
         outcome = outcome.withColumnRenamed("part", part)
-    return new.join(outcome, [*scope, owner, *([part] if part else [])], "left")
+    return sided.join(outcome, [*scope, owner, *([part] if part else [])], "left")
 
 
 def type_differs(aligned: DataFrame, key: str = "corr_key") -> Column:
@@ -46,10 +66,20 @@ def type_cause(aligned: DataFrame, default: Column) -> Column:
     return F.coalesce(F.col("new_type_cause"), default) if "new_type_cause" in aligned.columns else default
 
 
-def side_of(pairs: DataFrame, table: DataFrame, side: str) -> DataFrame:
-    """``table`` rows of the old or new release of every pair, keyed by ``pair_id``."""
-    keys = pairs.select("pair_id", F.col(f"{side}_rel").alias("rel_id"))
-    return table.join(keys, "rel_id").drop("rel_id")
+def sides_of(pairs: DataFrame) -> DataFrame:
+    """The old and the new release of every pair as two rows."""
+    side = F.explode(
+        F.array(
+            F.struct(F.lit("old").alias("side"), F.col("old_rel").alias("rel_id")),
+            F.struct(F.lit("new").alias("side"), F.col("new_rel").alias("rel_id")),
+        )
+    )
+    return pairs.select("pair_id", side.alias("s")).select("pair_id", "s.*")
+
+
+def on_both_sides(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """``table`` rows once for every pair and side their release takes part in."""
+    return table.join(sides_of(pairs), "rel_id").drop("rel_id")
 
 
 def packages_by_name(packages: DataFrame) -> DataFrame:
@@ -62,8 +92,7 @@ def diff_packages(pairs: DataFrame, packages: DataFrame) -> DataFrame:
 
     ``packages`` has one row per release and name, white-listed ones already dropped.
     """
-    old, new = side_of(pairs, packages, "old"), side_of(pairs, packages, "new")
-    aligned = align(old, new, SCOPE, ["pkg_path"])
+    aligned = align(on_both_sides(pairs, packages), SCOPE, ["pkg_path"])
     blank = F.lit("")
     return aligned.select(
         *SCOPE,
@@ -84,16 +113,16 @@ def package_changes(package_pairs: DataFrame, scope: Sequence[str] = SCOPE) -> D
     return emit(package_pairs.filter(status != "both"), scope, [F.when(status == "deleted", gone), F.when(status == "added", come)])
 
 
-def diff_objects(old: DataFrame, new: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
+def diff_objects(sided: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
     """Exported objects of both sides by name."""
     columns = ["obj_kind", "type_kind", "type_str", "corr_key", "const_val", "const_known", *COMPARISON]
-    return align(old.filter("exported"), new.filter("exported"), [*scope, "obj_name"], columns)
+    return align(sided.filter("exported"), [*scope, "obj_name"], columns)
 
 
 def check_objects(aligned: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
     """Rule rows of objects: removed, added, kind, type and constant value.
 
-    Types are compared by ``corr_key`` unless the new rows bring the outcome of a comparison of the trees.
+    Types are compared by ``corr_key`` unless the rows bring the outcome of a comparison of the trees.
     Named types that exist on both sides are left to the type rules.
     """
     name = F.col("obj_name")

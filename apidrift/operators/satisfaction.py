@@ -14,70 +14,61 @@ from pyspark.sql import functions as F
 
 from apidrift.operators.diff import SCOPE
 from apidrift.operators.messages import emit, message
+from apidrift.session import materialize
 
 
-def no_longer_implements(
-    types: DataFrame, old_methods: DataFrame, new_methods: DataFrame, scope: Sequence[str] = SCOPE
-) -> DataFrame:
-    """(type, interface) pairs where the old type implements the old interface, the new one not the new.
+def no_longer_implements(types: DataFrame, methods: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
+    """(type ``owner``, interface ``face``) where the old type implements the old interface, the new not the new.
 
-    ``types`` holds corresponding types (``owner``, kinds of both sides); methods carry ``owner``,
-    ``method_name``, ``corr_key`` and ``in_value_set`` under the old owner names. Only value method sets
-    count. An interface without methods is implemented by every type.
+    ``types`` holds corresponding types with the kinds of both sides; ``methods`` are rows of both sides
+    under the old owner names. Value method sets count, an interface's being all of it. An interface
+    without methods is implemented by every type.
     """
     scope = list(scope)
     sig = ["method_name", "corr_key"]
-    member = [*scope, "owner"]
-    faces = types.filter((F.col("old_underlying_kind") == "interface") & (F.col("new_underlying_kind") == "interface")).select(*member)
-    facts = types.select(*member, F.col("new_underlying_kind").alias("kind"))
-    # An interface's own method set is all of it; other types bring their value set.
-    own = [*member, *sig]
-    old_face = old_methods.join(faces, member, "left_semi").select(*own).distinct()
-    new_face = new_methods.join(faces, member, "left_semi").select(*own).distinct()
-    old_side = old_methods.filter("in_value_set").select(*own).unionByName(old_face).distinct()
-    new_side = new_methods.filter("in_value_set").select(*own).unionByName(new_face).distinct()
-
-    gained = new_face.join(old_face, own, "left_anti").select(*member).distinct().withColumnRenamed("owner", "face")
-    lost = old_side.join(new_side, own, "left_anti").join(facts.select(*member), member, "left_semi").select(*own)
-
-    # Lead method of every old interface: the one with the fewest old owners.
-    owners = old_side.groupBy(*scope, *sig).agg(F.count(F.lit(1)).alias("n_owners"))
-    shape = (
-        old_face.join(owners, [*scope, *sig])
-        .groupBy(*member)
-        .agg(F.count(F.lit(1)).alias("n_methods"), F.min(F.struct("n_owners", *sig)).alias("lead"))
-        .select(*scope, F.col("owner").alias("face"), "n_methods", *[F.col("lead")[c].alias(c) for c in sig])
+    old_kind, new_kind = F.col("old_underlying_kind"), F.col("new_underlying_kind")
+    facts = types.select(
+        *scope, "owner", ((old_kind == "interface") & (new_kind == "interface")).alias("is_face"), new_kind.alias("kind")
+    )
+    held = (
+        methods.join(facts, [*scope, "owner"])
+        .filter(F.col("in_value_set") | F.col("is_face"))
+        .groupBy(*scope, "owner", "is_face", "kind", *sig)
+        .agg(F.max(F.col("side") == "old").alias("in_old"), F.max(F.col("side") == "new").alias("in_new"))
+    )
+    held = materialize(held, "methods")
+    holders = held.select(*scope, "owner", *sig, "in_old", "in_new")
+    demands = held.filter("is_face").select(
+        *scope, F.col("owner").alias("face"), *sig, F.col("in_old").alias("was_asked"), F.col("in_new").alias("is_asked")
     )
-    required = old_face.withColumnRenamed("owner", "face")
+    faces = demands.groupBy(*scope, "face").agg(
+        F.max("was_asked").alias("had_methods"), F.max(~F.col("was_asked") & F.col("is_asked")).alias("gained")
+    )
+    grown = faces.filter("gained").select(*scope, "face", "had_methods")
     pair = [*scope, "owner", "face"]
 
-    # Interfaces that gained a method: every owner of the lead method is a candidate.
-    by_face = shape.join(gained, [*scope, "face"], "left_semi").join(old_side, [*scope, *sig]).select(*pair)
-    # The other interfaces matter only to types that lost one of their methods.
-    by_type = lost.join(required, [*scope, *sig]).select(*pair).distinct()
-    by_type = by_type.join(gained, [*scope, "face"], "left_anti")
-    candidates = by_face.unionByName(by_type).filter(F.col("owner") != F.col("face"))
+    # Interfaces that gained a method: whoever holds the old method with the fewest holders may break.
+    asked = demands.filter("was_asked").join(grown, [*scope, "face"], "left_semi").select(*scope, "face", *sig)
+    n_holders = holders.filter("in_old").groupBy(*scope, *sig).agg(F.count(F.lit(1)).alias("n_holders"))
+    lead = asked.join(n_holders, [*scope, *sig]).groupBy(*scope, "face").agg(F.min(F.struct("n_holders", *sig)).alias("lead"))
+    lead = lead.select(*scope, "face", *[F.col("lead")[c].alias(c) for c in sig])
+    by_face = lead.join(holders.filter("in_old"), [*scope, *sig]).select(*pair)
+    # Grown interfaces that had no methods: every other type may break.
+    by_void = grown.filter("not had_methods").select(*scope, "face").join(facts.select(*scope, "owner"), scope).select(*pair)
+    # Any interface: a type that lost one of its methods breaks.
+    lost = holders.filter("in_old and not in_new").select(*scope, "owner", *sig)
+    by_type = lost.join(demands.filter("was_asked"), [*scope, *sig]).select(*pair)
+    candidates = by_face.unionByName(by_void).unionByName(by_type).filter(F.col("owner") != F.col("face")).distinct()
 
-    matched = (
-        candidates.join(required, [*scope, "face"])
-        .join(old_side, [*scope, "owner", *sig])
+    met_old, met_new = F.coalesce("in_old", F.lit(False)), F.coalesce("in_new", F.lit(False))
+    verdict = (
+        candidates.join(demands, [*scope, "face"])
+        .join(holders, [*scope, "owner", *sig], "left")
         .groupBy(*pair)
-        .agg(F.count(F.lit(1)).alias("n_matched"))
-    )
-    implemented = matched.join(shape.select(*scope, "face", "n_methods"), [*scope, "face"]).filter("n_matched = n_methods").select(*pair)
-    # Old interfaces without methods that gained some: every corresponding type implemented them.
-    empty = gained.join(shape.select(*scope, "face"), [*scope, "face"], "left_anti")
-    implied = empty.join(facts.select(*member), scope).filter(F.col("owner") != F.col("face")).select(*pair)
-    implemented = implemented.unionByName(implied)
-
-    wanted = new_face.withColumnRenamed("owner", "face")
-    broken = (
-        implemented.join(wanted, [*scope, "face"])
-        .join(new_side, [*scope, "owner", *sig], "left_anti")
-        .select(*pair)
-        .distinct()
+        .agg(F.bool_and(~F.col("was_asked") | met_old).alias("did"), F.bool_and(~F.col("is_asked") | met_new).alias("does"))
     )
-    return broken.join(facts, member)
+    broken = verdict.filter("did and not does").select(*pair)
+    return broken.join(facts.select(*scope, "owner", "kind"), [*scope, "owner"])
 
 
 def satisfaction_changes(broken: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:

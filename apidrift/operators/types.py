@@ -50,30 +50,29 @@ def basic_widening(aligned: DataFrame) -> DataFrame:
     return aligned.join(F.broadcast(pairs), on, "left").drop("old_basic", "new_basic").fillna(False, ["widening"])
 
 
-def align_types(old: DataFrame, new: DataFrame, scope: Sequence[str] = SCOPE, type_corr: DataFrame | None = None) -> DataFrame:
+def align_types(sided: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
     """Corresponding named types side by side, keyed by the old name ``owner``.
 
-    Without ``type_corr`` types correspond by name; with it, by its ``old_name`` -> ``new_name`` rows.
+    Types correspond by name; see ``under_old_names`` for types that were renamed.
     """
-    old = old.withColumnRenamed("type_name", "owner")
-    new = new.withColumnRenamed("type_name", "owner")
-    if type_corr is not None:
-        new = renamed_to_old(new, type_corr, scope)
-        old = old.join(type_corr.select(*scope, F.col("old_name").alias("owner")), [*scope, "owner"], "left_semi")
-    return align(old, new, [*scope, "owner"], [*TYPE_COLUMNS, *COMPARISON], "inner")
+    named = sided.withColumnRenamed("type_name", "owner")
+    return align(named, [*scope, "owner"], [*TYPE_COLUMNS, *COMPARISON], matched=True)
 
 
-def renamed_to_old(new: DataFrame, type_corr: DataFrame, scope: Sequence[str], column: str = "owner") -> DataFrame:
-    """New-side rows under the old name of the type they belong to."""
-    names = type_corr.select(*scope, F.col("new_name").alias(column), "old_name")
-    return new.join(names, [*scope, column]).drop(column).withColumnRenamed("old_name", column)
+def under_old_names(sided: DataFrame, type_corr: DataFrame, scope: Sequence[str], column: str = "owner") -> DataFrame:
+    """Rows of mapped types only, those of the new side under the old name of their type."""
+    old = type_corr.select(*scope, F.lit("old").alias("side"), F.col("old_name").alias(column), "old_name")
+    new = type_corr.select(*scope, F.lit("new").alias("side"), F.col("new_name").alias(column), "old_name")
+    names = old.unionByName(new)
+    return sided.join(names, [*scope, "side", column]).drop(column).withColumnRenamed("old_name", column)
 
 
-def with_basic_targets(new_types: DataFrame, type_corr: DataFrame) -> DataFrame:
-    """New-side types plus a stand-in row for every basic type that an old named type was mapped to."""
+def with_basic_targets(sided: DataFrame, type_corr: DataFrame) -> DataFrame:
+    """Types plus a new-side row for every basic type that an old named type was mapped to."""
     scope = [c for c in type_corr.columns if c not in ("old_name", "new_kind", "new_name", "pos")]
     basics = type_corr.filter("new_kind = 'basic'").select(
         *scope,
+        F.lit("new").alias("side"),
         F.col("new_name").alias("type_name"),
         F.lit("basic").alias("underlying_kind"),
         F.col("new_name").alias("underlying_corr_key"),
@@ -81,7 +80,7 @@ def with_basic_targets(new_types: DataFrame, type_corr: DataFrame) -> DataFrame:
         F.lit(True).alias("comparable"),
         F.col("new_name").alias("basic_name"),
     )
-    return new_types.unionByName(basics.distinct(), allowMissingColumns=True)
+    return sided.unionByName(basics.distinct(), allowMissingColumns=True)
 
 
 def _type_row(text: Column, changed_type: Column, compatible: bool, cause: str, step: int, part: Column | None = None) -> Column:
@@ -160,88 +159,75 @@ def unambiguous_fields(level: DataFrame, keys: Sequence[str]) -> DataFrame:
     return once.filter("_n = 1").select(*keys, "field_name", *[F.col("_f")[c].alias(c) for c in rest])
 
 
-def exported_selectable_fields(fields: DataFrame, scope: Sequence[str], max_depth: int | None = None) -> DataFrame:
-    """Exported fields reachable by selection, those of embedded structs included.
+def exported_selectable_fields(fields: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Exported fields reachable by selection, those of embedded structs included, with their ``depth``.
 
-    One pass per embedding depth: ``field_name`` must be unambiguous at its depth, a shallower name wins,
-    and a struct met at this depth or above is not entered again. ``embedded_owner`` names the struct behind
-    an embedded field (or behind its pointer). The loop ends when no embedded struct is left; ``max_depth``
-    ends it earlier and raises nothing, for callers that want the first levels only.
+    One pass per embedding depth: a name must be unambiguous at its depth, a shallower one wins, and a
+    struct met at this depth or above is not entered again. ``embedded_owner`` names the struct behind an
+    embedded field (or behind its pointer). The passes end when no embedded struct is left.
     """
     root = [*scope, "root"]
-    facts = [c for c in ("type_str", "type_kind", "corr_key", "embedded", "embedded_owner", "exported") if c in fields.columns]
-    members = fields.select(*scope, "owner", "field_name", *facts)
-    level = members.withColumn("root", F.col("owner"))
-    taken = None
+    facts = [c for c in ("type_str", "type_kind", "corr_key", *COMPARISON) if c in fields.columns]
+    follow = ["embedded", "embedded_owner", "exported"]
+    members = fields.select(*scope, "owner", "field_name", *facts, *follow)
+    # A struct has no name twice, so nothing is ambiguous at the top.
+    clear = members.withColumn("root", F.col("owner")).drop("owner")
+    found = clear.filter("exported").withColumn("depth", F.lit(0))
+    entered = members.select(*scope, F.col("owner").alias("root"), "owner").distinct()
     depth = 0
-    entered = members.select(*scope, "owner").distinct().withColumn("root", F.col("owner"))
     while True:
-        clear = unambiguous_fields(level.drop("owner"), root)
-        found = clear.filter("exported").withColumn("depth", F.lit(depth))
-        if taken is not None:
-            found = found.join(taken.select(*root, "field_name"), [*root, "field_name"], "left_anti")
-            taken = taken.unionByName(found)
-        else:
-            taken = found
-        if max_depth is not None and depth >= max_depth:
-            break
         # Two embedded fields may lead to one struct; each occurrence counts, so no distinct here.
         inner = clear.filter("embedded").select(*root, F.col("embedded_owner").alias("owner"))
         inner = inner.join(entered, [*root, "owner"], "left_anti")
-        next_level = materialize(inner.join(members, [*scope, "owner"]), "embedding")
-        if next_level.isEmpty():
+        level = materialize(inner.join(members, [*scope, "owner"]), "embedding")
+        if level.isEmpty():
             break
-        taken = materialize(taken, "selectable")
-        entered = entered.unionByName(next_level.select(*root, "owner").distinct())
-        level = next_level
         depth += 1
-    return taken.select(*scope, F.col("root").alias("owner"), "field_name", "depth", *facts)
+        clear = unambiguous_fields(level.drop("owner"), root)
+        found = found.unionByName(clear.filter("exported").withColumn("depth", F.lit(depth)))
+        entered = entered.unionByName(level.select(*root, "owner").distinct())
+    if depth == 0:
+        return found.withColumnRenamed("root", "owner").select(*scope, "owner", "field_name", "depth", *facts)
+    shallowest = found.groupBy(*root, "field_name").agg(F.min(F.struct("depth", *facts)).alias("f"))
+    return shallowest.select(
+        *scope, F.col("root").alias("owner"), "field_name", *[F.col("f")[c].alias(c) for c in ("depth", *facts)]
+    )
 
 
-def diff_fields(
-    old: DataFrame, new: DataFrame, scope: Sequence[str] = SCOPE, owners: DataFrame | None = None, step: int = 3
-) -> DataFrame:
-    """Rule rows of two field sets by name: removed, added or changed.
+def diff_fields(sided: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
+    """Rule rows of the selectable fields of both sides by name.
 
-    ``owners`` restricts both sides to the structs that correspond.
+    Direct fields are the selectable ones at depth 0, so one alignment serves both field sets; rows that
+    the direct set would only repeat are not emitted.
     """
-    if owners is not None:
-        on = [*scope, "owner"]
-        old, new = old.join(owners, on, "left_semi"), new.join(owners, on, "left_semi")
-    fields = align(old, new, [*scope, "owner", "field_name"], ["type_str", "type_kind", "corr_key", *COMPARISON])
+    fields = align(sided, [*scope, "owner", "field_name"], ["type_str", "type_kind", "corr_key", "depth", *COMPARISON])
     owner, name = F.col("owner"), F.col("field_name")
+    in_old, in_new = F.col("in_old"), F.col("in_new")
     cause = type_cause(fields, F.when(F.col("old_type_kind") == "basic", "basic").otherwise(""))
 
-    def row(changed_type, text, compatible, family):
+    def row(changed_type, text, compatible, family, step):
         return message(owner, owner, F.lit("type"), name, changed_type, text, compatible, family, step)
 
     changed = change_message(cause, F.col("old_type_str"), F.col("new_type_str"))
-    return emit(
-        fields,
-        scope,
-        [
-            F.when(~F.col("in_new"), row(F.col("old_type_kind"), F.lit("removed"), False, "removed")),
-            F.when(~F.col("in_old"), row(F.col("new_type_kind"), F.lit("added"), True, "added")),
-            F.when(
-                F.col("in_old") & F.col("in_new") & type_differs(fields),
-                row(F.col("old_type_kind"), changed, False, "kind"),
-            ),
-        ],
-    )
+    rules = [
+        F.when(~in_new, row(F.col("old_type_kind"), F.lit("removed"), False, "removed", 4)),
+        F.when(~in_old, row(F.col("new_type_kind"), F.lit("added"), True, "added", 4)),
+        F.when(in_old & in_new & type_differs(fields), row(F.col("old_type_kind"), changed, False, "kind", 4)),
+    ]
+    if "old_depth" in fields.columns:
+        sunk = in_old & in_new & (F.col("old_depth") == 0) & (F.col("new_depth") > 0)
+        risen = in_old & in_new & (F.col("old_depth") > 0) & (F.col("new_depth") == 0)
+        rules += [
+            F.when(sunk, row(F.col("old_type_kind"), F.lit("removed"), False, "removed", 3)),
+            F.when(risen, row(F.col("new_type_kind"), F.lit("added"), True, "added", 3)),
+        ]
+    return emit(fields, scope, rules)
 
 
-def check_structs(
-    types: DataFrame,
-    old_fields: DataFrame,
-    new_fields: DataFrame,
-    old_selectable: DataFrame,
-    new_selectable: DataFrame,
-    scope: Sequence[str] = SCOPE,
-) -> DataFrame:
+def check_structs(types: DataFrame, selectable: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
     """Rule rows of direct and selectable fields of corresponding structs."""
     owners = structs_on_both_sides(types, scope)
-    direct = diff_fields(exported_fields(old_fields), exported_fields(new_fields), scope, owners, 3)
-    return direct.unionByName(diff_fields(old_selectable, new_selectable, scope, owners, 4))
+    return diff_fields(selectable.join(owners, [*scope, "owner"], "left_semi"), scope)
 
 
 # --- methods and interfaces --------------------------------------------------------------------------
@@ -270,8 +256,7 @@ def _kind_part(side: str) -> Column:
 
 
 def diff_methods(
-    old: DataFrame,
-    new: DataFrame,
+    sided: DataFrame,
     scope: Sequence[str] = SCOPE,
     value_set: bool = True,
     additions_compatible: bool | str = True,
@@ -280,13 +265,13 @@ def diff_methods(
 
     One join serves both method sets: the pointer set holds every method, the value set those with
     ``in_value_set``. Rows the value set would only repeat are not emitted; ``value_set=False`` leaves its
-    own rows out as well. ``additions_compatible`` is a flag or the name of a boolean column of both inputs.
+    own rows out as well. ``additions_compatible`` is a flag or the name of a boolean column.
     """
     columns = [*METHOD_COLUMNS, *COMPARISON]
     per_owner = isinstance(additions_compatible, str)
     if per_owner:
         columns.append(additions_compatible)
-    sets = align(old.filter("exported"), new.filter("exported"), [*scope, "owner", "method_name"], columns)
+    sets = align(sided.filter("exported"), [*scope, "owner", "method_name"], columns)
     in_old, in_new = F.col("in_old"), F.col("in_new")
     old_value = F.coalesce(F.col("old_in_value_set"), F.lit(False))
     new_value = F.coalesce(F.col("new_in_value_set"), F.lit(False))
@@ -317,19 +302,14 @@ def diff_methods(
     return emit(sets, scope, rules)
 
 
-def check_method_sets(
-    types: DataFrame, old_methods: DataFrame, new_methods: DataFrame, scope: Sequence[str] = SCOPE
-) -> DataFrame:
+def check_method_sets(types: DataFrame, methods: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
     """Rule rows of the value and pointer method sets of types that keep their kind (interfaces aside)."""
     same = (F.col("old_underlying_kind") == F.col("new_underlying_kind")) & (F.col("old_underlying_kind") != "interface")
     owners = types.filter(same).select(*scope, "owner")
-    on = [*scope, "owner"]
-    return diff_methods(old_methods.join(owners, on, "left_semi"), new_methods.join(owners, on, "left_semi"), scope)
+    return diff_methods(methods.join(owners, [*scope, "owner"], "left_semi"), scope)
 
 
-def check_interfaces(
-    types: DataFrame, old_methods: DataFrame, new_methods: DataFrame, scope: Sequence[str] = SCOPE
-) -> DataFrame:
+def check_interfaces(types: DataFrame, methods: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
     """Rule rows of corresponding interfaces.
 
     With an unexported method in the old one users could only embed it, so additions are compatible.
@@ -337,20 +317,17 @@ def check_interfaces(
     """
     both = (F.col("old_underlying_kind") == "interface") & (F.col("new_underlying_kind") == "interface")
     on = [*scope, "owner"]
-    sealed = has_unexported_method(old_methods, scope).withColumnRenamed("unexported_method", "old_unexported")
-    owners = (
-        types.filter(both)
-        .select(*on)
-        .join(sealed, on, "left")
-        .select(*on, F.col("old_unexported").isNotNull().alias("sealed"))
+    own = methods.join(types.filter(both).select(*on), on, "left_semi")
+    hidden = own.groupBy(*on).agg(
+        F.max((F.col("side") == "old") & ~F.col("exported")).alias("sealed"),
+        F.min(F.when((F.col("side") == "new") & ~F.col("exported"), F.col("method_name"))).alias("unexported_method"),
     )
     # An interface has one method set.
     rows = diff_methods(
-        old_methods.join(owners, on), new_methods.join(owners, on), scope, value_set=False, additions_compatible="sealed"
+        own.join(hidden.select(*on, "sealed"), on), scope, value_set=False, additions_compatible="sealed"
     )
-    now_sealed = has_unexported_method(new_methods, scope).join(owners.filter("not sealed"), on)
     added = emit(
-        now_sealed,
+        hidden.filter(~F.col("sealed") & F.col("unexported_method").isNotNull()),
         scope,
         [_type_row(F.lit("added unexported method"), F.lit("interface"), False, "unexported", 6, F.col("unexported_method"))],
     )

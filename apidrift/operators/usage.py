@@ -6,12 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from apidrift.functions.text import bool_text, pkg_path, strip_position
-
-IDENTIFIER_COLUMNS = (
-    "server_url", "var_type", "id_name", "id_pos", "obj_name", "obj_pos",
-    "obj_pkg", "obj_type", "obj_exported", "obj_id", "obj_string",
-)
-
+from apidrift.sources.readers import IDENTIFIER_COLUMNS
 
 def touches_third_party(obj_string: Column, paths: Column) -> Column:
     """Whether some path occurs in the printed object."""

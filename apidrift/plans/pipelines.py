@@ -26,12 +26,16 @@ class Comparison:
     pairs: DataFrame
     packages: DataFrame
 
-    def scoped(self, table: DataFrame, side: str) -> DataFrame:
-        """Rows of ``table`` in packages that both sides have, keyed by pair and package name."""
-        both = self.packages.filter("status = 'both'").select(
-            *SCOPE, F.col(f"{side}_rel").alias("rel_id"), F.col(f"{side}_pkg_path").alias("pkg_path")
+    def scoped(self, table: DataFrame) -> DataFrame:
+        """Rows of ``table`` in packages that both sides have, keyed by pair, package name and ``side``."""
+        side = F.explode(
+            F.array(
+                F.struct(F.lit("old").alias("side"), F.col("old_rel").alias("rel_id"), F.col("old_pkg_path").alias("pkg_path")),
+                F.struct(F.lit("new").alias("side"), F.col("new_rel").alias("rel_id"), F.col("new_pkg_path").alias("pkg_path")),
+            )
         )
-        return table.join(both, ["rel_id", "pkg_path"]).drop("rel_id", "pkg_path", "module", "tag")
+        sides = self.packages.filter("status = 'both'").select(*SCOPE, side.alias("s")).select(*SCOPE, "s.*")
+        return table.join(sides, ["rel_id", "pkg_path"]).drop("rel_id", "pkg_path", "module", "tag")
 
 
 def loaded_releases(snapshot: Snapshot, compat: bool = False) -> DataFrame:
@@ -63,56 +67,42 @@ def api_changes(
 ) -> DataFrame:
     """Every change of every compared package, compatible ones included, in reported form."""
 
-    def both(table: DataFrame) -> tuple[DataFrame, DataFrame]:
-        return comparison.scoped(table, "old"), comparison.scoped(table, "new")
-
-    old_objects, new_objects = both(snapshot.api_object)
-    old_types, new_types = both(snapshot.api_type)
-    old_fields, new_fields = both(snapshot.api_field)
-    old_methods, new_methods = both(snapshot.api_method)
+    objects = comparison.scoped(snapshot.api_object)
+    named = comparison.scoped(snapshot.api_type)
+    fields = comparison.scoped(snapshot.api_field)
+    methods = comparison.scoped(snapshot.api_method)
+    nodes = None if snapshot.api_type_node is None else comparison.scoped(snapshot.api_type_node)
     rename_map = None
-    outcome = None
-    if snapshot.api_type_node is not None:
-        old_nodes, new_nodes = both(snapshot.api_type_node)
-        if renames:
-            kinds = diff.diff_objects(old_objects, new_objects).filter("in_old and in_new")
-            names = kinds.select(*SCOPE, "obj_name", F.col("old_obj_kind").alias("old_kind"), F.col("new_obj_kind").alias("new_kind"))
-            rename_map = correspondence.establish_correspondence(names, old_nodes, new_nodes)
-        outcome = correspondence.compare_types(old_nodes, new_nodes, SCOPE, rename_map)
-        new_objects = diff.with_comparison(new_objects, outcome, SCOPE, "obj_name")
-    if rename_map is None:
-        old_types, new_types = old_types.filter(is_exported(F.col("type_name"))), new_types.filter(is_exported(F.col("type_name")))
+    if renames:
+        shared = diff.diff_objects(objects).filter("in_old and in_new")
+        names = shared.select(*SCOPE, "obj_name", F.col("old_obj_kind").alias("old_kind"), F.col("new_obj_kind").alias("new_kind"))
+        rename_map = correspondence.establish_correspondence(names, nodes)
+        named = types.under_old_names(types.with_basic_targets(named, rename_map), rename_map, SCOPE, "type_name")
+        methods = types.under_old_names(methods, rename_map, SCOPE)
+        fields = types.under_old_names(fields, rename_map, SCOPE)
     else:
-        to_named = rename_map.filter("new_kind = 'named'")
-        new_types = types.with_basic_targets(new_types, rename_map)
-        new_fields = types.renamed_to_old(new_fields, to_named, SCOPE)
-        new_methods = types.renamed_to_old(new_methods, to_named, SCOPE)
-    if outcome is not None:
-        new_types = diff.with_comparison(new_types, outcome, SCOPE, "type_name")
-        new_fields = diff.with_comparison(new_fields, outcome, SCOPE, "owner", "field_name")
-        new_methods = diff.with_comparison(new_methods, outcome, SCOPE, "owner", "method_name")
-    aligned_types = types.align_types(old_types, new_types, SCOPE, rename_map)
+        named = named.filter(is_exported(F.col("type_name")))
+    if nodes is not None:
+        outcome = correspondence.compare_types(nodes, SCOPE, rename_map)
+        objects = diff.with_comparison(objects, outcome, SCOPE, "obj_name")
+        named = diff.with_comparison(named, outcome, SCOPE, "type_name")
+        fields = diff.with_comparison(fields, outcome, SCOPE, "owner", "field_name")
+        methods = diff.with_comparison(methods, outcome, SCOPE, "owner", "method_name")
+    aligned_types = materialize(types.align_types(named), "types")
+    selectable = types.exported_selectable_fields(fields, [*SCOPE, "side"])
     rows = messages.all_changes(
         [
             diff.package_changes(comparison.packages),
-            diff.check_objects(diff.diff_objects(old_objects, new_objects)),
+            diff.check_objects(diff.diff_objects(objects)),
             types.check_named_types(aligned_types),
-            types.check_structs(
-                aligned_types,
-                old_fields,
-                new_fields,
-                types.exported_selectable_fields(old_fields, SCOPE),
-                types.exported_selectable_fields(new_fields, SCOPE),
-            ),
-            types.check_interfaces(aligned_types, old_methods, new_methods),
-            types.check_method_sets(aligned_types, old_methods, new_methods),
-            satisfaction.satisfaction_changes(
-                satisfaction.no_longer_implements(aligned_types, old_methods, new_methods)
-            ),
+            types.check_structs(aligned_types, selectable),
+            types.check_interfaces(aligned_types, methods),
+            types.check_method_sets(aligned_types, methods),
+            satisfaction.satisfaction_changes(satisfaction.no_longer_implements(aligned_types, methods)),
         ]
     )
-    if compat and snapshot.api_type_node is not None:
-        failed = correspondence.unsupported_objects(comparison.scoped(snapshot.api_type_node, "new"), SCOPE)
+    if compat and nodes is not None:
+        failed = correspondence.unsupported_objects(nodes, SCOPE)
         rows = correspondence.drop_failed_pairs(rows, failed)
     changes = messages.as_changes(messages.dedupe_messages(rows, SCOPE, compat), SCOPE)
     return changes.join(comparison.packages.drop("status"), list(SCOPE))
@@ -162,6 +152,8 @@ def breaking_change_usage(changes: DataFrame, edges: DataFrame, used: DataFrame,
         "change_node",
         "change_message",
     )
+    # Read twice below, and far smaller than what it takes to compute.
+    breaking = materialize(breaking, "breaking")
     changed = breaking.select("library", *target).distinct()
     idents = used.select(
         F.col("server_url").alias("client"),

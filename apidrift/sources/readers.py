@@ -35,6 +35,10 @@ CHANGE_REPORT_COLUMNS = (
     "server_name", "server_url", "old_tag", "olg_tag_time", "new_tag", "new_tag_time", "old_pkg_name",
     "new_pkg_name", "old_pkg_path", "new_pkg_path", "change_node", "changedObject", "changedType", "changeMessage",
 )
+IDENTIFIER_COLUMNS = (
+    "server_url", "var_type", "id_name", "id_pos", "obj_name", "obj_pos",
+    "obj_pkg", "obj_type", "obj_exported", "obj_id", "obj_string",
+)
 READ_BACK_COLUMNS = (
     "server_url", "old_tag", "olg_tag_time", "new_tag", "old_pkg_path", "old_pkg_name",
     "change_node", "changedObject", "changedType", "changeMessage",
@@ -42,12 +46,12 @@ READ_BACK_COLUMNS = (
 SNAPSHOT_TABLES = ("release", "package", "api_object", "api_type", "api_field", "api_method", "api_type_node")
 
 
-def read_repo_tasks(spark: SparkSession, path: str) -> DataFrame:
+def read_repo_tasks(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """One row per repository of a JSON task list; the clone url comes from the full name.
 
-    ``count_matches`` tells whether the stated total fits the list; the total itself is not used.
+    ``lines`` reads files with one list per line, which large task sets need to be split. ``count_matches`` tells whether the stated total fits the list; the total itself is not used.
     """
-    lists = spark.read.schema(REPO_TASKS).option("multiLine", True).json(path)
+    lists = spark.read.schema(REPO_TASKS).option("multiLine", not lines).json(path)
     matches = F.col("total_count") == F.size("items")
     return lists.select(matches.alias("count_matches"), F.explode("items").alias("i")).select(
         F.col("i.index").alias("index"),
@@ -58,9 +62,9 @@ def read_repo_tasks(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_client_tasks(spark: SparkSession, path: str) -> DataFrame:
+def read_client_tasks(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """One row per client version with its third-party packages."""
-    lists = spark.read.schema(CLIENT_TASKS).option("multiLine", True).json(path)
+    lists = spark.read.schema(CLIENT_TASKS).option("multiLine", not lines).json(path)
     versions = lists.select(F.explode("items").alias("i")).select("i.Url", F.explode("i.Detail").alias("d"))
     return versions.select(
         F.col("Url").alias("url"),
@@ -88,7 +92,8 @@ def _read_csv(spark: SparkSession, path: str | list[str], columns: tuple[str, ..
     Quotes are doubled inside quoted values and a value may span lines, as common CSV writers do it.
     """
     rows = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
-    return rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns], "_metadata.file_path")
+    names = [*columns, *(["version"] if "version" in rows.columns and "version" not in columns else [])]
+    return rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in names], "_metadata.file_path")
 
 
 def read_dependencies(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -104,21 +109,28 @@ def read_change_report(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _read_csv(spark, path, READ_BACK_COLUMNS).drop("file_path")
 
 
+EMPTY_FOLDER = "__HIVE_DEFAULT_PARTITION__"
+
+
 def _with_version(rows: DataFrame) -> DataFrame:
-    """Version from the folder our own writer makes, or else from the file name."""
+    """Version from its own column, the folder our writer makes, or else the file name."""
     path = F.url_decode(F.regexp_replace("file_path", r"\+", "%2B"))
+    # Folder names are escaped once by the writer and once more as part of a url.
     folder = F.url_decode(F.regexp_replace(F.regexp_extract(path, "/version_safe=([^/]*)/", 1), r"\+", "%2B"))
     name = F.regexp_extract(path, r"_@@@(.+)\.csv$", 1)
-    return rows.withColumn("version", F.when(folder != "", folder).otherwise(name)).drop("file_path")
+    version = F.when(folder == EMPTY_FOLDER, "").when(folder != "", folder).otherwise(name)
+    if "version" in rows.columns:
+        version = F.coalesce("version", version)
+    return rows.withColumn("version", version).drop("file_path")
 
 
 def read_identifier_usage(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    from apidrift.operators.usage import IDENTIFIER_COLUMNS
-
+    """Usage rows of any number of files, with their client version."""
     return _with_version(_read_csv(spark, path, IDENTIFIER_COLUMNS))
 
 
 def read_imports(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Import rows of any number of files, with their client version."""
     return _with_version(_read_csv(spark, path, ("server_url", "pkg_path", "pkg_name")))
 
 

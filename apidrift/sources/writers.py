@@ -42,20 +42,26 @@ def write_change_report(changes: DataFrame, path: str) -> None:
     _append_csv(report.withColumn("server", F.col("server_name")), path, ["server"])
 
 
-def write_identifier_usage(usage: DataFrame, path: str) -> None:
-    """Append usage rows under ``pkgInfo``, one folder per repository and version."""
-    _append_csv(_foldered(usage), f"{path}/pkgInfo", ["server", "version_safe"])
+def write_identifier_usage(usage: DataFrame, path: str, by_version: bool = True) -> None:
+    """Append usage rows under ``pkgInfo``, one folder per repository and version.
 
+    With very many versions ``by_version=False`` keeps them as a last column of one folder per repository,
+    which spares the file system a folder per version; both forms read back the same.
+    """
+    _append_usage(usage, f"{path}/pkgInfo", by_version)
 
-def write_imports(imports: DataFrame, path: str) -> None:
-    """Append import rows under ``importPkg``, one folder per repository and version."""
-    rows = imports.select("server_url", "pkg_path", "pkg_name", "version")
-    _append_csv(_foldered(rows), f"{path}/importPkg", ["server", "version_safe"])
 
+def write_imports(imports: DataFrame, path: str, by_version: bool = True) -> None:
+    """Append import rows under ``importPkg``, laid out like usage rows."""
+    _append_usage(imports.select("server_url", "pkg_path", "pkg_name", "version"), f"{path}/importPkg", by_version)
 
-def _foldered(rows: DataFrame) -> DataFrame:
-    folders = {"server": server_name(F.col("server_url")), "version_safe": F.translate("version", "/", "_")}
-    return rows.withColumns(folders).drop("version")
+
+def _append_usage(rows: DataFrame, path: str, by_version: bool) -> None:
+    rows = rows.withColumn("server", server_name(F.col("server_url")))
+    if not by_version:
+        _append_csv(rows, path, ["server"])
+        return
+    _append_csv(rows.withColumn("version_safe", F.translate("version", "/", "_")).drop("version"), path, ["server", "version_safe"])
 
 
 def write_module_graph(nodes: DataFrame, edges: DataFrame, base: str | None = None) -> tuple[str, str]:
