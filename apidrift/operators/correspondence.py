@@ -94,7 +94,7 @@ def _differences(mapped: bool) -> dict[str, Column]:
 
 
 def compare_types(sided: DataFrame, scope: Sequence[str] = SCOPE, type_corr: DataFrame | None = None) -> DataFrame:
-    """Whether the types at each (root, part) correspond, and the printed cause when they do not.
+    """Whether the types at each (root, part) of both sides correspond, and the printed cause when not.
 
     Two aggregations over aligned nodes: per child of the top node, then per tree. No tree is gathered.
     """
@@ -142,7 +142,8 @@ def compare_types(sided: DataFrame, scope: Sequence[str] = SCOPE, type_corr: Dat
         F.count_if(below & h["in_new"]).alias("n_new"),
         first_bad.alias("first"),
     )
-    return whole.select(*tree, (~F.col("bad")).alias("corresponds"), F.when(F.col("bad"), _cause()).alias("type_cause"))
+    on_both = whole.filter(F.col("t")["in_old"] & F.col("t")["in_new"])
+    return on_both.select(*tree, (~F.col("bad")).alias("corresponds"), F.when(F.col("bad"), _cause()).alias("type_cause"))
 
 
 def _cause() -> Column:

@@ -22,11 +22,13 @@ def align(sided: DataFrame, on: Sequence[str], columns: Sequence[str], matched:
     """Rows of both sides next to each other: ``old_*``, ``new_*`` and the flags ``in_old``, ``in_new``.
 
     A row is unique per side and key, so one grouping does the work of a full outer join: the table is
-    read and shuffled once, and no key can collect more than two rows. ``matched`` keeps pairs only.
+    read and shuffled once, and no key can collect more than two rows. For the same reason combining before
+    the shuffle has nothing to combine; shuffling first leaves one sort instead of two. ``matched`` keeps
+    pairs only.
     """
     columns = [c for c in columns if c in sided.columns]
     facts = F.struct(F.lit(True).alias("_present"), *columns)
-    grouped = sided.groupBy(*on).agg(
+    grouped = sided.repartition(*on).groupBy(*on).agg(
         F.max(F.when(F.col("side") == "old", facts)).alias("_old"),
         F.max(F.when(F.col("side") == "new", facts)).alias("_new"),
     )
@@ -83,8 +85,12 @@ def on_both_sides(pairs: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def packages_by_name(packages: DataFrame) -> DataFrame:
-    """One package per release and clause name: the largest path stands for the last one loaded."""
-    return packages.groupBy("rel_id", "pkg_name").agg(F.max("pkg_path").alias("pkg_path"))
+    """One package per release and clause name: the largest path stands for the last one loaded.
+
+    ``n_errors`` is the worst of all packages of that name.
+    """
+    worst = [F.max("n_errors").alias("n_errors")] if "n_errors" in packages.columns else []
+    return packages.groupBy("rel_id", "pkg_name").agg(F.max("pkg_path").alias("pkg_path"), *worst)
 
 
 def diff_packages(pairs: DataFrame, packages: DataFrame) -> DataFrame:
@@ -110,7 +116,7 @@ def package_changes(package_pairs: DataFrame, scope: Sequence[str] = SCOPE) -> D
     gone = message(blank, blank, blank, blank, blank, F.concat("pkg_name", F.lit(": packages deleted")), False, "removed", 0)
     come = message(blank, blank, blank, blank, blank, F.concat("pkg_name", F.lit(": packages new added")), True, "added", 0)
     status = F.col("status")
-    return emit(package_pairs.filter(status != "both"), scope, [F.when(status == "deleted", gone), F.when(status == "added", come)])
+    return emit(package_pairs.filter(status != "both"), scope, [F.when(status == "deleted", gone).when(status == "added", come)])
 
 
 def diff_objects(sided: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
@@ -143,37 +149,19 @@ def check_objects(aligned: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame
 
     typed = change_message(cause, F.col("old_type_str"), F.col("new_type_str"))
     untyped = change_message(F.lit(""), F.col("old_type_str"), F.col("new_type_str"))
-    return emit(
-        aligned,
-        scope,
-        [
-            F.when(~F.col("in_new"), row(old_kind, F.col("old_type_kind"), F.lit("removed"), False, "removed")),
-            F.when(~F.col("in_old"), row(new_kind, F.col("new_type_kind"), F.lit("added"), True, "added")),
-            F.when(
-                both & ~comparable_kinds,
-                row(
-                    old_kind,
-                    F.lit("typeChanged"),
-                    change_message(F.lit(""), object_kind(old_kind), object_kind(new_kind)),
-                    False,
-                    "kind",
-                ),
-            ),
-            F.when(func_to_var, row(old_kind, F.col("new_type_kind"), F.lit("changed from func to var"), True, "kind")),
-            F.when(both_typed & ~same_type, row(old_kind, F.col("old_type_kind"), typed, False, "kind")),
-            F.when(both_const & ~same_type, row(old_kind, F.col("old_type_kind"), untyped, False, "kind")),
-            F.when(
-                both_const & same_type & ~same_value,
-                row(
-                    old_kind,
-                    F.col("old_type_kind"),
-                    F.concat(F.lit("value changed from "), "old_const_val", F.lit(" to "), "new_const_val"),
-                    False,
-                    "value",
-                ),
-            ),
-        ],
+    kinds = change_message(F.lit(""), object_kind(old_kind), object_kind(new_kind))
+    values = F.concat(F.lit("value changed from "), "old_const_val", F.lit(" to "), "new_const_val")
+    old_type = F.col("old_type_kind")
+    exclusive = F.coalesce(
+        F.when(~F.col("in_new"), row(old_kind, old_type, F.lit("removed"), False, "removed")),
+        F.when(~F.col("in_old"), row(new_kind, F.col("new_type_kind"), F.lit("added"), True, "added")),
+        F.when(~comparable_kinds, row(old_kind, F.lit("typeChanged"), kinds, False, "kind")),
+        F.when(both_typed & ~same_type, row(old_kind, old_type, typed, False, "kind")),
+        F.when(both_const & ~same_type, row(old_kind, old_type, untyped, False, "kind")),
+        F.when(both_const & same_type & ~same_value, row(old_kind, old_type, values, False, "value")),
     )
+    opened = row(old_kind, F.col("new_type_kind"), F.lit("changed from func to var"), True, "kind")
+    return emit(aligned, scope, [exclusive, F.when(func_to_var, opened)])
 
 
 def added_or_removed(aligned: DataFrame) -> DataFrame:

@@ -37,9 +37,12 @@ def message(
 
 
 def emit(df: DataFrame, scope: Sequence[str], rules: Sequence[Column]) -> DataFrame:
-    """Evaluate several rules in one pass; a rule that does not apply is NULL."""
-    rows = df.select(*scope, F.explode(F.array_compact(F.array(*rules))).alias("m"))
-    return rows.select(*scope, "m.*")
+    """Evaluate several rules in one pass; a rule that does not apply is NULL.
+
+    Rules that exclude each other belong together in one ``coalesce``, so few rows are made and dropped.
+    """
+    rows = df.select(*scope, F.explode(F.array(*rules)).alias("m")) if len(rules) > 1 else df.select(*scope, rules[0].alias("m"))
+    return rows.filter(F.col("m").isNotNull()).select(*scope, "m.*")
 
 
 def _severity(cause: Column) -> Column:

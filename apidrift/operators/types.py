@@ -112,23 +112,19 @@ def check_named_types(types: DataFrame, scope: Sequence[str] = SCOPE) -> DataFra
     basic = change_message(F.lit(""), F.col("old_basic_name"), F.col("new_basic_name"))
 
     both_struct = same_kind & (old_kind == "struct")
-    return emit(
-        types,
-        scope,
-        [
-            F.when(routed & ~same_kind, _type_row(printed, old_kind, False, "kind", 2)),
-            F.when(~routed & differs, _type_row(plain, old_kind, False, "kind", 2)),
-            F.when(both_chan & elem_differs, _type_row(elem, elem_kind, False, "kind", 2, F.lit(", element"))),
-            F.when(both_chan & turned & opened, _type_row(F.lit("removed direction"), old_kind, True, "direction", 2)),
-            F.when(both_chan & turned & ~opened, _type_row(F.lit("changed direction"), old_kind, False, "direction", 2)),
-            F.when(both_basic & widens, _type_row(basic, new_kind, True, "kind", 2)),
-            F.when(both_basic & ~widens, _type_row(basic, old_kind, False, "kind", 2)),
-            F.when(
-                both_struct & F.col("old_comparable") & ~F.col("new_comparable"),
-                _type_row(F.lit("old is comparable, new is not"), old_kind, False, "comparable", 5),
-            ),
-        ],
+    lost = both_struct & F.col("old_comparable") & ~F.col("new_comparable")
+    by_kind = F.coalesce(
+        F.when(routed & ~same_kind, _type_row(printed, old_kind, False, "kind", 2)),
+        F.when(~routed & differs, _type_row(plain, old_kind, False, "kind", 2)),
+        F.when(both_chan & elem_differs, _type_row(elem, elem_kind, False, "kind", 2, F.lit(", element"))),
+        F.when(both_basic & widens, _type_row(basic, new_kind, True, "kind", 2)),
+        F.when(both_basic & ~widens, _type_row(basic, old_kind, False, "kind", 2)),
+        F.when(lost, _type_row(F.lit("old is comparable, new is not"), old_kind, False, "comparable", 5)),
     )
+    direction = F.when(
+        both_chan & turned & opened, _type_row(F.lit("removed direction"), old_kind, True, "direction", 2)
+    ).when(both_chan & turned, _type_row(F.lit("changed direction"), old_kind, False, "direction", 2))
+    return emit(types, scope, [by_kind, direction])
 
 
 def is_comparable(fields: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -159,21 +155,23 @@ def unambiguous_fields(level: DataFrame, keys: Sequence[str]) -> DataFrame:
     return once.filter("_n = 1").select(*keys, "field_name", *[F.col("_f")[c].alias(c) for c in rest])
 
 
-def exported_selectable_fields(fields: DataFrame, scope: Sequence[str]) -> DataFrame:
+def exported_selectable_fields(fields: DataFrame, scope: Sequence[str], roots: DataFrame | None = None) -> DataFrame:
     """Exported fields reachable by selection, those of embedded structs included, with their ``depth``.
 
     One pass per embedding depth: a name must be unambiguous at its depth, a shallower one wins, and a
     struct met at this depth or above is not entered again. ``embedded_owner`` names the struct behind an
-    embedded field (or behind its pointer). The passes end when no embedded struct is left.
+    embedded field (or behind its pointer). The passes end when no embedded struct is left. ``roots``
+    (some of ``scope`` and ``owner``) limits the result to the structs somebody asks about.
     """
     root = [*scope, "root"]
     facts = [c for c in ("type_str", "type_kind", "corr_key", *COMPARISON) if c in fields.columns]
     follow = ["embedded", "embedded_owner", "exported"]
     members = fields.select(*scope, "owner", "field_name", *facts, *follow)
     # A struct has no name twice, so nothing is ambiguous at the top.
-    clear = members.withColumn("root", F.col("owner")).drop("owner")
+    asked = members if roots is None else members.join(roots, roots.columns, "left_semi")
+    clear = asked.withColumn("root", F.col("owner")).drop("owner")
     found = clear.filter("exported").withColumn("depth", F.lit(0))
-    entered = members.select(*scope, F.col("owner").alias("root"), "owner").distinct()
+    entered = asked.select(*scope, F.col("owner").alias("root"), "owner").distinct()
     depth = 0
     while True:
         # Two embedded fields may lead to one struct; each occurrence counts, so no distinct here.
@@ -210,17 +208,21 @@ def diff_fields(sided: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
 
     changed = change_message(cause, F.col("old_type_str"), F.col("new_type_str"))
     rules = [
-        F.when(~in_new, row(F.col("old_type_kind"), F.lit("removed"), False, "removed", 4)),
-        F.when(~in_old, row(F.col("new_type_kind"), F.lit("added"), True, "added", 4)),
-        F.when(in_old & in_new & type_differs(fields), row(F.col("old_type_kind"), changed, False, "kind", 4)),
+        F.coalesce(
+            F.when(~in_new, row(F.col("old_type_kind"), F.lit("removed"), False, "removed", 4)),
+            F.when(~in_old, row(F.col("new_type_kind"), F.lit("added"), True, "added", 4)),
+            F.when(type_differs(fields), row(F.col("old_type_kind"), changed, False, "kind", 4)),
+        )
     ]
     if "old_depth" in fields.columns:
         sunk = in_old & in_new & (F.col("old_depth") == 0) & (F.col("new_depth") > 0)
         risen = in_old & in_new & (F.col("old_depth") > 0) & (F.col("new_depth") == 0)
-        rules += [
-            F.when(sunk, row(F.col("old_type_kind"), F.lit("removed"), False, "removed", 3)),
-            F.when(risen, row(F.col("new_type_kind"), F.lit("added"), True, "added", 3)),
-        ]
+        rules.append(
+            F.coalesce(
+                F.when(sunk, row(F.col("old_type_kind"), F.lit("removed"), False, "removed", 3)),
+                F.when(risen, row(F.col("new_type_kind"), F.lit("added"), True, "added", 3)),
+            )
+        )
     return emit(fields, scope, rules)
 
 
@@ -287,18 +289,22 @@ def diff_methods(
     differs = in_old & in_new & type_differs(sets)
     compatible = F.col("new_" + additions_compatible) if per_owner else additions_compatible
     rules = [
-        F.when(~in_new, _method_row("old", from_pointer_set, F.lit("removed"), False, "removed", 7)),
-        F.when(differs & ~moved, _method_row("old", _kind_part("old"), changed, False, "kind", 7)),
-        F.when(differs & moved, _method_row("new", _kind_part("new"), changed, False, "kind", 7)),
-        F.when(~in_old, _method_row("new", _kind_part("new"), F.lit("added"), compatible, "added", 7)),
+        F.coalesce(
+            F.when(~in_new, _method_row("old", from_pointer_set, F.lit("removed"), False, "removed", 7)),
+            F.when(~in_old, _method_row("new", _kind_part("new"), F.lit("added"), compatible, "added", 7)),
+            F.when(differs & ~moved, _method_row("old", _kind_part("old"), changed, False, "kind", 7)),
+            F.when(differs & moved, _method_row("new", _kind_part("new"), changed, False, "kind", 7)),
+        )
     ]
     if value_set:
         lost = old_value & ~new_value & (in_new | ~owned)
         gained = new_value & ~old_value & in_old
-        rules += [
-            F.when(lost, _method_row("old", from_value_set, F.lit("removed"), False, "removed", 6)),
-            F.when(gained, _method_row("new", _kind_part("new"), F.lit("added"), compatible, "added", 6)),
-        ]
+        rules.append(
+            F.coalesce(
+                F.when(lost, _method_row("old", from_value_set, F.lit("removed"), False, "removed", 6)),
+                F.when(gained, _method_row("new", _kind_part("new"), F.lit("added"), compatible, "added", 6)),
+            )
+        )
     return emit(sets, scope, rules)
 
 

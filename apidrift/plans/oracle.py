@@ -656,10 +656,10 @@ oracle("check_named_types", reported("d_type_rows", PAIR))
 oracle("check_structs", reported("d_field_rows", PAIR))
 oracle("check_interfaces", f"select {ROW_COLUMNS} from d_face_rows")
 oracle("check_method_sets", f"select {ROW_COLUMNS} from d_method_rows")
-oracle("compare_types", """select pair_id, pkg_path, root, not bool_or(type_differs) as corresponds,
- case when not bool_or(type_differs) then null when not bool_and(path <> '' or in_old and in_new) then ''
- else array_to_string(list_filter([case when bool_or(type_differs and starts_with(path, '0')) then 'params' end, case when bool_or(type_differs and starts_with(path, '1')) then 'returns' end,
- case when bool_or(type_differs and path = '') then 'variadic' end], lambda x: x is not null), '|') end as type_cause from d_node_diffs group by pair_id, pkg_path, root""")
+oracle("compare_types", """select pair_id, pkg_path, root, not bool_or(type_differs) as corresponds, case when bool_or(type_differs)
+ then array_to_string(list_filter([case when bool_or(type_differs and starts_with(path, '0')) then 'params' end, case when bool_or(type_differs and starts_with(path, '1')) then 'returns' end,
+ case when bool_or(type_differs and path = '') then 'variadic' end], lambda x: x is not null), '|') end as type_cause
+from d_node_diffs group by pair_id, pkg_path, root having bool_or(path = '' and in_old and in_new)""")
 oracle("type_kinds", "select rel_id, pkg_path, root, 'function' as type_kind from v_type_node where path = ''")
 block("s_named_field", "select pair_id, side, owner as root, field_name as part, case when embedded then lower(embedded_owner) else field_name end as field_name, embedded from s_field")
 block("d_named_field", aligned("s_named_field", ("pair_id", "root", "part"), ("field_name", "embedded"), "inner"))

@@ -40,25 +40,27 @@ class Comparison:
 
 def loaded_releases(snapshot: Snapshot, compat: bool = False) -> DataFrame:
     """Module releases that loaded whole and carry a valid tag."""
-    kept = releases.go_modules(snapshot.release)
-    kept = releases.valid_releases(kept, compat)
+    kept = releases.valid_releases(releases.go_modules(snapshot.release), compat)
     return releases.complete_releases(kept, snapshot.package)
 
 
 def compare_releases(snapshot: Snapshot, white_list: Sequence[str] = filters.WHITE_LIST, compat: bool = False) -> Comparison:
     """Pair the releases and match their packages by name."""
-    packages = diff.packages_by_name(snapshot.package)
-    kept = filters.drop_white_listed(packages, list(white_list))
+    listed = filters.is_white_listed(F.col("pkg_path"), list(white_list))
+    packages = materialize(
+        diff.packages_by_name(snapshot.package).withColumn("kept", ~listed).repartition("rel_id"), "packages"
+    )
+    # One pass over the packages tells how many there are, how many stay, and whether all of them loaded.
     per_release = packages.groupBy("rel_id").agg(
-        F.count(F.lit(1)).alias("n_packages"),
-        F.count_if(~filters.is_white_listed(F.col("pkg_path"), list(white_list))).alias("n_kept"),
+        F.count(F.lit(1)).alias("n_packages"), F.count_if("kept").alias("n_kept"), F.max("n_errors").alias("n_errors")
     )
-    counted = loaded_releases(snapshot, compat).join(per_release, "rel_id", "left").fillna(0, ["n_packages", "n_kept"])
-    pairs = releases.adjacent_releases(counted)
+    valid = releases.valid_releases(releases.go_modules(snapshot.release), compat)
+    counted = valid.join(per_release, "rel_id", "left").fillna(0, ["n_packages", "n_kept", "n_errors"])
+    pairs = releases.adjacent_releases(counted.filter("n_errors = 0").drop("n_errors"))
     if compat:
         pairs = releases.with_raw_old_label(pairs, snapshot.release)
     pairs = materialize(pairs, "pairs")
-    matched = diff.diff_packages(pairs, kept).join(pairs, "pair_id")
+    matched = diff.diff_packages(pairs, packages.filter("kept")).join(pairs, "pair_id")
     return Comparison(pairs, materialize(matched, "packages"))
 
 
@@ -71,7 +73,7 @@ def api_changes(
     named = comparison.scoped(snapshot.api_type)
     fields = comparison.scoped(snapshot.api_field)
     methods = comparison.scoped(snapshot.api_method)
-    nodes = None if snapshot.api_type_node is None else comparison.scoped(snapshot.api_type_node)
+    nodes = None if snapshot.api_type_node is None else materialize(comparison.scoped(snapshot.api_type_node), "nodes")
     rename_map = None
     if renames:
         shared = diff.diff_objects(objects).filter("in_old and in_new")
@@ -83,28 +85,41 @@ def api_changes(
     else:
         named = named.filter(is_exported(F.col("type_name")))
     if nodes is not None:
-        outcome = correspondence.compare_types(nodes, SCOPE, rename_map)
+        outcome = materialize(correspondence.compare_types(nodes, SCOPE, rename_map), "outcome")
         objects = diff.with_comparison(objects, outcome, SCOPE, "obj_name")
         named = diff.with_comparison(named, outcome, SCOPE, "type_name")
         fields = diff.with_comparison(fields, outcome, SCOPE, "owner", "field_name")
         methods = diff.with_comparison(methods, outcome, SCOPE, "owner", "method_name")
+    # Read by several rules or passes, and already cut to the compared packages.
     aligned_types = materialize(types.align_types(named), "types")
-    selectable = types.exported_selectable_fields(fields, [*SCOPE, "side"])
-    rows = messages.all_changes(
-        [
-            diff.package_changes(comparison.packages),
-            diff.check_objects(diff.diff_objects(objects)),
-            types.check_named_types(aligned_types),
-            types.check_structs(aligned_types, selectable),
-            types.check_interfaces(aligned_types, methods),
-            types.check_method_sets(aligned_types, methods),
-            satisfaction.satisfaction_changes(satisfaction.no_longer_implements(aligned_types, methods)),
-        ]
+    fields = materialize(fields, "fields")
+    methods = materialize(methods, "methods")
+    structs = types.structs_on_both_sides(aligned_types)
+    selectable = types.exported_selectable_fields(fields, [*SCOPE, "side"], structs)
+    rows = messages.dedupe_messages(
+        messages.all_changes(
+            [
+                types.check_named_types(aligned_types),
+                types.diff_fields(selectable),
+                types.check_interfaces(aligned_types, methods),
+                types.check_method_sets(aligned_types, methods),
+                satisfaction.satisfaction_changes(satisfaction.no_longer_implements(aligned_types, methods)),
+            ]
+        ),
+        SCOPE,
+        compat,
     )
+    object_rows = diff.check_objects(diff.diff_objects(objects))
+    if renames:
+        # A removed type can also be one that no longer implements an interface.
+        rows = messages.dedupe_messages(rows.unionByName(object_rows), SCOPE, compat)
+    else:
+        rows = rows.unionByName(object_rows)
+    rows = rows.unionByName(diff.package_changes(comparison.packages))
     if compat and nodes is not None:
         failed = correspondence.unsupported_objects(nodes, SCOPE)
         rows = correspondence.drop_failed_pairs(rows, failed)
-    changes = messages.as_changes(messages.dedupe_messages(rows, SCOPE, compat), SCOPE)
+    changes = messages.as_changes(rows, SCOPE)
     return changes.join(comparison.packages.drop("status"), list(SCOPE))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from apidrift.functions.text import server_name
 from apidrift.session import fresh_path
-from apidrift.sources.readers import CHANGE_REPORT_COLUMNS
+from apidrift.sources.readers import CHANGE_REPORT_COLUMNS, SNAPSHOT_TABLES, Snapshot
 
 
 def to_change_report(changes: DataFrame) -> DataFrame:
@@ -70,3 +70,11 @@ def write_module_graph(nodes: DataFrame, edges: DataFrame, base: str | None = No
     nodes.write.parquet(f"{root}/nodes")
     edges.write.parquet(f"{root}/edges")
     return f"{root}/nodes", f"{root}/edges"
+
+
+def write_api_snapshot(snapshot: Snapshot, path: str) -> None:
+    """Write the tables of a snapshot, for ``read_api_snapshot``."""
+    for name in SNAPSHOT_TABLES:
+        table = getattr(snapshot, name)
+        if table is not None:
+            table.write.parquet(f"{path}/{name}")
