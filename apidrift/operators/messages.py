@@ -41,7 +41,8 @@ def emit(df: DataFrame, scope: Sequence[str], rules: Sequence[Column]) -> DataFr
 
     Rules that exclude each other belong together in one ``coalesce``, so few rows are made and dropped.
     """
-    rows = df.select(*scope, F.explode(F.array(*rules)).alias("m")) if len(rules) > 1 else df.select(*scope, rules[0].alias("m"))
+    # The explode stays even for one rule: without it the optimizer copies the rule into every column.
+    rows = df.select(*scope, F.explode(F.array(*rules)).alias("m"))
     return rows.filter(F.col("m").isNotNull()).select(*scope, "m.*")
 
 

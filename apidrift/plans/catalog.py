@@ -15,6 +15,7 @@ from apidrift.session import fresh_path, materialize
 from apidrift.sources import readers, writers
 from apidrift.sources.readers import Snapshot
 from apidrift.sources.standin import StandIn
+from apidrift.streaming import client_watch, release_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -834,3 +835,34 @@ def breaking_change_usage(b: Bench) -> DataFrame:
 @query
 def minor_patch_breaks(b: Bench) -> DataFrame:
     return pipelines.minor_patch_breaks(b.breaking)
+
+
+# --- streams -----------------------------------------------------------------------------------------
+
+
+@query
+def stream_release_diff(b: Bench) -> DataFrame:
+    """Releases in two waves, each module's older half first; together they give the batch result."""
+    source, out, marks = (fresh_path(b.spark, name) for name in ("arriving", "stream", "marks"))
+    order = releases.order_tags(b.views.release)
+    half = order.groupBy("module").agg(F.floor(F.max("position") / 2).alias("half"))
+    waves = materialize(order.join(half, "module").withColumn("wave", (F.col("position") > F.col("half")).cast("int")), "waves")
+    columns = b.views.release.columns
+    for wave in (0, 1):
+        # One file per wave; a stream of single files then takes them one at a time, in order of age.
+        waves.filter(F.col("wave") == wave).select(*columns).coalesce(1).write.mode("append").parquet(source)
+    snapshot = b.stored_snapshot()
+    arriving = b.spark.readStream.schema(b.views.release.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    writer = release_stream.stream_release_diff(arriving, snapshot, out, marks)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return writers.to_change_report(release_stream.read_stream_changes(b.spark, out))
+
+
+@query
+def watch_clients(b: Bench) -> DataFrame:
+    source, out, marks = (fresh_path(b.spark, name) for name in ("arriving", "watched", "marks"))
+    b.views.dependency.write.parquet(source)
+    changes = materialize(filters.reportable(b.object_changes), "changes")
+    arriving = b.spark.readStream.schema(b.views.dependency.schema).parquet(source)
+    client_watch.watch_clients(arriving, changes, out, marks).trigger(availableNow=True).start().awaitTermination()
+    return b.spark.read.parquet(out)

@@ -667,8 +667,9 @@ oracle("embedded_names_correspond", """select pair_id, root, part, old_field_nam
  or old_embedded and new_embedded and not regexp_matches(old_field_name, '^[A-Z]') and not regexp_matches(new_field_name, '^[A-Z]') as corresponds from d_named_field""")
 oracle("unsupported_objects", "select rel_id, pkg_path, root, count(*) as n_unsupported from v_type_node where label = 't1' group by rel_id, pkg_path, root")
 
-oracle("breaking_changes", f"""select {server('server_url')} as server_name, server_url, old_tag, old_tag_time as olg_tag_time, new_tag, new_tag_time, old_pkg_name, new_pkg_name,
- old_pkg_path, new_pkg_path, change_node, changed_object as "changedObject", changed_type as "changedType", change_message as "changeMessage" from q_breaking""")
+BREAKING_REPORT = f"""select {server('server_url')} as server_name, server_url, old_tag, old_tag_time as olg_tag_time, new_tag, new_tag_time, old_pkg_name, new_pkg_name,
+ old_pkg_path, new_pkg_path, change_node, changed_object as "changedObject", changed_type as "changedType", change_message as "changeMessage" from q_breaking"""
+oracle("breaking_changes", BREAKING_REPORT)
 block("v_loaded_client", "select * from v_client c where not exists (select 1 from v_package p where p.module = c.url and p.tag = c.version and n_errors > 0)")
 block("v_used", """select * from v_identifier i where exists (
  select 1 from v_client c where c.url = i.server_url and c.version = i.version and contains(i.obj_string, c.path))""")
@@ -678,3 +679,6 @@ oracle("breaking_change_usage", """select f.module as library, f.old_tag, f.new_
 from v_used u join v_edges e on e.from_name = u.server_url and e.from_version = u.version and not e.indirect
 join q_forward f on f.module = e.to_name and f.old_tag = e.to_version and concat('package core ("', f.old_pkg_path, '")') = u.obj_pkg and string_split(f.change_node, '.')[-1] = u.obj_name""")
 oracle("minor_patch_breaks", f"select {DETAILS} from q_forward")
+oracle("stream_release_diff", BREAKING_REPORT)
+oracle("watch_clients", """select d.module_name as client, d.tag as client_version, f.module as library, f.old_tag, f.new_tag, f.pkg_path, f.change_node, f.change_message
+from v_dependency d join d_forward f on f.module = d.require_module_name and f.old_tag = d.require_module_version where d.tag <> '' and not d.require_module_indirect""")

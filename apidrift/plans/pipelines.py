@@ -38,32 +38,42 @@ class Comparison:
         return table.join(sides, ["rel_id", "pkg_path"]).drop("rel_id", "pkg_path", "module", "tag")
 
 
-def loaded_releases(snapshot: Snapshot, compat: bool = False) -> DataFrame:
-    """Module releases that loaded whole and carry a valid tag."""
-    kept = releases.valid_releases(releases.go_modules(snapshot.release), compat)
-    return releases.complete_releases(kept, snapshot.package)
+def count_packages(
+    snapshot: Snapshot, candidates: DataFrame, white_list: Sequence[str] = filters.WHITE_LIST
+) -> tuple[DataFrame, DataFrame]:
+    """Releases that loaded whole, with their package counts, and the packages by name (``kept`` or not).
 
-
-def compare_releases(snapshot: Snapshot, white_list: Sequence[str] = filters.WHITE_LIST, compat: bool = False) -> Comparison:
-    """Pair the releases and match their packages by name."""
+    One pass over the packages tells how many there are, how many the white list keeps, and whether all
+    of them loaded.
+    """
     listed = filters.is_white_listed(F.col("pkg_path"), list(white_list))
     packages = materialize(
         diff.packages_by_name(snapshot.package).withColumn("kept", ~listed).repartition("rel_id"), "packages"
     )
-    # One pass over the packages tells how many there are, how many stay, and whether all of them loaded.
     per_release = packages.groupBy("rel_id").agg(
         F.count(F.lit(1)).alias("n_packages"), F.count_if("kept").alias("n_kept"), F.max("n_errors").alias("n_errors")
     )
-    valid = releases.valid_releases(releases.go_modules(snapshot.release), compat)
-    counted = valid.join(per_release, "rel_id", "left").fillna(0, ["n_packages", "n_kept", "n_errors"])
-    pairs = releases.adjacent_releases(counted.filter("n_errors = 0").drop("n_errors"))
-    if compat:
-        pairs = releases.with_raw_old_label(pairs, snapshot.release)
+    counted = candidates.join(per_release, "rel_id", "left").fillna(0, ["n_packages", "n_kept", "n_errors"])
+    return counted.filter("n_errors = 0").drop("n_errors"), packages
+
+
+def match_packages(pairs: DataFrame, packages: DataFrame) -> Comparison:
+    """Packages of both sides of every pair, white-listed ones left out."""
     pairs = materialize(pairs, "pairs")
     matched = diff.diff_packages(pairs, packages.filter("kept")).join(pairs, "pair_id")
     return Comparison(pairs, materialize(matched, "packages"))
 
 
+def compare_releases(snapshot: Snapshot, white_list: Sequence[str] = filters.WHITE_LIST, compat: bool = False) -> Comparison:
+    """Pair the releases and match their packages by name."""
+    valid = releases.valid_releases(releases.go_modules(snapshot.release), compat)
+    counted, packages = count_packages(snapshot, valid, white_list)
+    pairs = releases.adjacent_releases(counted)
+    if compat:
+        pairs = releases.with_raw_old_label(pairs, snapshot.release)
+    return match_packages(pairs, packages)
+
+
 def api_changes(
     snapshot: Snapshot, comparison: Comparison, renames: bool = False, compat: bool = False
 ) -> DataFrame:
