@@ -377,16 +377,30 @@ def rule_blocks(prefix: str, scope: Sequence[str], types: str, fields: str, meth
         f"select m.{', m.'.join(scope)}, m.side, m.owner, m.method_name, m.sig_str, is_face from {methods} m join {p}_facts using ({on}, owner) where is_face or not ptr_receiver",
     )
 
-    def missing(side: str) -> str:
-        return (
-            f"exists (select 1 from {p}_held d where {same.format(a='d', b='f')} and d.owner = f.owner and d.side = '{side}' and not exists "
-            f"(select 1 from {p}_held h where {same.format(a='h', b='t')} and h.owner = t.owner and h.side = '{side}' and h.method_name = d.method_name and h.sig_str = d.sig_str))"
-        )
+    # Methods an interface asks for and a type has, per side; as many as asked means implemented.
+    block(
+        f"{p}_matched",
+        f"select f.{', f.'.join(scope)}, f.side, f.owner as face, t.owner, count(*) as n from {p}_held f join {p}_held t on {same.format(a='f', b='t')} "
+        f"and f.side = t.side and f.method_name = t.method_name and f.sig_str = t.sig_str where f.is_face group by f.{', f.'.join(scope)}, f.side, f.owner, t.owner",
+    )
+    block(f"{p}_asked", f"select {on}, side, owner as face, count(*) as n from {p}_held where is_face group by {on}, side, owner")
+
+    def tally(source: str, name: str, side: str, keys: str) -> str:
+        return f"left join (select {on}, {keys}, n as {name} from {source} where side = '{side}') {name}_rows using ({on}, {keys})"
 
     block(
         f"{p}_broken",
-        f"select {', '.join('t.' + c for c in scope)}, t.owner, f.owner as face, t.kind from {p}_facts f join {p}_facts t on {same.format(a='f', b='t')} and f.owner <> t.owner\n"
-        f"where f.is_face and not {missing('old')} and {missing('new')}",
+        f"select {on}, owner, face, kind from (select {', '.join('t.' + c for c in scope)}, t.owner, f.owner as face, t.kind from {p}_facts f "
+        f"join {p}_facts t on {same.format(a='f', b='t')} and f.owner <> t.owner where f.is_face) c\n"
+        + "\n".join(
+            [
+                tally(f"{p}_asked", "asked_old", "old", "face"),
+                tally(f"{p}_asked", "asked_new", "new", "face"),
+                tally(f"{p}_matched", "had_old", "old", "face, owner"),
+                tally(f"{p}_matched", "had_new", "new", "face, owner"),
+            ]
+        )
+        + "\nwhere coalesce(had_old, 0) = coalesce(asked_old, 0) and coalesce(had_new, 0) < coalesce(asked_new, 0)",
     )
     rule = ("true", "owner", "owner", "'type'", "''", "concat('named|', kind)", "concat('no longer implements ', face)", "false", "'implements'")
     block(f"{p}_broken_rows", rows(scope, f"{p}_broken", [rule]))
