@@ -39,7 +39,7 @@ def oracle(name: str, sql: str) -> None:
                 need(BLOCKS[other])
 
     need(sql)
-    head = ",\n".join(f"{n} as (\n{BLOCKS[n]}\n)" for n in BLOCKS if n in wanted)
+    head = ",\n".join(f"{n} as materialized (\n{BLOCKS[n]}\n)" for n in BLOCKS if n in wanted)
     ORACLE[name] = f"with {head}\n{sql}" if head else sql
 
 
