@@ -11,7 +11,7 @@ from apidrift.plans.catalog import QUERIES
 from apidrift.session import local_session
 
 # A query that has used this much measured time is not repeated again.
-SECONDS_PER_QUERY = 60
+SECONDS_PER_QUERY = 30
 HEADLINE = {
     "q1_breaking_changes": "breaking_changes",
     "q2_client_usage": "client_usage",
