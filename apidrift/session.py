@@ -28,14 +28,19 @@ def local_session(cores: int | str = 8, app_name: str = "apidrift") -> SparkSess
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder for cut lineage; a temporary one only where none is named."""
+    """The folder for cut lineage that driver and executors share, as named in ``spark.checkpoint.dir``.
+
+    A session inside one machine may leave it unset and gets a folder of its own; a cluster must name one.
+    """
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if configured:
         return configured.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_folders:
-        _own_folders[app] = tempfile.TemporaryDirectory(prefix="apidrift-", ignore_cleanup_errors=True)
-    return _own_folders[app].name
+    context = spark.sparkContext
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
+    if context.applicationId not in _own_folders:
+        _own_folders[context.applicationId] = tempfile.TemporaryDirectory(prefix="apidrift-", ignore_cleanup_errors=True)
+    return _own_folders[context.applicationId].name
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
