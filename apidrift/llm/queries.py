@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apidrift.llm import counts, frames, mixing, packing, pii, quality, simhash, topk, toxicity
+from apidrift.llm import counts, frames, html, mixing, packing, pii, quality, simhash, topk, toxicity
 from apidrift.llm.common import table
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op2_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token-id files of all documents, read back."""
     back = frames.token_frames(table(spark, sf_dir, "documents"))
@@ -62,7 +67,7 @@ def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_token_frames, op3_token_counts, op4_quality_rules, op5_toxicity_chain, op6_curve_packing,
+        op1_main_text, op2_token_frames, op3_token_counts, op4_quality_rules, op5_toxicity_chain, op6_curve_packing,
         op7_personal_data, op8_exact_top_k, op9_simhash_golay, op10_soft_mixing,
     )
 }

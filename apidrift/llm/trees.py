@@ -53,7 +53,7 @@ class _Grower:
         return root
 
     def _weight(self, g, h):
-        return -g / (h + self.l2)
+        return -g / np.maximum(h + self.l2, 1e-12)
 
     def _node(self, rows, gradient, hessian, rate, depth, low, high):
         at = len(self.feature)
