@@ -32,7 +32,7 @@ FOLDS = 5
 THRESHOLD = 0.5
 #: A word is a feature of a category where it stands in so many different labelled texts and in such a share of the
 #: category's texts, and that share lies this many standard errors above its share among the other texts.
-MIN_TEXTS, MIN_SHARE, MIN_ERRORS = 8, 0.02, 4.0
+MIN_TEXTS, MIN_SHARE, MIN_ERRORS = 5, 0.02, 4.0
 
 
 def normal_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
