@@ -36,13 +36,13 @@ def is_valid_semver(tag: Column, compat: bool = False) -> Column:
 def version_sort_key(tag: Column) -> Column:
     """Array that sorts as ``git tag --sort=v:refname`` does: digit runs compare as numbers.
 
-    A digit run becomes its length (four digits) and its text, so runs of any length keep their order.
+    A digit run becomes its length (ten digits, as many as a length can have) and its text, so runs of any length keep their order.
     """
     runs = F.regexp_extract_all(tag, F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
 
     def part(run: Column) -> Column:
         digits = F.regexp_replace(run, "^0+(?=[0-9])", "")
-        return F.when(run.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), 4, "0"), digits)).otherwise(run)
+        return F.when(run.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(run)
 
     return F.transform(runs, part)
 

@@ -297,7 +297,7 @@ def _met_types(items: DataFrame, sided: DataFrame, scope: Sequence[str]) -> Data
         _ancestors(met, keys).join(stops, here).filter(F.col("step") >= F.col("stop")).select(*keys, "path").distinct()
     )
     met = met.join(blocked, [*keys, "path"], "left_anti")
-    steps = F.transform("path", lambda s: F.lpad(s.cast("string"), 6, "0"))
+    steps = F.transform("path", lambda s: F.lpad(s.cast("string"), 10, "0"))
     return met.join(items.select(*scope, "old_root", *place), [*scope, "old_root"]).select(
         *scope, "old_name", "new_kind", "new_name",
         F.concat("pos", F.array("part"), steps).alias("pos"),
@@ -306,14 +306,15 @@ def _met_types(items: DataFrame, sided: DataFrame, scope: Sequence[str]) -> Data
 
 
 def establish_correspondence(
-    objects: DataFrame, sided: DataFrame, scope: Sequence[str] = SCOPE, max_rounds: int = 100
+    objects: DataFrame, sided: DataFrame, scope: Sequence[str] = SCOPE
 ) -> DataFrame:
     """Map old named types to new ones: the first pair met wins, even under a new name.
 
     ``objects`` are the exported names of both sides (``obj_name``, ``old_kind``, ``new_kind``). Objects are
     visited in name order; a type is entered where it is first mapped. Each round derives what the types
-    mapped so far lead to and keeps, per old type, the pair at the smallest place; rounds go on until the
-    mapping stands still, one per level of types within types.
+    mapped so far lead to and keeps, per old type, the pair at the smallest place. A package is done when its
+    mapping stands still, about one round per level of types within types, and only the others go on. A package
+    whose mapping comes back to an earlier state would go round for ever; it keeps that state.
     """
     key = [*scope, "old_name"]
     columns = [*scope, "old_name", "new_kind", "new_name", "pos", "chain"]
@@ -334,8 +335,15 @@ def establish_correspondence(
         best = F.min(F.struct("pos", "new_kind", "new_name", "chain")).alias("w")
         return candidates.groupBy(*key).agg(best).select(*key, *[F.col("w")[c].alias(c) for c in ("new_kind", "new_name", "pos", "chain")])
 
+    def state(mapping: DataFrame) -> DataFrame:
+        """One fingerprint per package."""
+        row = F.xxhash64("old_name", "new_kind", "new_name", F.to_json(F.struct("pos", "chain")))
+        return mapping.groupBy(*scope).agg(F.sum(row.cast("decimal(38,0)")).alias("state"))
+
     mapping = materialize(winners(direct), "mapping")
-    for _ in range(max_rounds):
+    seen = materialize(state(mapping), "states")
+    settled = None
+    while True:
         items = mapping.filter("new_kind = 'named'").select(
             *scope, F.col("old_name").alias("old_root"), F.col("new_name").alias("new_root"), "pos",
             F.concat("chain", F.array("old_name")).alias("chain"),
@@ -344,9 +352,12 @@ def establish_correspondence(
         # A type is never entered again from within itself.
         derived = derived.filter(~F.array_contains("chain", F.col("old_name")))
         following = materialize(winners(direct.unionByName(derived.select(*columns))), "mapping")
-        moved = following.join(mapping, [*key, "new_kind", "new_name", "pos"], "left_anti")
-        gone = mapping.join(following, key, "left_anti")
-        mapping = following
-        if moved.isEmpty() and gone.isEmpty():
-            return mapping.drop("chain")
-    raise RuntimeError(f"type correspondence did not settle in {max_rounds} rounds")
+        now = materialize(state(following), "states")
+        going = materialize(now.join(seen, [*scope, "state"], "left_anti").select(*scope), "going")
+        done = following.join(going, list(scope), "left_anti")
+        settled = done if settled is None else settled.unionByName(done)
+        if going.isEmpty():
+            return settled.drop("chain")
+        seen = seen.unionByName(now)
+        mapping = following.join(going, list(scope), "left_semi")
+        direct = direct.join(going, list(scope), "left_semi")

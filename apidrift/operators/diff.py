@@ -125,11 +125,19 @@ def diff_objects(sided: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
     return align(sided.filter("exported"), [*scope, "obj_name"], columns)
 
 
+def with_mapped_types(aligned: DataFrame, type_corr: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
+    """Mark aligned objects whose old type was mapped to something else than the new type of its name."""
+    other = (F.col("new_kind") != "named") | (F.col("new_name") != F.col("old_name"))
+    moved = type_corr.filter(other).select(*scope, F.col("old_name").alias("obj_name"), F.lit(True).alias("mapped_elsewhere"))
+    return aligned.join(moved, [*scope, "obj_name"], "left")
+
+
 def check_objects(aligned: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
     """Rule rows of objects: removed, added, kind, type and constant value.
 
     Types are compared by ``corr_key`` unless the rows bring the outcome of a comparison of the trees.
-    Named types that exist on both sides are left to the type rules.
+    Named types that exist on both sides are left to the type rules, unless the old one was met before under
+    another name (``mapped_elsewhere``).
     """
     name = F.col("obj_name")
     old_kind, new_kind = F.col("old_obj_kind"), F.col("new_obj_kind")
@@ -160,6 +168,9 @@ def check_objects(aligned: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame
         F.when(both_const & ~same_type, row(old_kind, old_type, untyped, False, "kind")),
         F.when(both_const & same_type & ~same_value, row(old_kind, old_type, values, False, "value")),
     )
+    if "mapped_elsewhere" in aligned.columns:
+        clash = change_message(F.lit(""), name, name)
+        exclusive = F.coalesce(exclusive, F.when(both_types & F.col("mapped_elsewhere"), row(old_kind, old_type, clash, False, "kind")))
     opened = row(old_kind, F.col("new_type_kind"), F.lit("changed from func to var"), True, "kind")
     return emit(aligned, scope, [exclusive, F.when(func_to_var, opened)])
 

@@ -1,9 +1,7 @@
 """Running values over long ordered groups, without putting one group into one task.
 
-A plain window sends each group to one task. That is the right plan while the input is small
-enough for any single task; beyond it the rows are range-partitioned by group and order, the
-window runs inside each slice, and what a slice must know of the earlier slices of its group
-travels as one summary row per slice.
+Rows are range-partitioned by group and order, the window runs inside each slice, and what a slice must know of the
+earlier slices of its group travels as one summary row per slice and group. The plan is the same for every size.
 """
 
 from __future__ import annotations
@@ -15,28 +13,6 @@ from pyspark.sql import functions as F
 
 from apidrift.session import materialize
 
-PLAIN_WINDOW_BYTES = 256 * 1024 * 1024
-PLAIN_WINDOW_ROWS = 4_000_000
-ROWS_PER_SLICE = 2_000_000
-
-
-def planned_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def has_long_group(df: DataFrame, by: Sequence[str]) -> bool:
-    """Whether some group holds more rows than one task should sort.
-
-    Small inputs are answered from their size alone; large ones cost one counting job whose
-    partial counts are combined before the shuffle.
-    """
-    if planned_bytes(df) <= PLAIN_WINDOW_BYTES:
-        return False
-    longest = df.groupBy(*by).count().agg(F.max("count")).first()[0]
-    return (longest or 0) > PLAIN_WINDOW_ROWS
-
-
 def running(
     df: DataFrame,
     by: Sequence[str],
@@ -53,30 +29,10 @@ def running(
     * ``previous``: name -> value of the row before, NULL on the first row.
     * ``last_where``: name -> (condition, value): value of the latest earlier row that meets the condition.
 
-    ``slices`` forces the sliced plan with that many slices; otherwise it is chosen by size.
+    Rows with a NULL key are a group of their own. ``slices`` is the number of slices, else that of shuffle partitions.
     """
-    previous = previous or {}
-    last_where = last_where or {}
-    if slices is None and not has_long_group(df, by):
-        return _windowed(df, list(by), order, number, previous, last_where)
-    if slices is None:
-        slices = max(int(df.count() // ROWS_PER_SLICE) + 1, 2)
-    return _sliced(df, list(by), order, number, previous, last_where, slices)
-
-
-def _windowed(df, by, order, number, previous, last_where) -> DataFrame:
-    window = Window.partitionBy(*by).orderBy(*order)
-    earlier = window.rowsBetween(Window.unboundedPreceding, -1)
-    columns = {}
-    if number:
-        columns[number] = F.row_number().over(window).cast("bigint")
-    for name, value in previous.items():
-        columns[name] = F.lag(value).over(window)
-    for name, (condition, value) in last_where.items():
-        # A struct keeps a NULL value apart from "no such row".
-        hit = F.last(F.when(condition, F.struct(value.alias("v"))), ignorenulls=True).over(earlier)
-        columns[name] = hit["v"]
-    return df.withColumns(columns)
+    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _sliced(df, list(by), list(order), number, previous or {}, last_where or {}, slices)
 
 
 def _sliced(df, by, order, number, previous, last_where, slices) -> DataFrame:
@@ -120,9 +76,10 @@ def _sliced(df, by, order, number, previous, last_where, slices) -> DataFrame:
             }
         )
         .filter(F.col("_offset").isNotNull())
-        .select(*key, "_offset", *[f"{name}_before" for name in [*carried, *marked]])
+        .select(*[F.col(c).alias(f"_h{c}") for c in key], "_offset", *[f"{name}_before" for name in [*carried, *marked]])
     )
-    joined = numbered.join(F.broadcast(handed), key, "left")
+    same_group = [F.col(c).eqNullSafe(F.col(f"_h{c}")) for c in key]
+    joined = numbered.join(handed, same_group, "left")
     columns = {}
     if number:
         columns[number] = F.col("_number") + F.coalesce(F.col("_offset"), F.lit(0))

@@ -28,8 +28,10 @@ def no_longer_implements(types: DataFrame, methods: DataFrame, scope: Sequence[s
     sig = ["method_name", "corr_key"]
     old_kind, new_kind = F.col("old_underlying_kind"), F.col("new_underlying_kind")
     facts = types.select(
-        *scope, "owner", ((old_kind == "interface") & (new_kind == "interface")).alias("is_face"), new_kind.alias("kind")
+        *scope, "owner", ((old_kind == "interface") & (new_kind == "interface")).alias("is_face"), new_kind.alias("kind"),
+        *([F.coalesce("new_is_basic", F.lit(False)).alias("is_basic")] if "new_is_basic" in types.columns else []),
     )
+    printed = [c for c in ("kind", "is_basic") if c in facts.columns]
     held = (
         methods.join(facts, [*scope, "owner"])
         .filter(F.col("in_value_set") | F.col("is_face"))
@@ -68,7 +70,7 @@ def no_longer_implements(types: DataFrame, methods: DataFrame, scope: Sequence[s
         .agg(F.bool_and(~F.col("was_asked") | met_old).alias("did"), F.bool_and(~F.col("is_asked") | met_new).alias("does"))
     )
     broken = verdict.filter("did and not does").select(*pair)
-    return broken.join(facts.select(*scope, "owner", "kind"), [*scope, "owner"])
+    return broken.join(facts.select(*scope, "owner", *printed), [*scope, "owner"])
 
 
 def satisfaction_changes(broken: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
@@ -76,4 +78,7 @@ def satisfaction_changes(broken: DataFrame, scope: Sequence[str] = SCOPE) -> Dat
     owner = F.col("owner")
     text = F.concat(F.lit("no longer implements "), "face")
     kind = F.concat(F.lit("named|"), "kind")
+    if "is_basic" in broken.columns:
+        # The new type is a basic one itself, not a named one.
+        kind = F.when(F.col("is_basic"), "basic").otherwise(kind)
     return emit(broken, scope, [message(owner, owner, F.lit("type"), F.lit(""), kind, text, False, "implements", 8)])

@@ -21,7 +21,7 @@ WIDENING_LINES = (
 )
 TYPE_COLUMNS = (
     "underlying_kind", "underlying_corr_key", "underlying_str", "comparable",
-    "chan_dir", "elem_corr_key", "elem_str", "elem_kind", "basic_name",
+    "chan_dir", "elem_corr_key", "elem_str", "elem_kind", "basic_name", "is_basic",
 )
 
 
@@ -67,6 +67,19 @@ def under_old_names(sided: DataFrame, type_corr: DataFrame, scope: Sequence[str]
     return sided.join(names, [*scope, "side", column]).drop(column).withColumnRenamed("old_name", column)
 
 
+def roots_under_old_names(nodes: DataFrame, type_corr: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Type trees with those of the new side's mapped types under the old names.
+
+    A tree of the new side that stands under the old name of a type mapped to something else is left out.
+    """
+    named = type_corr.filter("new_kind = 'named'")
+    to_old = named.select(*scope, F.lit("new").alias("side"), F.col("new_name").alias("root"), F.col("old_name").alias("_old"))
+    taken = type_corr.select(*scope, F.lit("new").alias("side"), F.col("old_name").alias("root"), F.lit(True).alias("_taken"))
+    key = [*scope, "side", "root"]
+    kept = nodes.join(to_old, key, "left").join(taken, key, "left").filter("_old is not null or _taken is null")
+    return kept.withColumn("root", F.coalesce("_old", "root")).drop("_old", "_taken")
+
+
 def with_basic_targets(sided: DataFrame, type_corr: DataFrame) -> DataFrame:
     """Types plus a new-side row for every basic type that an old named type was mapped to."""
     scope = [c for c in type_corr.columns if c not in ("old_name", "new_kind", "new_name", "pos")]
@@ -79,6 +92,7 @@ def with_basic_targets(sided: DataFrame, type_corr: DataFrame) -> DataFrame:
         F.col("new_name").alias("underlying_str"),
         F.lit(True).alias("comparable"),
         F.col("new_name").alias("basic_name"),
+        F.lit(True).alias("is_basic"),
     )
     return sided.unionByName(basics.distinct(), allowMissingColumns=True)
 
@@ -280,7 +294,9 @@ def diff_methods(
     owned = F.col("old_recv_is_owner")
     # A removal that came by embedding names the method set, so that it stays beside the removal of
     # the embedded type itself.
-    from_pointer_set = F.when(owned, _kind_part("old")).otherwise(F.concat(F.lit(", method set of *"), "owner"))
+    # An interface has one set, without the star.
+    star = "*" if value_set else ""
+    from_pointer_set = F.when(owned, _kind_part("old")).otherwise(F.concat(F.lit(f", method set of {star}"), "owner"))
     from_value_set = F.when(owned, _kind_part("old")).otherwise(F.concat(F.lit(", method set of "), "owner"))
     # A value method that became a pointer method is also removed from the value set; keying its
     # signature change on the new method keeps both rows.

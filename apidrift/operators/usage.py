@@ -14,10 +14,12 @@ def touches_third_party(obj_string: Column, paths: Column) -> Column:
 
 
 def segment_match(obj_string: Column, paths: Column) -> Column:
-    """Stricter form: the path must end where a path piece ends."""
-    boundary = "(^|[^0-9A-Za-z_./-])\\Q{}\\E($|[^0-9A-Za-z_-])"
-    head, tail = boundary.split("{}")
-    return F.exists(paths, lambda path: F.regexp_like(obj_string, F.concat(F.lit(head), path, F.lit(tail))))
+    """Stricter form: the path must stand between boundaries of path pieces.
+
+    Occurrences are marked as plain text first, so one fixed pattern serves every path.
+    """
+    between = F.lit("(^|[^0-9A-Za-z_./-])\u0001($|[^0-9A-Za-z_-])")
+    return F.exists(paths, lambda path: F.regexp_like(F.replace(obj_string, path, F.lit("\u0001")), between))
 
 
 def all_identifiers(defs: DataFrame, uses: DataFrame) -> DataFrame:
@@ -29,13 +31,15 @@ def third_party_usage(identifiers: DataFrame, client_versions: DataFrame, strict
     """Identifiers of a client version that touch one of its own third-party packages.
 
     The equi-join on (url, version) comes first; paths are tested inside the joined row, so there is
-    never a pair of an identifier with a foreign client's path.
+    never a pair of an identifier with a foreign client's path. A client version may list several folders
+    (``path``), each with its own packages: identifiers that tell their folder meet its list alone, others the
+    lists of all folders together, so that no identifier is reported twice.
     """
-    paths = client_versions.select(
-        F.col("url").alias("server_url"), "version", pkg_path(F.col("pkg_info")).alias("pkg_paths")
-    )
+    key = ["server_url", "version", *(["path"] if "path" in identifiers.columns else [])]
+    lists = client_versions.withColumnRenamed("url", "server_url").groupBy(*key).agg(F.collect_set("pkg_info").alias("lists"))
+    paths = lists.select(*key, pkg_path(F.array_distinct(F.flatten("lists"))).alias("pkg_paths"))
     match = segment_match if strict else touches_third_party
-    joined = identifiers.join(paths, ["server_url", "version"])
+    joined = identifiers.join(paths, key)
     return joined.filter(match(F.col("obj_string"), F.col("pkg_paths"))).drop("pkg_paths")
 
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from dataclasses import replace
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 PAIR = ["pair_id"]
 PACKAGE = ["rel_id", "pkg_path"]
+# Folders of breaking changes and of their report, by session and table folder.
+_stored: dict[tuple[str, str], tuple[str, str]] = {}
 
 
 class Bench:
@@ -88,15 +91,31 @@ class Bench:
         methods = views.api_methods(PACKAGE).join(kinds, [*PACKAGE, "owner"])
         return Snapshot(views.release, views.package, views.api_object, named, views.api_fields(PACKAGE), methods)
 
-    def stored_snapshot(self) -> Snapshot:
+    def stored_snapshot(self, with_trees: bool = False) -> Snapshot:
         """The same, written as a snapshot and read back."""
         path = fresh_path(self.spark, "snapshot")
-        writers.write_api_snapshot(self.snapshot, path)
-        return readers.read_api_snapshot(self.spark, path)
+        trees = self.views.api_type_node if with_trees else None
+        writers.write_api_snapshot(replace(self.snapshot, api_type_node=trees), path)
+        return readers.read_api_snapshot(self.spark, path, with_trees)
 
     @cached_property
     def breaking(self) -> DataFrame:
-        return pipelines.breaking_changes(self.snapshot)
+        """The breaking changes of these tables, stored once per session for the queries that start from them."""
+        key = (self.spark.sparkContext.applicationId, self.views.sf_dir)
+        if key not in _stored:
+            changes = pipelines.breaking_changes(self.snapshot)
+            path, report = fresh_path(self.spark, "breaking"), fresh_path(self.spark, "report")
+            changes.write.parquet(path)
+            stored = self.spark.read.schema(changes.schema).parquet(path)
+            writers.write_change_report(stored, report)
+            _stored[key] = path, report
+        return self.spark.read.parquet(_stored[key][0])
+
+    @cached_property
+    def report(self) -> DataFrame:
+        """Their change report, read back."""
+        _ = self.breaking
+        return readers.read_change_report(self.spark, _stored[self.spark.sparkContext.applicationId, self.views.sf_dir][1])
 
 
 def query(build: Callable[[Bench], DataFrame]) -> Callable[[Bench], DataFrame]:
@@ -188,10 +207,6 @@ def _written_imports(b: Bench) -> str:
     return f"{path}/importPkg"
 
 
-def _rows_per_server(b: Bench, path: str) -> DataFrame:
-    return b.spark.read.option("header", True).csv(path).groupBy("server").agg(F.count(F.lit(1)).alias("n_rows"))
-
-
 @query
 def read_identifier_usage(b: Bench) -> DataFrame:
     return readers.read_identifier_usage(b.spark, _written_usage(b))
@@ -199,7 +214,7 @@ def read_identifier_usage(b: Bench) -> DataFrame:
 
 @query
 def write_identifier_usage(b: Bench) -> DataFrame:
-    return _rows_per_server(b, _written_usage(b))
+    return b.spark.read.option("header", True).option("escape", '"').csv(_written_usage(b)).fillna("")
 
 
 @query
@@ -209,13 +224,28 @@ def read_imports(b: Bench) -> DataFrame:
 
 @query
 def write_imports(b: Bench) -> DataFrame:
-    return _rows_per_server(b, _written_imports(b))
+    return b.spark.read.option("header", True).option("escape", '"').csv(_written_imports(b)).fillna("")
 
 
 @query
 def read_api_snapshot(b: Bench) -> DataFrame:
-    columns = ("rel_id", "pkg_path", "obj_name", "exported", "obj_kind", "type_str", "const_val")
-    return b.stored_snapshot().api_object.select(*columns)
+    """Every table of the snapshot, a row as its name and one fact."""
+    stored = b.stored_snapshot(with_trees=True)
+    dotted = lambda *names: F.concat_ws(".", *names)
+    facts = {
+        "release": (F.lit(""), F.col("tag"), F.col("server_url")),
+        "package": (F.col("pkg_path"), F.col("pkg_name"), F.col("n_errors")),
+        "api_object": (F.col("pkg_path"), F.col("obj_name"), dotted("obj_kind", "type_str", "const_val")),
+        "api_type": (F.col("pkg_path"), F.col("type_name"), dotted("underlying_kind", "underlying_str")),
+        "api_field": (F.col("pkg_path"), dotted("owner", "field_name"), F.col("type_str")),
+        "api_method": (F.col("pkg_path"), dotted("owner", "method_name"), dotted("recv_kind", "sig_str")),
+        "api_type_node": (F.col("pkg_path"), dotted("root", _joined(F.col("path").cast("array<string>"))), dotted("node_kind", "label")),
+    }
+    tables = [
+        getattr(stored, table).select(F.lit(table).alias("table_name"), "rel_id", where.alias("pkg_path"), name.alias("name"), fact.cast("string").alias("fact"))
+        for table, (where, name, fact) in facts.items()
+    ]
+    return reduce(DataFrame.unionByName, tables)
 
 
 @query
@@ -815,9 +845,19 @@ def breaking_changes(b: Bench) -> DataFrame:
 
 @query
 def client_usage(b: Bench) -> DataFrame:
+    return pipelines.client_usage(b.views.identifier, b.views.client_version, *_client_facts(b))
+
+
+@query
+def client_imports(b: Bench) -> DataFrame:
+    return pipelines.client_imports(_imports(b), b.views.client_version, *_client_facts(b))
+
+
+def _client_facts(b: Bench) -> tuple[DataFrame, DataFrame]:
+    """Releases and packages of the clients, by url and version."""
+    key = [F.col("module").alias("url"), F.col("tag").alias("version")]
     packages = b.views.package.join(b.views.release.select("rel_id", "tag"), "rel_id")
-    packages = packages.select(F.col("module").alias("url"), F.col("tag").alias("version"), "n_errors")
-    return pipelines.client_usage(b.views.identifier, b.views.client_version, packages)
+    return b.views.release.select(*key, "has_go_mod"), packages.select(*key, "n_errors")
 
 
 @query
@@ -834,7 +874,7 @@ def breaking_change_usage(b: Bench) -> DataFrame:
 
 @query
 def minor_patch_breaks(b: Bench) -> DataFrame:
-    return pipelines.minor_patch_breaks(b.breaking)
+    return pipelines.minor_patch_breaks(b.report)
 
 
 # --- streams -----------------------------------------------------------------------------------------

@@ -56,7 +56,7 @@ def sort_key(tag: str) -> str:
     number = "coalesce(nullif(ltrim(x, '0'), ''), '0')"
     return (
         f"list_transform(regexp_extract_all({tag}, '([0-9]+|[^0-9]+)'), lambda x: "
-        f"case when regexp_matches(x, '^[0-9]') then concat(lpad(cast(length({number}) as varchar), 4, '0'), {number}) else x end)"
+        f"case when regexp_matches(x, '^[0-9]') then concat(lpad(cast(length({number}) as varchar), 10, '0'), {number}) else x end)"
     )
 
 
@@ -524,10 +524,16 @@ oracle("read_dependencies", "select module_name, go_version, tag, tag_time, requ
 oracle("read_change_report", f"select {READ_BACK} from d_breaking")
 oracle("write_change_report", f"select {server('server_url')} as server_name, {READ_BACK}, new_tag_time, 'p' as new_pkg_name, pkg_path as new_pkg_path from d_breaking")
 oracle("read_identifier_usage", f"select {IDENTIFIER_REPORT.replace('server_url', CLONE_URL + ' as server_url', 1)} from v_identifier")
-oracle("write_identifier_usage", f"select {server(CLONE_URL)} as server, count(*) as n_rows from v_identifier group by 1")
+oracle("write_identifier_usage", f"select {server(CLONE_URL)} as server, {IDENTIFIER_REPORT.replace('server_url', CLONE_URL + ' as server_url', 1)} from v_identifier")
 oracle("read_imports", f"select {CLONE_URL} as server_url, pkg_path, min(pkg_name) as pkg_name, version from v_imports group by server_url, version, pkg_path")
-oracle("write_imports", f"select {server(CLONE_URL)} as server, count(*) as n_rows from (select distinct server_url, version, pkg_path from v_imports) i group by 1")
-oracle("read_api_snapshot", "select rel_id, pkg_path, obj_name, exported, obj_kind, type_str, const_val from v_api_object")
+oracle("write_imports", f"select {server(CLONE_URL)} as server, {CLONE_URL} as server_url, pkg_path, min(pkg_name) as pkg_name, version from v_imports group by server_url, version, pkg_path")
+oracle("read_api_snapshot", """select 'release' as table_name, rel_id, '' as pkg_path, tag as name, server_url as fact from v_release
+union all select 'package', rel_id, pkg_path, pkg_name, cast(n_errors as varchar) from v_package
+union all select 'api_object', rel_id, pkg_path, obj_name, concat_ws('.', obj_kind, type_str, const_val) from v_api_object
+union all select 'api_type', rel_id, pkg_path, owner, concat_ws('.', underlying_kind, underlying_str) from v_pkg_type
+union all select 'api_field', rel_id, pkg_path, concat_ws('.', owner, field_name), type_str from v_pkg_field
+union all select 'api_method', rel_id, pkg_path, concat_ws('.', owner, method_name), concat_ws('.', recv_kind, sig_str) from v_pkg_method
+union all select 'api_type_node', rel_id, pkg_path, concat_ws('.', root, path), concat_ws('.', node_kind, label) from v_type_node""")
 GRAPH = """
 select 'node' as kind, module_name as from_name, tag as from_version, '' as to_name, '' as to_version, '' as indirect from v_dependency where tag <> ''
 union select 'node', require_module_name, require_module_version, '', '', '' from v_dependency where tag <> ''
@@ -684,15 +690,18 @@ oracle("unsupported_objects", "select rel_id, pkg_path, root, count(*) as n_unsu
 BREAKING_REPORT = f"""select {server('server_url')} as server_name, server_url, old_tag, old_tag_time as olg_tag_time, new_tag, new_tag_time, old_pkg_name, new_pkg_name,
  old_pkg_path, new_pkg_path, change_node, changed_object as "changedObject", changed_type as "changedType", change_message as "changeMessage" from q_breaking"""
 oracle("breaking_changes", BREAKING_REPORT)
-block("v_loaded_client", "select * from v_client c where not exists (select 1 from v_package p where p.module = c.url and p.tag = c.version and n_errors > 0)")
+block("v_loaded_client", "select * from v_client c where not exists (select 1 from v_package p where p.module = c.url and p.tag = c.version and n_errors > 0) and exists (select 1 from v_release r where r.module = c.url and r.tag = c.version and r.has_go_mod)")
 block("v_used", """select * from v_identifier i where exists (
  select 1 from v_client c where c.url = i.server_url and c.version = i.version and contains(i.obj_string, c.path))""")
 oracle("client_usage", f"""select {IDENTIFIER_REPORT} from v_identifier i where exists (
  select 1 from v_loaded_client c where c.url = i.server_url and c.version = i.version and contains(i.obj_string, c.path))""")
 oracle("breaking_change_usage", """select f.module as library, f.old_tag, f.new_tag, f.old_pkg_path as obj_pkg_path, u.obj_name, f.change_node, f.change_message, u.server_url as client, u.version as client_version, u.id_pos
 from v_used u join v_edges e on e.from_name = u.server_url and e.from_version = u.version and not e.indirect
-join q_forward f on f.module = e.to_name and f.old_tag = e.to_version and concat('package core ("', f.old_pkg_path, '")') = u.obj_pkg and string_split(f.change_node, '.')[-1] = u.obj_name""")
+join q_forward f on f.module = e.to_name and f.old_tag = e.to_version and concat('package core ("', f.old_pkg_path, '")') = u.obj_pkg and (f.change_node = '' or string_split(f.change_node, '.')[-1] = u.obj_name)""")
 oracle("minor_patch_breaks", f"select {DETAILS} from q_forward")
 oracle("stream_release_diff", BREAKING_REPORT)
-oracle("watch_clients", """select d.module_name as client, d.tag as client_version, f.module as library, f.old_tag, f.new_tag, f.pkg_path, f.change_node, f.change_message
-from v_dependency d join d_forward f on f.module = d.require_module_name and f.old_tag = d.require_module_version where d.tag <> '' and not d.require_module_indirect""")
+oracle("watch_clients", """select d.module_name as client, d.tag as client_version, f.module as library, f.old_tag, f.new_tag, f.n_changes
+from v_dependency d join (select module, old_tag, new_tag, count(*) as n_changes from d_forward group by module, old_tag, new_tag) f
+on f.module = d.require_module_name and f.old_tag = d.require_module_version where d.tag <> '' and not d.require_module_indirect""")
+oracle("client_imports", """select server_url, version, pkg_path, min(pkg_name) as pkg_name from v_imports i where exists (
+ select 1 from v_loaded_client c where c.url = i.server_url and c.version = i.version) group by server_url, version, pkg_path""")

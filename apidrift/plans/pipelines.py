@@ -15,7 +15,10 @@ from apidrift.operators import correspondence, diff, filters, graph, messages, r
 from apidrift.operators.diff import SCOPE
 from apidrift.session import materialize
 from apidrift.sources.readers import Snapshot
-from apidrift.sources.writers import to_change_report
+
+# How a method is printed in a change and in an identifier; both give its receiver's type.
+METHOD_NODE = r"^\(?\*?([^.()*]+)\)?\."
+METHOD_STRING = r"^func \(\*?(?:[^()]*[./])?([^.()]+)\)\."
 
 
 @dataclass
@@ -75,10 +78,17 @@ def compare_releases(snapshot: Snapshot, white_list: Sequence[str] = filters.WHI
 
 
 def api_changes(
-    snapshot: Snapshot, comparison: Comparison, renames: bool = False, compat: bool = False
+    snapshot: Snapshot, comparison: Comparison, renames: bool | None = None, compat: bool = False
 ) -> DataFrame:
-    """Every change of every compared package, compatible ones included, in reported form."""
+    """Every change of every compared package, compatible ones included, in reported form.
 
+    ``renames`` follows types through the exported API, under new names and unexported ones alike. It needs the type
+    trees and is on where the snapshot has them.
+    """
+    if renames is None:
+        renames = snapshot.api_type_node is not None
+    if renames and snapshot.api_type_node is None:
+        raise ValueError("following renamed types needs a snapshot with type trees")
     objects = comparison.scoped(snapshot.api_object)
     named = comparison.scoped(snapshot.api_type)
     fields = comparison.scoped(snapshot.api_field)
@@ -92,6 +102,7 @@ def api_changes(
         named = types.under_old_names(types.with_basic_targets(named, rename_map), rename_map, SCOPE, "type_name")
         methods = types.under_old_names(methods, rename_map, SCOPE)
         fields = types.under_old_names(fields, rename_map, SCOPE)
+        nodes = materialize(types.roots_under_old_names(nodes, rename_map, SCOPE), "nodes")
     else:
         named = named.filter(is_exported(F.col("type_name")))
     if nodes is not None:
@@ -119,7 +130,10 @@ def api_changes(
         SCOPE,
         compat,
     )
-    object_rows = diff.check_objects(diff.diff_objects(objects))
+    object_pairs = diff.diff_objects(objects)
+    if renames:
+        object_pairs = diff.with_mapped_types(object_pairs, rename_map, SCOPE)
+    object_rows = diff.check_objects(object_pairs)
     if renames:
         # A removed type can also be one that no longer implements an interface.
         rows = messages.dedupe_messages(rows.unionByName(object_rows), SCOPE, compat)
@@ -136,7 +150,7 @@ def api_changes(
 def breaking_changes(
     snapshot: Snapshot,
     white_list: Sequence[str] = filters.WHITE_LIST,
-    renames: bool = False,
+    renames: bool | None = None,
     compat: bool = False,
 ) -> DataFrame:
     """Reportable breaking changes of all neighbouring releases."""
@@ -144,14 +158,33 @@ def breaking_changes(
     return filters.reportable(api_changes(snapshot, comparison, renames, compat))
 
 
-def client_usage(identifiers: DataFrame, client_versions: DataFrame, client_packages: DataFrame | None = None) -> DataFrame:
-    """Third-party identifiers of every client version that has packages and loaded whole."""
+def wanted_clients(client_versions: DataFrame, client_releases: DataFrame | None = None, client_packages: DataFrame | None = None) -> DataFrame:
+    """Client versions that list packages, carry a module file (``client_releases``) and loaded whole."""
     wanted = filters.has_packages(client_versions)
+    key = ["url", "version"]
+    if client_releases is not None:
+        wanted = wanted.join(releases.go_modules(client_releases).select(*key), key, "left_semi")
     if client_packages is not None:
-        wanted = releases.complete_releases(wanted, client_packages, ["url", "version"])
+        wanted = releases.complete_releases(wanted, client_packages, key)
+    return wanted
+
+
+def client_usage(
+    identifiers: DataFrame, client_versions: DataFrame, client_releases: DataFrame | None = None, client_packages: DataFrame | None = None
+) -> DataFrame:
+    """Third-party identifiers of every wanted client version."""
+    wanted = wanted_clients(client_versions, client_releases, client_packages)
     return usage.to_identifier_report(usage.third_party_usage(filters.drop_null_objects(identifiers), wanted))
 
 
+def client_imports(
+    imports: DataFrame, client_versions: DataFrame, client_releases: DataFrame | None = None, client_packages: DataFrame | None = None
+) -> DataFrame:
+    """The imported packages of every wanted client version, each once."""
+    wanted = wanted_clients(client_versions, client_releases, client_packages).withColumnRenamed("url", "server_url")
+    return usage.distinct_imports(imports.join(wanted, ["server_url", "version"], "left_semi"))
+
+
 def dependency_graph(dependencies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of the module graph."""
     return graph.module_nodes(dependencies), graph.module_edges(dependencies)
@@ -160,32 +193,39 @@ def dependency_graph(dependencies: DataFrame) -> tuple[DataFrame, DataFrame]:
 def breaking_change_usage(changes: DataFrame, edges: DataFrame, used: DataFrame, compat: bool = False) -> DataFrame:
     """Which client identifiers a breaking change of a minor or patch update reaches.
 
+    A deleted package reaches every identifier of the package; a changed method those with its receiver. Fields are
+    known by name alone, as identifiers do not tell their struct.
+
     Identifiers are first cut to changed objects, then tied to the one library version the client requires,
     then to that version's changes. Every step is an equi-join in which one side is unique or nearly so;
     joining changes with clients first would multiply popular libraries by all their clients.
     """
-    breaking = changes.filter(is_minor_or_patch(F.col("old_tag"), F.col("new_tag"), compat)).withColumn(
-        "obj_name", F.substring_index("change_node", ".", -1)
+    breaking = changes.filter(is_minor_or_patch(F.col("old_tag"), F.col("new_tag"), compat)).withColumns(
+        {
+            "obj_name": F.substring_index("change_node", ".", -1),
+            "receiver": F.when(F.col("changed_object") == "func", F.regexp_extract("change_node", METHOD_NODE, 1)).otherwise(""),
+        }
     )
-    target = ["obj_pkg_path", "obj_name"]
+    target = ["obj_pkg_path", "obj_name", "receiver"]
     breaking = breaking.select(
         F.col("module").alias("library"),
         "old_tag",
         "new_tag",
         F.col("old_pkg_path").alias("obj_pkg_path"),
         "obj_name",
+        "receiver",
         "change_node",
         "change_message",
     )
-    # Read twice below, and far smaller than what it takes to compute.
+    # Read several times below, and far smaller than what it takes to compute.
     breaking = materialize(breaking, "breaking")
-    changed = breaking.select("library", *target).distinct()
     idents = used.select(
         F.col("server_url").alias("client"),
         F.col("version").alias("client_version"),
         "id_pos",
         "obj_name",
         obj_pkg_path(F.col("obj_pkg")).alias("obj_pkg_path"),
+        F.regexp_extract("obj_string", METHOD_STRING, 1).alias("receiver"),
     ).filter("obj_pkg_path != ''")
     required = edges.filter(~F.col("indirect")).select(
         F.col("from_name").alias("client"),
@@ -193,17 +233,25 @@ def breaking_change_usage(changes: DataFrame, edges: DataFrame, used: DataFrame,
         F.col("to_name").alias("library"),
         F.col("to_version").alias("old_tag"),
     )
-    return (
-        idents.join(changed, target)
-        .join(required, ["client", "client_version", "library"])
-        .join(breaking, ["library", "old_tag", *target])
-        .select(
-            "library", "old_tag", "new_tag", "obj_pkg_path", "obj_name", "change_node", "change_message",
-            "client", "client_version", "id_pos",
+    columns = [
+        "library", "old_tag", "new_tag", "obj_pkg_path", "obj_name", "change_node", "change_message",
+        "client", "client_version", "id_pos",
+    ]
+
+    def reached(part: DataFrame, on: list[str]) -> DataFrame:
+        """Identifiers that the changes in ``part`` reach, matched by ``on``."""
+        part = part.drop(*[c for c in target if c not in on])
+        return (
+            idents.join(part.select("library", *on).distinct(), on)
+            .join(required, ["client", "client_version", "library"])
+            .join(part, ["library", "old_tag", *on])
+            .select(*columns)
         )
-    )
+
+    objects, packages = breaking.filter("change_node != ''"), breaking.filter("change_node = ''")
+    return reached(objects, target).unionByName(reached(packages, ["obj_pkg_path"]))
 
 
-def minor_patch_breaks(changes: DataFrame, compat: bool = False) -> DataFrame:
-    """Breaking changes that arrive in minor or patch updates, by the version left behind."""
-    return record.changes_by_old_version(to_change_report(changes), compat)
+def minor_patch_breaks(report: DataFrame, compat: bool = False) -> DataFrame:
+    """Breaking changes of a change report that arrive in minor or patch updates, by the version left behind."""
+    return record.changes_by_old_version(report, compat)

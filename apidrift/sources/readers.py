@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pyarrow as pa
-from pyarrow import csv, fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from apidrift.functions.text import repo_url
 
+# Field names and headings by which files are interchanged.
 REPO_TASKS = T.StructType().add("total_count", "long").add(
     "items",
     T.ArrayType(T.StructType().add("index", "long").add("full_name", "string").add("url", "string").add("star", "long")),
@@ -88,64 +87,29 @@ def read_white_list(spark: SparkSession, path: str, compat: bool = False) -> Dat
     return lines.filter("value != ''").select(F.col("value").alias("entry"))
 
 
-def _read_csv(spark: SparkSession, path: str | list[str], columns: tuple[str, ...], underscore_names: bool = False) -> DataFrame:
+def _read_csv(spark: SparkSession, path: str | list[str], columns: tuple[str, ...], multi_line: bool) -> DataFrame:
     """Columns by header name, all as text; a missing value is the empty string.
 
-    Quotes are doubled inside quoted values and a value may span lines, as common CSV writers do it.
+    Quotes are doubled inside quoted values, as common CSV writers do it. A row is one line, as our own writers see
+    to, so files are split. ``multi_line`` is for files of other writers whose values span lines; such a file is read
+    by one task.
     """
-    if underscore_names:
-        return read_underscore_csv(spark, path, columns)
-    rows = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
+    rows = spark.read.options(header=True, quote='"', escape='"', multiLine=multi_line).csv(path)
     names = [*columns, *(["version"] if "version" in rows.columns and "version" not in columns else [])]
     return rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in names], "_metadata.file_path")
 
 
-def read_underscore_csv(spark: SparkSession, path: str | list[str], columns: tuple[str, ...]) -> DataFrame:
-    """CSV files whose names begin with an underscore, which Spark's own listing takes for hidden.
-
-    Reports named after a repository url are of that kind. ``path`` is a folder or a list of files; the
-    names become a table, and tasks stream one file after the other in Arrow batches.
-    """
-    names = [path] if isinstance(path, str) else list(path)
-    files = []
-    for name in names:
-        system, inner = fs.FileSystem.from_uri(name) if "://" in name else (fs.LocalFileSystem(), name)
-        prefix = name[: len(name) - len(inner)] if "://" in name else ""
-        if system.get_file_info(inner).type == fs.FileType.Directory:
-            found = system.get_file_info(fs.FileSelector(inner, recursive=True))
-            files += [(prefix + f.path,) for f in found if f.is_file and f.path.endswith(".csv")]
-        else:
-            files.append((name,))
-
-    def stream(batches):
-        for batch in batches:
-            for name in batch.column(0).to_pylist():
-                system, inner = fs.FileSystem.from_uri(name) if "://" in name else (fs.LocalFileSystem(), name)
-                convert = csv.ConvertOptions(
-                    include_columns=list(columns), column_types={c: pa.string() for c in columns}, strings_can_be_null=False
-                )
-                with system.open_input_stream(inner) as opened, csv.open_csv(
-                    opened, parse_options=csv.ParseOptions(newlines_in_values=True), convert_options=convert
-                ) as reader:
-                    for part in reader:
-                        yield part.append_column("file_path", pa.array([name] * part.num_rows, pa.string()))
-
-    schema = ", ".join(f"{c} string" for c in (*columns, "file_path"))
-    table = spark.createDataFrame(files, "path string")
-    return table.repartition(max(len(files), 1)).mapInArrow(stream, schema)
-
-
-def read_dependencies(spark: SparkSession, path: str | list[str], underscore_names: bool = False) -> DataFrame:
+def read_dependencies(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
     """Dependency rows of any number of CSV files."""
-    rows = _read_csv(spark, path, DEPENDENCY_COLUMNS, underscore_names).drop("file_path")
+    rows = _read_csv(spark, path, DEPENDENCY_COLUMNS, multi_line).drop("file_path")
     return rows.withColumn(
         "require_module_indirect", F.coalesce(F.col("require_module_indirect").try_cast("boolean"), F.lit(False))
     )
 
 
-def read_change_report(spark: SparkSession, path: str | list[str], underscore_names: bool = False) -> DataFrame:
-    """The columns of a change report that are read back."""
-    return _read_csv(spark, path, READ_BACK_COLUMNS, underscore_names).drop("file_path")
+def read_change_report(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
+    """The columns of a change report that are read back; ``multi_line`` for reports of other writers."""
+    return _read_csv(spark, path, READ_BACK_COLUMNS, multi_line).drop("file_path")
 
 
 EMPTY_FOLDER = "__HIVE_DEFAULT_PARTITION__"
@@ -163,14 +127,14 @@ def _with_version(rows: DataFrame) -> DataFrame:
     return rows.withColumn("version", version).drop("file_path")
 
 
-def read_identifier_usage(spark: SparkSession, path: str | list[str], underscore_names: bool = False) -> DataFrame:
-    """Usage rows of any number of files, with their client version."""
-    return _with_version(_read_csv(spark, path, IDENTIFIER_COLUMNS, underscore_names))
+def read_identifier_usage(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
+    """Usage rows of any number of files, with their client version; ``multi_line`` for files of other writers."""
+    return _with_version(_read_csv(spark, path, IDENTIFIER_COLUMNS, multi_line))
 
 
-def read_imports(spark: SparkSession, path: str | list[str], underscore_names: bool = False) -> DataFrame:
-    """Import rows of any number of files, with their client version."""
-    return _with_version(_read_csv(spark, path, ("server_url", "pkg_path", "pkg_name"), underscore_names))
+def read_imports(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
+    """Import rows of any number of files, with their client version; ``multi_line`` for files of other writers."""
+    return _with_version(_read_csv(spark, path, ("server_url", "pkg_path", "pkg_name"), multi_line))
 
 
 @dataclass
@@ -186,16 +150,10 @@ class Snapshot:
     api_type_node: DataFrame | None = None
 
 
-def read_api_snapshot(spark: SparkSession, path: str) -> Snapshot:
-    """Parquet tables of one snapshot folder; the type trees are optional."""
-    tables = {}
-    for name in SNAPSHOT_TABLES:
-        try:
-            tables[name] = spark.read.parquet(f"{path}/{name}")
-        except Exception as missing:
-            if name != "api_type_node" or "PATH_NOT_FOUND" not in str(missing):
-                raise
-    return Snapshot(**tables)
+def read_api_snapshot(spark: SparkSession, path: str, with_trees: bool = True) -> Snapshot:
+    """Parquet tables of one snapshot folder. A snapshot without type trees is read only when it is asked for."""
+    names = [name for name in SNAPSHOT_TABLES if with_trees or name != "api_type_node"]
+    return Snapshot(**{name: spark.read.parquet(f"{path}/{name}") for name in names})
 
 
 def key_by_release(table: DataFrame, releases: DataFrame) -> DataFrame:

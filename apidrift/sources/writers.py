@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from apidrift.functions.text import server_name
@@ -22,11 +22,18 @@ def to_change_report(changes: DataFrame) -> DataFrame:
     return named.select(*[F.col(renamed.get(c, c)).alias(c) for c in CHANGE_REPORT_COLUMNS])
 
 
+def _on_one_line(value: Column) -> Column:
+    return F.replace(F.replace(value, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+
+
 def _append_csv(df: DataFrame, path: str, partitions: list[str]) -> None:
     """One folder per repository (and version). Rows are grouped by folder first, in as many tasks as a
-    folder needs: adaptive execution splits a hot one, and nothing is written for no rows."""
+    folder needs: adaptive execution splits a hot one, and nothing is written for no rows. Line breaks inside
+    values are written as in printed constants, \\n and \\r, so that every row is one line and files can be split."""
+    plain = {c: _on_one_line(F.col(c)) for c, kind in df.dtypes if kind == "string"}
     (
-        df.hint("rebalance", *partitions)
+        df.withColumns(plain)
+        .hint("rebalance", *partitions)
         .write.mode("append")
         .partitionBy(*partitions)
         .option("header", True)
@@ -45,8 +52,8 @@ def write_change_report(changes: DataFrame, path: str) -> None:
 def write_identifier_usage(usage: DataFrame, path: str, by_version: bool = True) -> None:
     """Append usage rows under ``pkgInfo``, one folder per repository and version.
 
-    With very many versions ``by_version=False`` keeps them as a last column of one folder per repository,
-    which spares the file system a folder per version; both forms read back the same.
+    With very many versions ``by_version=False`` makes one folder per repository, which spares the file system a
+    folder per version. The version itself is a column of either form, so both read back the same.
     """
     _append_usage(usage, f"{path}/pkgInfo", by_version)
 
@@ -61,7 +68,7 @@ def _append_usage(rows: DataFrame, path: str, by_version: bool) -> None:
     if not by_version:
         _append_csv(rows, path, ["server"])
         return
-    _append_csv(rows.withColumn("version_safe", F.translate("version", "/", "_")).drop("version"), path, ["server", "version_safe"])
+    _append_csv(rows.withColumn("version_safe", F.translate("version", "/", "_")), path, ["server", "version_safe"])
 
 
 def write_module_graph(nodes: DataFrame, edges: DataFrame, base: str | None = None) -> tuple[str, str]:

@@ -11,28 +11,25 @@ from apidrift.operators.filters import drop_unversioned
 
 
 def affected_dependencies(dependencies: DataFrame, changes: DataFrame) -> DataFrame:
-    """Direct requirements of a version that the next minor or patch update breaks, one row per change.
+    """Direct requirements of a version that the next minor or patch update breaks, with the number of changes.
 
-    Works on a stream of dependencies as well as on a table; ``changes`` is a table.
+    One row per requirement and update, so a popular library does not multiply its clients by its changes; which
+    of them a client meets is for the join with used identifiers. Works on a stream of dependencies as well as on
+    a table; ``changes`` is a table.
     """
-    breaking = changes.filter(is_minor_or_patch(F.col("old_tag"), F.col("new_tag"))).select(
-        F.col("module").alias("require_module_name"),
-        F.col("old_tag").alias("require_module_version"),
-        "new_tag",
-        F.col("old_pkg_path").alias("pkg_path"),
-        "change_node",
-        "change_message",
+    updates = (
+        changes.filter(is_minor_or_patch(F.col("old_tag"), F.col("new_tag")))
+        .groupBy(F.col("module").alias("require_module_name"), F.col("old_tag").alias("require_module_version"), "new_tag")
+        .agg(F.count(F.lit(1)).alias("n_changes"))
     )
     direct = drop_unversioned(dependencies).filter(~F.col("require_module_indirect"))
-    return direct.join(breaking, ["require_module_name", "require_module_version"]).select(
+    return direct.join(updates, ["require_module_name", "require_module_version"]).select(
         F.col("module_name").alias("client"),
         F.col("tag").alias("client_version"),
         F.col("require_module_name").alias("library"),
         F.col("require_module_version").alias("old_tag"),
         "new_tag",
-        "pkg_path",
-        "change_node",
-        "change_message",
+        "n_changes",
     )
 
 

@@ -194,6 +194,13 @@ def test_interface_rules(spark):
     ])
 
 
+def test_methods_of_embedded_interfaces_name_one_set(spark):
+    """A method that came by embedding another interface names the method set, which has no star."""
+    sided = methods(spark, ("old", "I", "Close", False, "func()", "Closer", "interface"), ("new", "I", "Own", False, "func()", None, "interface"), ("old", "I", "Own", False, "func()", None, "interface"))
+    aligned = types.align_types(faces(spark, "I"), SCOPE)
+    assert reported(types.check_interfaces(aligned, sided, SCOPE)) == [("Closer.Close", "method set of I removed", False)]
+
+
 def test_lost_implementations(spark, rows):
     kinds = faces(spark, "I", "Void", "Grows").unionByName(faces(spark, "T", "U", "W", kind="struct"))
     both = [("old", "I", "M", False, "func()", None, "interface"), ("new", "I", "M", False, "func()", None, "interface")]
@@ -333,6 +340,35 @@ def test_renamed_types(spark, rows):
     assert rows(outcome.filter("part = ''"), "root", "corresponds") == [("F", True), ("G", False), ("H", False), ("V", True)]
 
 
+def test_packages_settle_one_by_one(spark, rows):
+    """Chains of different depth, and a mapping that would go round: each package ends on its own."""
+    use = lambda name: [([], "signature", ""), ([0], "tuple", ""), ([1], "tuple", ""), ([0, 0], "named", name)]
+    data = [(1, *r[1:]) for side, names in (("old", "abcd"), ("new", "wxyz")) for r in (
+        *tree(side, "F", *use(names[0])),
+        *[n for a, b in zip(names, names[1:]) for n in tree(side, a, ([], "named", b), part="N")],
+        *tree(side, names[-1], ([], "named", names[0]), part="N"),
+    )]
+    data += [(2, *r[1:]) for side in ("old", "new") for r in tree(side, "F", *use("t"))]
+    objects = spark.createDataFrame([(p, "F", "func", "func") for p in (1, 2)], "pair_id int, obj_name string, old_kind string, new_kind string")
+    mapping = correspondence.establish_correspondence(objects, spark.createDataFrame(data, NODE), SCOPE)
+    assert rows(mapping, "pair_id", "old_name", "new_name") == [(1, "a", "w"), (1, "b", "x"), (1, "c", "y"), (1, "d", "z"), (2, "t", "t")]
+
+
+def test_trees_of_mapped_types_move_to_old_names(spark, rows):
+    nodes = spark.createDataFrame([*tree("new", "New", ([], "basic", "int")), *tree("new", "Old", ([], "basic", "bool")), *tree("old", "Old", ([], "basic", "int")), *tree("new", "F", ([], "basic", "int"))], NODE)
+    mapping = spark.createDataFrame([(1, "Old", "named", "New")], "pair_id int, old_name string, new_kind string, new_name string")
+    got = types.roots_under_old_names(nodes, mapping, SCOPE)
+    assert rows(got, "side", "root", "label") == [("new", "F", "int"), ("new", "Old", "int"), ("old", "Old", "int")]
+
+
+def test_type_name_taken_by_another(spark):
+    """Old T was met as U before; the new type called T is another one."""
+    sided = objects(spark, ("old", "T", "type", "T", None), ("new", "T", "type", "T", None), ("old", "S", "type", "S", None), ("new", "S", "type", "S", None))
+    mapping = spark.createDataFrame([(1, "T", "named", "U"), (1, "S", "named", "S")], "pair_id int, old_name string, new_kind string, new_name string")
+    aligned = diff.with_mapped_types(diff.diff_objects(sided, SCOPE), mapping, SCOPE)
+    assert reported(diff.check_objects(aligned, SCOPE)) == [("T", "changed from T to T", False)]
+
+
 def test_unsupported_objects_drop_their_pair(spark, rows):
     nodes = spark.createDataFrame(tree("new", "G", ([], "typeParam", "T")) + tree("new", "F", ([], "basic", "int")), NODE)
     bad = correspondence.unsupported_objects(nodes, SCOPE)

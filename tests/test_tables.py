@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from apidrift.operators import filters, graph, record, releases, usage
+from pyspark.sql import Window
 from apidrift.operators.ordered import running
 from apidrift.sources import readers, writers
 
@@ -72,8 +73,8 @@ def test_change_report_round_trip(spark, rows, tmp_path):
     writers.write_change_report(df, path)
     writers.write_change_report(df.filter("false"), path)
     back = readers.read_change_report(spark, path)
-    assert rows(back, "change_node", "changeMessage", "olg_tag_time") == [("F", 'changed from func("a,b") to func()', "t0"), ("G", "line\nbreak", "t0")]
-    full = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    assert rows(back, "change_node", "changeMessage", "olg_tag_time") == [("F", 'changed from func("a,b") to func()', "t0"), ("G", r"line\nbreak", "t0")]
+    full = spark.read.option("header", True).option("escape", '"').csv(path)
     assert tuple(full.columns[:14]) == readers.CHANGE_REPORT_COLUMNS
     writers.write_change_report(df, path)
     assert readers.read_change_report(spark, path).count() == 4
@@ -89,20 +90,12 @@ def test_usage_round_trip(spark, rows, tmp_path, by_version):
     report = usage.to_identifier_report(usage_rows(spark))
     writers.write_identifier_usage(report, str(tmp_path), by_version)
     back = readers.read_identifier_usage(spark, str(tmp_path / "pkgInfo"))
-    second = "rel_v2" if by_version else "rel/v2"
-    assert rows(back, "version", "id_pos", "obj_exported", "obj_pkg") == sorted([("v1+incompatible", "a.go:1:1", "true", 'package n ("o/r/n")'), (second, "b.go:2:1", "false", "")])
+    assert rows(back, "version", "id_pos", "obj_exported", "obj_pkg") == sorted([("v1+incompatible", "a.go:1:1", "true", 'package n ("o/r/n")'), ("rel/v2", "b.go:2:1", "false", "")])
 
 
 def test_version_from_file_name(spark, rows, tmp_path):
     write(tmp_path / "x_@@@v1.0.csv", "server_url,pkg_path,pkg_name\nu,a/b,b\n")
-    assert rows(readers.read_imports(spark, str(tmp_path)), "version", "pkg_path") == [("v1.0", "a/b")]
-
-
-def test_files_named_with_an_underscore(spark, rows, tmp_path):
-    write(tmp_path / "__h_o_r_@@@v1+x.csv", 'server_url,pkg_path,pkg_name\nu,a/b,"b, ""c""\nd"\n')
-    write(tmp_path / "__h_o_q_@@@v2.csv", "pkg_name,server_url,pkg_path\n,u,a/b\n")
-    got = readers.read_imports(spark, str(tmp_path), underscore_names=True)
-    assert rows(got, "version", "pkg_path", "pkg_name") == [("v1+x", "a/b", 'b, "c"\nd'), ("v2", "a/b", "")]
+    assert rows(readers.read_imports(spark, str(tmp_path), multi_line=True), "version", "pkg_path") == [("v1.0", "a/b")]
 
 
 def test_third_party_usage(spark, rows):
@@ -113,6 +106,20 @@ def test_third_party_usage(spark, rows):
     assert rows(usage.third_party_usage(idents, clients, strict=True), "obj_string") == [("func a/swag.New()",), ("func b/c.G()",)]
 
 
+def test_folders_of_a_client_version(spark, rows):
+    """One version, two folders with other packages: by folder where identifiers tell it, else once for all lists."""
+    clients = spark.createDataFrame([("u", "v1", "a", ["x/a@@@a"]), ("u", "v1", "b", ["x/b@@@b"])], "url string, version string, path string, pkg_info array<string>")
+    data = [("u", "v1", "a", "func x/a.F()"), ("u", "v1", "a", "func x/b.F()"), ("u", "v1", "b", "func x/b.G(x/a.T)")]
+    idents = spark.createDataFrame(data, "server_url string, version string, path string, obj_string string")
+    assert rows(usage.third_party_usage(idents, clients), "path", "obj_string") == [("a", "func x/a.F()"), ("b", "func x/b.G(x/a.T)")]
+    assert usage.third_party_usage(idents.drop("path"), clients).count() == 3
+
+
+def test_strict_match_of_odd_paths(spark):
+    df = spark.createDataFrame([(r"func a\E.b(a.b c)", [r"a\E.b"]), ("func xa/b.F()", ["a/b"]), ("a/b.F a/bc", ["a/b"])], "s string, p array<string>")
+    assert [r[0] for r in df.select(usage.segment_match(F.col("s"), F.col("p"))).collect()] == [True, False, True]
+
+
 def test_distinct_imports(spark, rows):
     df = spark.createDataFrame([("u", "v", "ddd", "dd.name"), ("u", "v", "ddd", "dd.name"), ("u", "v", "aaa", "aa.name")], "server_url string, version string, pkg_path string, pkg_name string")
     assert rows(usage.distinct_imports(df), "pkg_path") == [("aaa",), ("ddd",)]
@@ -195,6 +202,16 @@ def test_running_in_slices_with_one_hot_group(spark):
     """A group of a third of the rows is spread over tasks and gives what one window gives."""
     df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id", (F.col("id") % 7).alias("x"))
     options = dict(number="n", previous={"p": F.col("x")}, last_where={"l": (F.col("x") == 3, F.col("id"))})
-    plain = running(df, ["k"], ["id"], **options)
-    sliced = running(df, ["k"], ["id"], **options, slices=8)
-    assert sorted(map(str, plain.collect())) == sorted(map(str, sliced.collect()))
+    for slices in (1, 8):
+        got = running(df, ["k"], ["id"], **options, slices=slices)
+        earlier = Window.partitionBy("k").orderBy("id")
+        mark = F.when(F.col("x") == 3, F.col("id"))
+        plain = df.select("k", "id", "x", F.row_number().over(earlier).alias("n"), F.lag("x").over(earlier).alias("p"), F.last(mark, True).over(earlier.rowsBetween(Window.unboundedPreceding, -1)).alias("l"))
+        assert sorted(map(str, got.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+
+
+def test_running_with_null_keys(spark):
+    """Rows without a key are one group, in one slice or many."""
+    df = spark.range(1000).select(F.lit(None).cast("string").alias("k"), F.lit(1).alias("j"), "id")
+    for slices in (1, 8):
+        assert [r.n for r in running(df, ["k", "j"], ["id"], number="n", slices=slices).orderBy("id").collect()] == list(range(1, 1001))
