@@ -121,7 +121,7 @@ def package_changes(package_pairs: DataFrame, scope: Sequence[str] = SCOPE) -> D
 
 def diff_objects(sided: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
     """Exported objects of both sides by name."""
-    columns = ["obj_kind", "type_kind", "type_str", "corr_key", "const_val", "const_known", *COMPARISON]
+    columns = ["obj_kind", "type_kind", "type_str", "corr_key", "const_val", "const_known", "is_alias", *COMPARISON]
     return align(sided.filter("exported"), [*scope, "obj_name"], columns)
 
 
@@ -137,7 +137,8 @@ def check_objects(aligned: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame
 
     Types are compared by ``corr_key`` unless the rows bring the outcome of a comparison of the trees.
     Named types that exist on both sides are left to the type rules, unless the old one was met before under
-    another name (``mapped_elsewhere``).
+    another name (``mapped_elsewhere``). A name that is an alias on either side (``is_alias``) stands for the type
+    behind it, which is compared like that of a variable.
     """
     name = F.col("obj_name")
     old_kind, new_kind = F.col("old_obj_kind"), F.col("new_obj_kind")
@@ -149,6 +150,9 @@ def check_objects(aligned: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame
     both_typed = (both & old_kind.isin("var", "func") & (old_kind == new_kind)) | func_to_var
     both_types = both & (old_kind == "type") & (new_kind == "type")
     comparable_kinds = both_const | both_typed | both_types
+    aliased = F.lit(False)
+    if "old_is_alias" in aligned.columns:
+        aliased = both_types & (F.coalesce("old_is_alias", F.lit(False)) | F.coalesce("new_is_alias", F.lit(False)))
     same_value = F.col("old_const_known") & F.col("new_const_known") & (F.col("old_const_val") == F.col("new_const_val"))
     part = F.lit("")
 
@@ -164,13 +168,13 @@ def check_objects(aligned: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame
         F.when(~F.col("in_new"), row(old_kind, old_type, F.lit("removed"), False, "removed")),
         F.when(~F.col("in_old"), row(new_kind, F.col("new_type_kind"), F.lit("added"), True, "added")),
         F.when(~comparable_kinds, row(old_kind, F.lit("typeChanged"), kinds, False, "kind")),
-        F.when(both_typed & ~same_type, row(old_kind, old_type, typed, False, "kind")),
+        F.when((both_typed | aliased) & ~same_type, row(old_kind, old_type, typed, False, "kind")),
         F.when(both_const & ~same_type, row(old_kind, old_type, untyped, False, "kind")),
         F.when(both_const & same_type & ~same_value, row(old_kind, old_type, values, False, "value")),
     )
     if "mapped_elsewhere" in aligned.columns:
         clash = change_message(F.lit(""), name, name)
-        exclusive = F.coalesce(exclusive, F.when(both_types & F.col("mapped_elsewhere"), row(old_kind, old_type, clash, False, "kind")))
+        exclusive = F.coalesce(exclusive, F.when(both_types & ~aliased & F.col("mapped_elsewhere"), row(old_kind, old_type, clash, False, "kind")))
     opened = row(old_kind, F.col("new_type_kind"), F.lit("changed from func to var"), True, "kind")
     return emit(aligned, scope, [exclusive, F.when(func_to_var, opened)])
 

@@ -89,7 +89,8 @@ block("v_api_object", """
 select rel_id, module, tag, pkg_path, obj_name, obj_name like 'S%' as exported,
  case (min(p) + min(ln)) % 4 when 0 then 'const' when 1 then 'var' when 2 then 'func' else 'type' end as obj_kind,
  case (min(p) + min(ln)) % 4 when 2 then 'function' else 'basic' end as type_kind,
- concat('T', min(ln) % 3) as type_str, cast(min(s) % 5 as varchar) as const_val
+ concat('T', min(ln) % 3) as type_str, cast(min(s) % 5 as varchar) as const_val,
+ (min(p) + min(ln)) % 4 = 3 and max(s) % 3 = 0 as is_alias
 from (select *, concat(case when q >= 45 then 'sym' else 'Sym' end, p % 8) as obj_name from v_line) x
 group by rel_id, module, tag, pkg_path, obj_name""")
 
@@ -225,6 +226,10 @@ def object_rules() -> list[tuple[str, ...]]:
         ),
         rule(f"{both} and old_obj_kind = 'func' and new_obj_kind = 'var'", "old_obj_kind", "new_type_kind", "'changed from func to var'", "true", "kind"),
         rule(f"{both} and {typed} and old_type_str <> new_type_str", "old_obj_kind", "old_type_kind", f"concat({cause}, 'changed from ', old_type_str, ' to ', new_type_str)", "false", "kind"),
+        rule(
+            f"{both} and old_obj_kind = 'type' and new_obj_kind = 'type' and (old_is_alias or new_is_alias) and old_type_str <> new_type_str",
+            "old_obj_kind", "old_type_kind", f"concat({cause}, 'changed from ', old_type_str, ' to ', new_type_str)", "false", "kind",
+        ),
         rule(f"{both} and {const} and old_type_str <> new_type_str", "old_obj_kind", "old_type_kind", "concat('changed from ', old_type_str, ' to ', new_type_str)", "false", "kind"),
         rule(
             f"{both} and {const} and old_type_str = new_type_str and old_const_val <> new_const_val",
@@ -430,7 +435,7 @@ def union(*sources: str, scope: Sequence[str]) -> str:
 OBJECT_SCOPE = ("pair_id", "pkg_path")
 PAIR = ("pair_id",)
 block("s_object", "select o.*, pair_id, side from v_api_object o join w_sides using (rel_id) where exported")
-block("d_objects", aligned("s_object", [*OBJECT_SCOPE, "obj_name"], ("obj_kind", "type_kind", "type_str", "const_val")))
+block("d_objects", aligned("s_object", [*OBJECT_SCOPE, "obj_name"], ("obj_kind", "type_kind", "type_str", "const_val", "is_alias")))
 block("d_object_rows", rows(OBJECT_SCOPE, "d_objects", object_rules()))
 block("d_object_best", deduped("d_object_rows", OBJECT_SCOPE))
 block("d_changes", reported("d_object_best", OBJECT_SCOPE))
@@ -477,7 +482,7 @@ block("q_package_rows", rows(FULL, "q_packages", PACKAGE_RULES))
 for table, source in (("object", "v_api_object"), ("type", "v_pkg_type"), ("field", "v_pkg_field"), ("method", "v_pkg_method")):
     extra = " where exported" if table == "object" else ""
     block(f"q_s_{table}", f"select t.* , pair_id, pkg_name, side from {source} t join q_package_sides using (rel_id, pkg_path){extra}")
-block("q_objects", aligned("q_s_object", [*FULL, "obj_name"], ("obj_kind", "type_kind", "type_str", "const_val")))
+block("q_objects", aligned("q_s_object", [*FULL, "obj_name"], ("obj_kind", "type_kind", "type_str", "const_val", "is_alias")))
 block("q_object_rows", rows(FULL, "q_objects", object_rules()))
 rule_blocks("q", FULL, "q_s_type", "q_s_field", "q_s_method")
 block(

@@ -97,7 +97,12 @@ def api_changes(
     rename_map = None
     if renames:
         shared = diff.diff_objects(objects).filter("in_old and in_new")
-        names = shared.select(*SCOPE, "obj_name", F.col("old_obj_kind").alias("old_kind"), F.col("new_obj_kind").alias("new_kind"))
+        # An alias is met like a variable of the type behind it.
+        kinds = {side: F.col(f"{side}_obj_kind") for side in ("old", "new")}
+        if "old_is_alias" in shared.columns:
+            alias = F.coalesce("old_is_alias", F.lit(False)) | F.coalesce("new_is_alias", F.lit(False))
+            kinds = {side: F.when((kind == "type") & alias, "alias").otherwise(kind) for side, kind in kinds.items()}
+        names = shared.select(*SCOPE, "obj_name", *[kind.alias(f"{side}_kind") for side, kind in kinds.items()])
         rename_map = correspondence.establish_correspondence(names, nodes)
         named = types.under_old_names(types.with_basic_targets(named, rename_map), rename_map, SCOPE, "type_name")
         methods = types.under_old_names(methods, rename_map, SCOPE)

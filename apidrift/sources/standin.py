@@ -99,6 +99,7 @@ class StandIn:
                 _pick(kind, "const", "var", "func", "type").alias("obj_kind"),
                 type_str.alias("type_str"),
                 (F.min("s") % 5).cast("string").alias("const_val"),
+                (F.max("s") % 3 == 0).alias("third"),
             )
             .select(
                 "rel_id",
@@ -111,6 +112,7 @@ class StandIn:
                 F.col("type_str").alias("corr_key"),
                 "const_val",
                 F.lit(True).alias("const_known"),
+                ((F.col("obj_kind") == "type") & F.col("third")).alias("is_alias"),
             )
         )
 

@@ -369,6 +369,18 @@ def test_type_name_taken_by_another(spark):
     assert reported(diff.check_objects(aligned, SCOPE)) == [("T", "changed from T to T", False)]
 
 
+def test_aliases_compare_the_types_behind(spark):
+    """An alias on either side goes by its type; two named types of one name are left to the type rules."""
+    data = [
+        ("old", "A", "uint8", True), ("new", "A", "uint16", True), ("old", "B", "[]int", True), ("new", "B", "[]int", True),
+        ("old", "C", "int", True), ("new", "C", "C", False), ("old", "D", "D", False), ("new", "D", "E", False),
+    ]
+    sided = objects(spark, *[(side, name, "type", text, None) for side, name, text, _ in data])
+    marks = spark.createDataFrame([(side, name, alias) for side, name, _, alias in data], "side string, obj_name string, is_alias boolean")
+    aligned = diff.diff_objects(sided.join(marks, ["side", "obj_name"]), SCOPE)
+    assert reported(diff.check_objects(aligned, SCOPE)) == [("A", "basic changed from uint8 to uint16", False), ("C", "basic changed from int to C", False)]
+
+
 def test_unsupported_objects_drop_their_pair(spark, rows):
     nodes = spark.createDataFrame(tree("new", "G", ([], "typeParam", "T")) + tree("new", "F", ([], "basic", "int")), NODE)
     bad = correspondence.unsupported_objects(nodes, SCOPE)
