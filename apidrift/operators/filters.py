@@ -22,17 +22,20 @@ def drop_white_listed(packages: DataFrame, entries: list[str] | DataFrame, path:
     """Packages that no white-list entry matches.
 
     A list becomes plain string predicates. A table of entries of any size becomes an equi-join: a match
-    begins where a path piece begins, so the pieces' prefixes are joined with the entries.
+    begins where a path piece begins, so the pieces' prefixes are joined with the entries. Only lengths that some
+    entry has are tried; these few numbers are all that reaches the driver.
     """
     if not isinstance(entries, DataFrame):
         return packages.filter(~is_white_listed(F.col(path), list(entries)))
     entry = drop_blank(entries.select(F.col(entries.columns[0]).alias("entry")), "entry").distinct()
-    longest = entry.agg(F.max(F.length("entry"))).first()[0] or 0
+    lengths = sorted(r[0] for r in entry.select(F.length("entry")).distinct().collect())
+    if not lengths:
+        return packages
     paths = packages.select(F.col(path).alias("path")).distinct()
     starts = paths.withColumn("at", F.explode(F.sequence(F.lit(1), F.length("path"))))
     starts = starts.filter((F.col("at") == 1) | (F.substr("path", F.col("at") - 1, F.lit(1)) == "/"))
-    room = F.least(F.length("path") - F.col("at") + 1, F.lit(longest))
-    prefixes = starts.filter(room > 0).withColumn("n", F.explode(F.sequence(F.lit(1), room)))
+    room = F.length("path") - F.col("at") + 1
+    prefixes = starts.withColumn("n", F.explode(F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= room)))
     # At the very start of a path the entry must be a whole piece.
     whole = F.substr("path", F.col("at") + F.col("n"), F.lit(1)) == "/"
     prefixes = prefixes.filter((F.col("at") > 1) | whole)

@@ -38,7 +38,7 @@ class Comparison:
             )
         )
         sides = self.packages.filter("status = 'both'").select(*SCOPE, side.alias("s")).select(*SCOPE, "s.*")
-        return table.join(sides, ["rel_id", "pkg_path"]).drop("rel_id", "pkg_path", "module", "tag")
+        return table.join(sides, ["rel_id", "pkg_path"]).drop("rel_id", "pkg_path", "module", "tag", "rel_part")
 
 
 def count_packages(

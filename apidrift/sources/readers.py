@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +47,15 @@ READ_BACK_COLUMNS = (
 SNAPSHOT_TABLES = ("release", "package", "api_object", "api_type", "api_field", "api_method", "api_type_node")
 
 
+#: Number of folders that a partitioned snapshot deals its releases into.
+REL_PARTS = 32
+
+
+def rel_part(rel_id: Column) -> Column:
+    """The folder of a release in a partitioned snapshot."""
+    return F.pmod(F.xxhash64(rel_id), F.lit(REL_PARTS)).cast("int")
+
+
 def read_repo_tasks(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """One row per repository of a JSON task list; the clone url comes from the full name.
 
@@ -156,6 +165,18 @@ def read_api_snapshot(spark: SparkSession, path: str, with_trees: bool = True) -
     return Snapshot(**{name: spark.read.parquet(f"{path}/{name}") for name in names})
 
 
+def cut_to_releases(snapshot: Snapshot, wanted: DataFrame) -> Snapshot:
+    """The API tables of a partitioned snapshot, cut to the folders of ``wanted`` releases; others stay whole.
+
+    At most ``REL_PARTS`` numbers are collected. As literals they prune folders before anything is read.
+    """
+    if "rel_part" not in snapshot.api_object.columns:
+        return snapshot
+    parts = [r[0] for r in wanted.select(rel_part(F.col("rel_id"))).distinct().collect()]
+    tables = {name: getattr(snapshot, name) for name in SNAPSHOT_TABLES if name != "release"}
+    return replace(snapshot, **{name: t.filter(F.col("rel_part").isin(parts)) for name, t in tables.items() if t is not None})
+
+
 def key_by_release(table: DataFrame, releases: DataFrame) -> DataFrame:
     """Give a feed keyed by (module, tag) the release number the snapshot uses."""
     return table.join(releases.select("rel_id", "module", "tag"), ["module", "tag"]).drop("tag")

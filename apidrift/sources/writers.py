@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from apidrift.functions.text import server_name
 from apidrift.session import fresh_path
-from apidrift.sources.readers import CHANGE_REPORT_COLUMNS, SNAPSHOT_TABLES, Snapshot
+from apidrift.sources.readers import CHANGE_REPORT_COLUMNS, SNAPSHOT_TABLES, Snapshot, rel_part
 
 
 def to_change_report(changes: DataFrame) -> DataFrame:
@@ -79,9 +79,17 @@ def write_module_graph(nodes: DataFrame, edges: DataFrame, base: str | None = No
     return f"{root}/nodes", f"{root}/edges"
 
 
-def write_api_snapshot(snapshot: Snapshot, path: str) -> None:
-    """Write the tables of a snapshot, for ``read_api_snapshot``."""
+def write_api_snapshot(snapshot: Snapshot, path: str, partitioned: bool = False) -> None:
+    """Write the tables of a snapshot, for ``read_api_snapshot``.
+
+    ``partitioned`` deals all but the releases into folders by release, so that a stream reads only those it needs.
+    """
     for name in SNAPSHOT_TABLES:
         table = getattr(snapshot, name)
-        if table is not None:
+        if table is None:
+            continue
+        if partitioned and name != "release":
+            dealt = table.withColumn("rel_part", rel_part(F.col("rel_id"))).hint("rebalance", "rel_part")
+            dealt.write.partitionBy("rel_part").parquet(f"{path}/{name}")
+        else:
             table.write.parquet(f"{path}/{name}")
