@@ -129,7 +129,7 @@ def api_changes(
                 types.diff_fields(selectable),
                 types.check_interfaces(aligned_types, methods),
                 types.check_method_sets(aligned_types, methods),
-                satisfaction.satisfaction_changes(satisfaction.no_longer_implements(aligned_types, methods)),
+                satisfaction.satisfaction_changes(satisfaction.no_longer_implements(aligned_types, methods, smallest_void=True)),
             ]
         ),
         SCOPE,

@@ -219,6 +219,19 @@ def test_lost_implementations(spark, rows):
     assert rows(got, "owner", "face") == sorted(
         [("T", "I"), ("W", "I"), ("T", "Grows"), ("U", "Grows"), ("W", "Grows"), ("I", "Grows"), *everyone_else]
     )
+    # Of the interfaces without methods, Grown is implemented by Fit alone, Void by none; a face never breaks itself.
+    more = kinds.unionByName(faces(spark, "Grown")).unionByName(faces(spark, "Fit", kind="struct"))
+    wider = sided.unionByName(methods(spark, ("new", "Grown", "G", False, "func()", None, "interface"), ("new", "Fit", "G", False, "func()", None, "struct")))
+    aligned = types.align_types(more, SCOPE)
+    whole, first = (satisfaction.no_longer_implements(aligned, wider, SCOPE, smallest_void=s) for s in (False, True))
+    void = {"Void", "Grown"}
+    smallest = {}
+    for owner, face in rows(whole, "owner", "face"):
+        if face in void:
+            smallest[owner] = min(face, smallest.get(owner, face))
+    assert smallest["Fit"] == "Void" and smallest["T"] == "Grown" and smallest["Grown"] == "Void"
+    rest = [(o, f) for o, f in rows(whole, "owner", "face") if f not in void]
+    assert rows(first, "owner", "face") == sorted([*rest, *smallest.items()])
     one = reported(satisfaction.satisfaction_changes(got.filter("owner = 'T' and face = 'I'"), SCOPE))
     assert one == [("T", "no longer implements I", False)]
 
