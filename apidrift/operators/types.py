@@ -169,35 +169,46 @@ def unambiguous_fields(level: DataFrame, keys: Sequence[str]) -> DataFrame:
     return once.filter("_n = 1").select(*keys, "field_name", *[F.col("_f")[c].alias(c) for c in rest])
 
 
-def exported_selectable_fields(fields: DataFrame, scope: Sequence[str], roots: DataFrame | None = None) -> DataFrame:
+def exported_selectable_fields(
+    fields: DataFrame, scope: Sequence[str], roots: DataFrame | None = None, foreign: DataFrame | None = None
+) -> DataFrame:
     """Exported fields reachable by selection, those of embedded structs included, with their ``depth``.
 
     One pass per embedding depth: a name must be unambiguous at its depth, a shallower one wins, and a
     struct met at this depth or above is not entered again. ``embedded_owner`` names the struct behind an
-    embedded field (or behind its pointer). The passes end when no embedded struct is left. ``roots``
-    (some of ``scope`` and ``owner``) limits the result to the structs somebody asks about.
+    embedded field (or behind its pointer), ``embedded_pkg`` its package where that is another one. The passes end
+    when no embedded struct is left. ``roots`` (some of ``scope`` and ``owner``) limits the result to the structs
+    somebody asks about. ``foreign`` has the fields of all packages of a release, keyed by the columns of ``scope``
+    that it has, ``home`` (package path) and ``owner``; without it structs of other packages are not entered.
     """
     root = [*scope, "root"]
     facts = [c for c in ("type_str", "type_kind", "corr_key", *COMPARISON) if c in fields.columns]
     follow = ["embedded", "embedded_owner", "exported"]
-    members = fields.select(*scope, "owner", "field_name", *facts, *follow)
+    members = fields.select(*scope, "owner", "field_name", *facts, *follow, _text_or_blank(fields, "embedded_pkg"))
     # A struct has no name twice, so nothing is ambiguous at the top.
     asked = members if roots is None else members.join(roots, roots.columns, "left_semi")
-    clear = asked.withColumn("root", F.col("owner")).drop("owner")
+    # The package a row was found in; blank for the one that is compared.
+    clear = asked.withColumn("root", F.col("owner")).drop("owner").withColumn("home", F.lit(""))
     found = clear.filter("exported").withColumn("depth", F.lit(0))
-    entered = asked.select(*scope, F.col("owner").alias("root"), "owner").distinct()
+    entered = asked.select(*scope, F.col("owner").alias("root"), "owner", F.lit("").alias("home")).distinct()
     depth = 0
     while True:
         # Two embedded fields may lead to one struct; each occurrence counts, so no distinct here.
-        inner = clear.filter("embedded").select(*root, F.col("embedded_owner").alias("owner"))
-        inner = inner.join(entered, [*root, "owner"], "left_anti")
-        level = materialize(inner.join(members, [*scope, "owner"]), "embedding")
+        home = F.when(F.col("embedded_pkg") != "", F.col("embedded_pkg")).otherwise(F.col("home")).alias("home")
+        inner = clear.filter("embedded").select(*root, F.col("embedded_owner").alias("owner"), home)
+        inner = inner.join(entered, [*root, "owner", "home"], "left_anti")
+        level = inner.filter("home = ''").join(members, [*scope, "owner"])
+        if foreign is not None:
+            key = [c for c in scope if c in foreign.columns]
+            others = foreign.select(*key, "home", "owner", "field_name", *[c for c in facts if c in foreign.columns], *follow, _text_or_blank(foreign, "embedded_pkg"))
+            level = level.unionByName(inner.filter("home != ''").join(others, [*key, "home", "owner"]), allowMissingColumns=True)
+        level = materialize(level, "embedding")
         if level.isEmpty():
             break
         depth += 1
         clear = unambiguous_fields(level.drop("owner"), root)
         found = found.unionByName(clear.filter("exported").withColumn("depth", F.lit(depth)))
-        entered = entered.unionByName(level.select(*root, "owner").distinct())
+        entered = entered.unionByName(level.select(*root, "owner", "home").distinct())
     if depth == 0:
         return found.withColumnRenamed("root", "owner").select(*scope, "owner", "field_name", "depth", *facts)
     shallowest = found.groupBy(*root, "field_name").agg(F.min(F.struct("depth", *facts)).alias("f"))
@@ -206,6 +217,10 @@ def exported_selectable_fields(fields: DataFrame, scope: Sequence[str], roots: D
     )
 
 
+def _text_or_blank(df: DataFrame, name: str) -> Column:
+    return (F.coalesce(name, F.lit("")) if name in df.columns else F.lit("")).alias(name)
+
+
 def diff_fields(sided: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
     """Rule rows of the selectable fields of both sides by name.
 

@@ -121,7 +121,11 @@ def api_changes(
     fields = materialize(fields, "fields")
     methods = materialize(methods, "methods")
     structs = types.structs_on_both_sides(aligned_types)
-    selectable = types.exported_selectable_fields(fields, [*SCOPE, "side"], structs)
+    foreign = None
+    if "embedded_pkg" in snapshot.api_field.columns:
+        # Structs of other packages are looked up among all fields of the same release.
+        foreign = diff.on_both_sides(comparison.pairs, snapshot.api_field).withColumnRenamed("pkg_path", "home")
+    selectable = types.exported_selectable_fields(fields, [*SCOPE, "side"], structs, foreign)
     rows = messages.dedupe_messages(
         messages.all_changes(
             [

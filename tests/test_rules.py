@@ -254,6 +254,23 @@ def test_report_lines(spark):
     assert [r["line"] for r in lines.collect()] == ["Incompatible changes:", "- removed", "Compatible changes:", "- added"]
 
 
+def test_fields_of_foreign_embedded_structs(spark, rows):
+    """Three levels: own Outer embeds lib.Mid, which embeds lib.Deep, which embeds own.Tail back by its path."""
+    row = "pair_id int, side string, owner string, field_name string, exported boolean, embedded boolean, embedded_owner string, embedded_pkg string, type_str string, type_kind string, corr_key string"
+    own = [
+        ("Outer", "Mid", True, "Mid", "x/lib"), ("Outer", "A", False, None, None), ("Other", "Mid", True, "Mid", None), ("Tail", "Z", False, None, None),
+    ]
+    lib = [("x/lib", "Mid", "B", False, None, None), ("x/lib", "Mid", "A", False, None, None), ("x/lib", "Mid", "Deep", True, "Deep", ""), ("x/lib", "Deep", "C", False, None, None), ("x/lib", "Deep", "Tail", True, "Tail", "m/own"), ("m/own", "Tail", "Z", False, None, None)]
+    fields = spark.createDataFrame([(1, "old", o, n, True, e, t, p, "T", "basic", "T") for o, n, e, t, p in own], row)
+    foreign = spark.createDataFrame([(1, "old", h, o, n, True, e, t, p, "T", "basic", "T") for h, o, n, e, t, p in lib], row.replace("owner string", "home string, owner string", 1))
+    got = types.exported_selectable_fields(fields, ["pair_id", "side"], None, foreign)
+    want = [("A", 0), ("B", 1), ("C", 2), ("Deep", 1), ("Mid", 0), ("Tail", 2), ("Z", 3)]
+    assert rows(got.filter("owner = 'Outer'"), "field_name", "depth") == want
+    assert rows(got.filter("owner = 'Other'"), "field_name") == [("Mid",)]
+    alone = types.exported_selectable_fields(fields, ["pair_id", "side"])
+    assert rows(alone.filter("owner = 'Outer'"), "field_name") == [("A",), ("Mid",)]
+
+
 # --- type trees --------------------------------------------------------------------------------------
 
 NODE = "pair_id int, side string, root string, part string, path array<int>, node_kind string, label string, named_pkg string, array_len bigint, variadic boolean, field_name string, embedded boolean, struct_tag string"
