@@ -600,8 +600,9 @@ def align_interface_methods(b: Bench) -> DataFrame:
 @query
 def find_correspondence(b: Bench) -> DataFrame:
     """Every embedded field as a use of the type it embeds; the mapping is the one by name."""
-    uses = types.align_types(b.sided(b.views.api_field.filter("embedded").groupBy("rel_id", F.col("owner").alias("type_name")).agg(F.min("embedded_owner").alias("basic_name"))), PAIR)
-    uses = uses.select(*PAIR, F.col("old_basic_name").alias("old_name"), F.lit("named").alias("new_kind"), F.col("new_basic_name").alias("new_name"), "owner")
+    embedded = b.sided(b.views.api_field.filter("embedded").select("rel_id", "owner", "field_name", "embedded_owner"))
+    uses = diff.align(embedded, [*PAIR, "owner", "field_name"], ["embedded_owner"], matched=True)
+    uses = uses.select(*PAIR, F.col("old_embedded_owner").alias("old_name"), F.lit("named").alias("new_kind"), F.col("new_embedded_owner").alias("new_name"), "owner", "field_name")
     known = b.types.select(*PAIR, F.col("owner").alias("old_name"), F.lit("named").alias("new_kind"), F.col("owner").alias("new_name"))
     return correspondence.find_correspondence(uses, known, PAIR)
 
@@ -791,7 +792,12 @@ def compare_types(b: Bench) -> DataFrame:
 
 @query
 def type_kinds(b: Bench) -> DataFrame:
-    return correspondence.type_kinds(b.views.api_type_node, PACKAGE).drop("part")
+    """Of the functions, and of every parameter as a tree of its own."""
+    nodes = b.views.api_type_node
+    below = nodes.filter((F.size("path") >= 2) & (F.get("path", 0) == 0))
+    root = F.concat_ws(".", "root", F.get("path", 1).cast("string")).alias("root")
+    parameters = below.select(*PACKAGE, root, "part", F.slice("path", F.lit(3), F.size("path")).alias("path"), "node_kind")
+    return correspondence.type_kinds(nodes.select(*PACKAGE, "root", "part", "path", "node_kind").unionByName(parameters), PACKAGE).drop("part")
 
 
 @query

@@ -630,9 +630,9 @@ oracle("align_positions", "select pair_id, pkg_path, root, path, in_old, in_new,
 block("s_face", "select m.*, pair_id, side from v_api_method m join w_sides using (rel_id) where recv_kind = 'interface'")
 block("d_all_faces", aligned("s_face", ("pair_id", "owner", "method_name"), ("sig_str",)))
 oracle("align_interface_methods", "select pair_id, owner, count_if(in_old) as n_old, count_if(in_new) as n_new, count_if(in_old and in_new) as n_shared, count_if(coalesce(old_sig_str = new_sig_str, false)) as n_equal from d_all_faces group by pair_id, owner")
-block("s_embedding", "select pair_id, side, owner, min(embedded_owner) as target from s_field where embedded group by pair_id, side, owner")
-block("d_embedding", aligned("s_embedding", ("pair_id", "owner"), ("target",), "inner"))
-oracle("find_correspondence", """select e.pair_id, old_target as old_name, 'named' as new_kind, new_target as new_name, e.owner, t.owner is not null and old_target = new_target as agrees
+block("s_embedding", "select pair_id, side, owner, field_name, embedded_owner as target from s_field where embedded")
+block("d_embedding", aligned("s_embedding", ("pair_id", "owner", "field_name"), ("target",), "inner"))
+oracle("find_correspondence", """select e.pair_id, old_target as old_name, 'named' as new_kind, new_target as new_name, e.owner, e.field_name, t.owner is not null and old_target = new_target as agrees
 from d_embedding e left join d_types t on t.pair_id = e.pair_id and t.owner = e.old_target""")
 oracle("require_both", """select pair_id, pkg_path, obj_name, case when in_new then 'both' else 'old' end as found from (select o.pair_id, o.pkg_path, o.obj_name, exists (select 1 from n where n.pair_id = o.pair_id and n.pkg_path = o.pkg_path and n.obj_name = o.obj_name) as in_new
  from o) x""".replace("from n where", "from (select pair_id, pkg_path, obj_name from v_api_object join w_sides using (rel_id) where side = 'new') n where").replace("from o) x", "from (select pair_id, pkg_path, obj_name from v_api_object join w_sides using (rel_id) where side = 'old') o) x"))
@@ -685,7 +685,8 @@ oracle("compare_types", """select pair_id, pkg_path, root, not bool_or(type_diff
  then array_to_string(list_filter([case when bool_or(type_differs and starts_with(path, '0')) then 'params' end, case when bool_or(type_differs and starts_with(path, '1')) then 'returns' end,
  case when bool_or(type_differs and path = '') then 'variadic' end], lambda x: x is not null), '|') end as type_cause
 from d_node_diffs group by pair_id, pkg_path, root having bool_or(path = '' and in_old and in_new)""")
-oracle("type_kinds", "select rel_id, pkg_path, root, 'function' as type_kind from v_type_node where path = ''")
+oracle("type_kinds", """select rel_id, pkg_path, root, 'function' as type_kind from v_type_node where path = ''
+union all select rel_id, pkg_path, concat(root, '.', slot), case when p % 3 = 0 then 'pointer|named' else 'basic' end from v_child""")
 block("s_named_field", "select pair_id, side, owner as root, field_name as part, case when embedded then lower(embedded_owner) else field_name end as field_name, embedded from s_field")
 block("d_named_field", aligned("s_named_field", ("pair_id", "root", "part"), ("field_name", "embedded"), "inner"))
 oracle("embedded_names_correspond", """select pair_id, root, part, old_field_name, new_field_name, old_field_name = new_field_name
