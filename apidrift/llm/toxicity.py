@@ -8,6 +8,7 @@ how far it can rely on them.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +33,7 @@ FOLDS = 5
 THRESHOLD = 0.5
 #: A word is a feature of a category where it stands in so many different labelled texts and in such a share of the
 #: category's texts, and that share lies this many standard errors above its share among the other texts.
-MIN_TEXTS, MIN_SHARE, MIN_ERRORS = 5, 0.02, 4.0
+MIN_TEXTS, MIN_SHARE, MIN_ERRORS = 5, 0.02, 6.0
 
 
 def normal_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -43,8 +44,20 @@ def normal_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return coded.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(counts)), counts), plain
 
 
+#: Words are features as they are and by their first letters, so that forms of one stem count together.
+PREFIXES = (3, 4, 5, 6, 7)
+
+
 def hashed(words: pa.Array) -> np.ndarray:
-    return np.fromiter((zlib.crc32(w) for w in words.cast(pa.large_binary()).to_pylist()), np.int64, len(words))
+    """Hashes of each word's features, one column per kind; -1 where a word is too short for a prefix."""
+    rows = [
+        [zlib.crc32(w.encode()), *[zlib.crc32(f"{w[:n]}*".encode()) if len(w) > n else -1 for n in PREFIXES]] for w in words.to_pylist()
+    ]
+    return np.array(rows, np.int64).reshape(-1, 1 + len(PREFIXES))
+
+
+#: Texts that share so many of their 16 smallest hashes count as copies.
+SHARED_HASHES, SIGNATURE_SEED = 12, 7
 
 
 @dataclass
@@ -124,11 +137,40 @@ def chain_probabilities(links: list[Link], owner: np.ndarray, word: np.ndarray,
     return before
 
 
+def _pairs(owner: np.ndarray, code: np.ndarray, hashes: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of a text and a used feature; a pair is one number while they are made distinct."""
+    parts = [owner[hit].astype(np.int64) << 32 | column[code[hit]] for column, marks in zip(hashes.T, used.T) if len(hit := np.flatnonzero(marks[code]))]
+    pairs = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+    return pairs >> 32, pairs & 0xFFFFFFFF
+
+
 def _distinct_pairs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
     code, owner, plain = normal_words(texts)
     hashes = hashed(plain)
-    order = np.unique(np.stack([owner, hashes[code]]), axis=1) if len(code) else np.zeros((2, 0), np.int64)
-    return order[0], order[1], plain, hashes
+    return *_pairs(owner, code, hashes, hashes >= 0), plain, hashes
+
+
+def _unlike_earlier(texts) -> np.ndarray:
+    """Which texts share few words with all earlier ones. Copies and near copies of a text count once in training, or
+    the words of a much copied text would seem to tell something.
+
+    Of 16 smallest hashes under different multipliers, texts of a Jaccard similarity of three quarters share twelve on
+    average, texts that only have the language in common a few.
+    """
+    multipliers = np.random.default_rng(SIGNATURE_SEED).integers(1, 1 << 62, 16, dtype=np.uint64) | np.uint64(1)
+    seen: dict[tuple[int, int], list[int]] = {}
+    unlike = np.zeros(len(texts), bool)
+    for number, words in enumerate(texts):
+        if not len(words):
+            continue
+        signature = (np.asarray(words, np.uint64)[:, None] * multipliers[None, :] >> np.uint64(20)).min(axis=0).tolist()
+        entries = list(enumerate(signature))
+        shared = Counter(n for entry in entries for n in seen.get(entry, ()))
+        if max(shared.values(), default=0) < SHARED_HASHES:
+            unlike[number] = True
+            for entry in entries:
+                seen.setdefault(entry, []).append(number)
+    return unlike
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[Link]:
@@ -147,8 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[Lin
     sample = labelled_sample(docs, labels, ["toxic"], rows).select("doc_id", "toxic", "text")
     schema = T.StructType([sample.schema["doc_id"], *T.DataType.fromDDL("toxic bigint, words array<bigint>").fields])
     found = sample.mapInArrow(run, schema).toPandas().sort_values("doc_id", kind="stable")
-    # Texts of the same words count once, or the words of a much copied text would seem to tell something.
-    found = found[~found["words"].map(lambda w: hash(tuple(w))).duplicated()] if len(found) else found
+    found = found[_unlike_earlier(found["words"])] if len(found) else found
     lengths = found["words"].map(len).to_numpy(np.int64) if len(found) else np.zeros(0, np.int64)
     columns, column = np.unique(np.concatenate([np.zeros(0, np.int64), *found["words"]]).astype(np.int64), return_inverse=True)
     owner = np.repeat(np.arange(len(found)), lengths)
@@ -170,11 +211,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, thresh
         for batch in slices(batches, "text"):
             code, owner, plain = normal_words(batch["text"])
             hashes = hashed(plain)
-            # Only the few words of the models matter; the others are dropped before texts are made of them.
+            # Only the few features of the models matter; the others are dropped before texts are made of them.
             used = np.isin(hashes, np.concatenate([link.words for link in links]))
-            hit = used[code]
-            pairs = np.unique(np.stack([owner[hit], hashes[code[hit]]]), axis=1)
-            p = chain_probabilities(links, pairs[0].astype(np.int64), pairs[1].astype(np.int64), batch.num_rows)
+            p = chain_probabilities(links, *_pairs(owner, code, hashes, used), batch.num_rows)
             columns = [pa.array(p[:, i]) for i in range(len(CHAIN))]
             yield pa.RecordBatch.from_arrays(
                 [batch["id"], *columns, pa.array((p >= threshold).any(axis=1))], names=["id", *[f"p_{c}" for c in CHAIN], "toxic"]

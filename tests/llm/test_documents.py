@@ -84,15 +84,12 @@ def test_quality_on_held_out_labels(spark):
 
 
 @needs_tables
-def test_toxicity_finds_toxic_words_and_leaves_clean_texts(spark):
+def test_toxicity_on_held_out_labels(spark):
     docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
-    rows = toxicity.toxicity(docs, labels.filter("doc_id % 2 = 0")).collect()
-    listed = re.compile(r"\b(" + "|".join(w for words in toxicity.CATEGORY_WORDS.values() for w in words) + r")\b", re.IGNORECASE)
-    texts = {r.doc_id: r.text or "" for r in docs.collect()}
-    odd = [r for r in rows if r.doc_id % 2]
-    toxic = [r.toxic for r in odd if listed.search(texts[r.doc_id])]
-    clean = [r.toxic for r in odd if not listed.search(texts[r.doc_id])]
-    assert sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.01 * len(clean)
+    rows = toxicity.toxicity(docs, labels.filter("doc_id % 2 = 0")).join(labels.filter("doc_id % 2 = 1").withColumnRenamed("toxic", "label"), "doc_id").collect()
+    toxic, clean = ([r.toxic for r in rows if r.label == label] for label in (1, 0))
+    # Some labels are wrong on purpose, so not all toxic rows can be found.
+    assert sum(toxic) >= 0.8 * len(toxic) and sum(clean) <= 0.01 * len(clean)
     assert all(0 <= r[f"p_{c}"] <= 1 for r in rows for c in toxicity.CHAIN)
 
 
