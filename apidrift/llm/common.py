@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from apidrift.session import fresh_path
 
 #: Text handled at once inside a task; a longer text is handled alone and whole.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             # A copy: some Arrow string functions read past the offsets of a slice.
             yield batch.take(pa.array(np.arange(start, stop)))
             start = stop
+            pa.default_memory_pool().release_unused()
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -70,6 +71,7 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sum of each run of ``counts`` values along the first axis."""
-    total = np.concatenate([np.zeros((1, *values.shape[1:]), np.int64 if values.dtype.kind in "biu" else np.float64), np.cumsum(values, axis=0)])
+    kind = np.int64 if values.dtype.kind in "biu" else np.float64
+    total = np.concatenate([np.zeros((1, *values.shape[1:]), kind), np.cumsum(values, axis=0, dtype=kind)])
     ends = np.cumsum(counts)
     return total[ends] - total[ends - counts]

@@ -24,7 +24,7 @@ START = "▁"
 #: How far below the worst piece an unknown character's bytes are.
 UNKNOWN_PENALTY = 10.0
 #: Distinct pre-tokens a worker remembers; beyond it the memory starts afresh.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 250_000
 
 
 def default_vocabulary() -> str:

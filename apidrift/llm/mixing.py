@@ -57,16 +57,16 @@ class DomainModel:
             done = len(self._words)
         if done < len(known.known):
             hashed = np.array([buckets(w) for w in known.known.slice(done).to_pylist()], np.int64).reshape(-1, 3)
-            new = self.weights[hashed].sum(axis=1)
+            new = self.weights[hashed].sum(axis=1, dtype=np.float32)
             self._scores = np.concatenate([self._scores, new]) if done else new
             self._words = known.known
-        return self._scores if self._scores is not None else np.zeros((0, len(self.domains)))
+        return self._scores if self._scores is not None else np.zeros((0, len(self.domains)), np.float32)
 
     def posteriors(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Posterior over the domains and number of tokens of each text; without words, the bias alone speaks."""
         words = encoder(self.tokenizer)
         at, counts = words.looked_up(texts)
-        ends = np.concatenate([[0], np.cumsum(words.lengths[at])])[np.cumsum(counts)]
+        ends = np.concatenate([[0], np.cumsum(words.lengths[at], dtype=np.int64)])[np.cumsum(counts)]
         total = sums(self.word_scores(words)[at], counts)
         return softmax(total / np.maximum(counts, 1)[:, None] + self.bias), np.diff(ends, prepend=0)
 
@@ -176,6 +176,17 @@ def with_rates(table: DataFrame, moves: list[np.ndarray]) -> DataFrame:
     return table.mapInArrow(run, T.StructType([*table.schema.fields, T.StructField("rate", T.DoubleType())]))
 
 
+def with_text_rates(docs: DataFrame, model: DomainModel, moves: list[np.ndarray], text_col: str) -> DataFrame:
+    """``docs`` with ``rate``, from the posteriors of its texts in the same pass: one worker per task, not two."""
+
+    def run(batches):
+        for batch in slices(batches, text_col):
+            rate = rates(model.posteriors(batch[text_col])[0], moves)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], names=[*batch.schema.names, "rate"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("rate", T.DoubleType())]))
+
+
 def _copies(*identity: str):
     """Copies of a row: the whole part of its rate, and one more with the chance of the rest, by a hash of the row."""
     chance = F.pmod(F.xxhash64(*identity), F.lit(1 << 30)) / float(1 << 30)
@@ -207,6 +218,6 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     moves = fit_moves(table, np.array(list(targets.values())) / sum(targets.values()))
     drop(docs.sparkSession, path)
     wide = docs.select(*[docs[c].alias(f"in_{c}") for c in docs.columns])
-    rated = with_rates(with_posteriors(wide, model, "in_text").drop("tokens"), moves)
+    rated = with_text_rates(wide, model, moves, "in_text")
     repeated = rated.withColumn("copies", _copies("in_doc_id")).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
     return repeated.select(*[repeated[f"in_{c}"].alias(c) for c in docs.columns])

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from apidrift.llm.common import split_words
 
 #: Distinct words whose ids a worker remembers (some 30 bytes each); beyond it the memory starts afresh.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 250_000
 #: Closing punctuation after a letter is a token run of its own, so it may stand apart; "the," and "the" then share an entry.
 CLOSING = r'(\pL)([.,;:!?*#$%&)"]+)(\s)'
 #: What a special token starts with; its letters keep their case.
@@ -50,8 +50,8 @@ class WordEncoder:
     def forget(self) -> None:
         self.known = pa.array([], pa.large_string())
         self.pool = np.zeros(0, np.uint32)
-        self.lengths = np.zeros(0, np.int64)
-        self.starts = np.zeros(0, np.int64)
+        self.lengths = np.zeros(0, np.int32)
+        self.starts = np.zeros(0, np.int32)
 
     def places(self, words: pa.Array) -> np.ndarray:
         """Place of each of these distinct words among the known ones, which grow by the new ones."""
@@ -67,8 +67,8 @@ class WordEncoder:
         ids, lengths = self.encoded(new.slice(0, len(new) - len(rest)), rest)
         self.known = pa.concat_arrays([self.known, new])
         self.pool = np.concatenate([self.pool, *ids])
-        self.lengths = np.concatenate([self.lengths, *lengths])
-        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.lengths = np.concatenate([self.lengths, *lengths]).astype(np.int32)
+        self.starts = np.cumsum(self.lengths, dtype=np.int32) - self.lengths
         return pc.index_in(words, value_set=self.known).to_numpy(zero_copy_only=False)
 
     def encoded(self, one_run: pa.Array, rest: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -107,15 +107,16 @@ class WordEncoder:
         """Ids of all texts in a row, and the number of each text (null: none)."""
         at, counts = self.looked_up(texts)
         lengths = self.lengths[at]
-        ends = np.cumsum(lengths)
+        ends = np.cumsum(lengths, dtype=np.int64)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.pool[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(total)]
-        return ids, np.diff(np.concatenate([[0], ends])[np.cumsum(counts)], prepend=0)
+        places = np.repeat(self.starts[at] - (ends - lengths), lengths)
+        places += np.arange(total)
+        return self.pool[places], np.diff(np.concatenate([[0], ends])[np.cumsum(counts)], prepend=0)
 
     def count(self, texts: pa.Array) -> np.ndarray:
         """Number of ids of each text."""
         at, counts = self.looked_up(texts)
-        ends = np.concatenate([[0], np.cumsum(self.lengths[at])])
+        ends = np.concatenate([[0], np.cumsum(self.lengths[at], dtype=np.int64)])
         return np.diff(ends[np.cumsum(counts)], prepend=0)
 
 
