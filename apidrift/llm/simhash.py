@@ -30,8 +30,8 @@ MAX_BITS = 2
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Keys with more fingerprints than this go by one-bit changes; either way gives all links.
 PAIRED = 32
-SHINGLE_BYTES = 4 << 20
-BLOCK = 1 << 17
+SHINGLE_BYTES = 2 << 20
+BLOCK = 1 << 16
 SPACE = pa.scalar(" ", pa.large_string())
 
 
@@ -165,4 +165,5 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_
     grouped, grouped_path = written(kept_rows.groupBy("fp").agg(first), "distinct-fingerprints")
     keep, _ = written(group_of_fingerprint(grouped).select(F.col("component.at").alias("at")).distinct(), "kept")
     drop(docs.sparkSession, grouped_path)
-    return kept_rows.join(keep, "at", "left_semi").select("row.*")
+    # The kept numbers grow with the documents: never broadcast, whatever the size.
+    return kept_rows.join(keep.hint("merge"), "at", "left_semi").select("row.*")
