@@ -99,4 +99,5 @@ def pack(
             names = [x.split()[0] for x in PIECES.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    return texts.join(places, "at").select("id", "position", "doc_tokens", "ids").mapInArrow(run, PIECES).withColumnRenamed("id", id_col)
+    # Places grow with the documents: never broadcast, whatever the size.
+    return texts.join(places.hint("merge"), "at").select("id", "position", "doc_tokens", "ids").mapInArrow(run, PIECES).withColumnRenamed("id", id_col)
