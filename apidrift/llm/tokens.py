@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from apidrift.llm.common import split_words
 
 #: Distinct words whose ids a worker remembers (some 30 bytes each); beyond it the memory starts afresh.
-CACHED_WORDS = 250_000
+CACHED_WORDS = 400_000
 #: Closing punctuation after a letter is a token run of its own, so it may stand apart; "the," and "the" then share an entry.
 CLOSING = r'(\pL)([.,;:!?*#$%&)"]+)(\s)'
 #: What a special token starts with; its letters keep their case.
