@@ -176,7 +176,8 @@ def top_k(
 
     def paired(blocks: DataFrame) -> DataFrame:
         spread_q = blocks.withColumn("c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_c - 1).cast("bigint"))))
-        return spread_q.join(spread_c, ["q", "c"])
+        # Blocks are spread after their size is estimated, so a broadcast would outgrow its limit.
+        return spread_q.hint("merge").join(spread_c, ["q", "c"])
 
     lists, lists_path = written(_lists(paired(queries), k, groups), "local-lists")
     of_block = queries.select("q", F.explode("q_rows.at").alias("query"))
