@@ -28,7 +28,7 @@ CATEGORY_WORDS = {
     "contempt": ("disgusting", "garbage", "pathetic", "scum", "trash", "worthless"),
 }
 CHAIN = ("insult", "contempt", "toxic")
-SAMPLE_ROWS = 8000
+SAMPLE_ROWS = 2500
 FOLDS = 5
 THRESHOLD = 0.5
 #: A word is a feature of a category where it stands in so many different labelled texts and in such a share of the
