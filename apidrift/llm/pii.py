@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import string
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from apidrift.llm.common import drop, slices, split_words, written
+from apidrift.llm.common import drop, slices, split_words, with_row_id, written
 
 #: Fixed patterns, in the order in which spans are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -40,9 +41,10 @@ WHITE = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
 
 MIN_LENGTH = 5
 MIN_SUPPORT = 3
-#: A pattern needs this share of all pairs of a pattern and a seed; so at most as many patterns are ever broadcast.
-MAX_PATTERNS = 2000
 TRUSTED, ACCEPTED, ROUNDS = 0.5, 0.8, 3
+#: Size of the bit map that tells tasks which patterns may matter. What it lets through by chance is dropped by a join,
+#: so the number of patterns has no bound; only the share let through by chance grows with it.
+FILTER_BITS = 1 << 24
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -117,19 +119,6 @@ def mentions(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[int,
         found = MARK.search(plain, done)
 
 
-def all_spans(text: str, accepted: frozenset[str]) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """The fixed spans, and those that accepted patterns add where no fixed span lies."""
-    base = base_spans(text)
-    if not accepted:
-        return base, []
-    added = [
-        (CONTEXT, start, end)
-        for start, end, _, patterns in mentions(text, base)
-        if any(p in accepted for p in patterns) and not any(s < end and start < e for _, s, e in base)
-    ]
-    return base, added
-
-
 def digest(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for kind, start, end in spans)
 
@@ -163,9 +152,30 @@ def _graph(texts: DataFrame) -> DataFrame:
     return found.groupBy("pattern", F.xxhash64("value").alias("value")).agg(F.max("seed").alias("seed"), F.sum("n").alias("n"))
 
 
-def _occurrences(texts: DataFrame, patterns: frozenset[str]) -> DataFrame:
-    """(pattern, total): how often each of these patterns is followed by any word."""
-    last_words = {p.rsplit(" ", 1)[-1] for p in patterns}
+def _hash(pattern: str) -> int:
+    """Hash of a pattern; its lowest bits are the place in the bit map."""
+    first, _, last = pattern.rpartition(" ")
+    return zlib.crc32(first.encode()) * 31 + zlib.crc32(last.encode())
+
+
+def _filter(patterns: DataFrame) -> np.ndarray:
+    """The bit map of a table of patterns, as 64-bit words; its size is the same for any number of them."""
+    last = F.substring_index("pattern", " ", -1)
+    first = F.when(F.col("pattern") == last, "").otherwise(F.substring_index("pattern", " ", 1))
+    places = patterns.select((F.crc32(first.cast("binary")) * 31 + F.crc32(last.cast("binary"))).bitwiseAND(FILTER_BITS - 1).alias("bucket"))
+    words = places.groupBy(F.expr("bucket div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bucket % 64 as int))")).alias("bits"))
+    found, bits = words.toPandas(), np.zeros(FILTER_BITS // 64, np.uint64)
+    bits[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    return bits
+
+
+def _may_hold(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    buckets = hashes & len(bits) * 64 - 1
+    return (bits[buckets >> 6] >> (buckets & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
+def _occurrences(texts: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(pattern, total): how often a pattern is followed by any word, for all patterns that the bit map may hold."""
 
     def run(batches):
         for batch in slices(batches, "text"):
@@ -173,88 +183,134 @@ def _occurrences(texts: DataFrame, patterns: frozenset[str]) -> DataFrame:
             coded = words.dictionary_encode()
             codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             names = [w.lower() for w in coded.dictionary.to_pylist()]
+            crc = np.array([zlib.crc32(w.encode()) for w in names], np.int64)
             followed = np.ones(len(codes), bool)
             followed[(np.cumsum(counts) - 1)[counts > 0]] = False
             first = np.zeros(len(codes), bool)
             first[(np.cumsum(counts) - counts)[counts > 0]] = True
-            hit = np.flatnonzero(np.array([w in last_words for w in names], bool)[codes] & followed) if len(codes) else codes
-            before = np.where(first[hit], -1, codes[hit - 1])
-            pairs, times = np.unique(np.stack([before, codes[hit]]), axis=1, return_counts=True)
-            seen: Counter = Counter()
-            for left, right, n in zip(*pairs.tolist(), times.tolist()):
-                for p in (names[right], f"{names[left]} {names[right]}" if left >= 0 else None):
-                    if p in patterns:
-                        seen[p] += n
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "n"])
+            single = np.bincount(codes[followed], minlength=len(names))
+            ones = np.flatnonzero((single > 0) & _may_hold(bits, crc))
+            second = np.flatnonzero(followed & ~first)
+            left, right = codes[second - 1], codes[second]
+            hit = _may_hold(bits, crc[left] * 31 + crc[right])
+            pairs, times = np.unique(left[hit] * len(names) + right[hit], return_counts=True)
+            found = [names[i] for i in ones.tolist()] + [f"{names[i]} {names[j]}" for i, j in zip(*np.divmod(pairs, max(len(names), 1)))]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(np.concatenate([single[ones], times]), pa.int64())], names=["pattern", "n"])
 
     return texts.mapInArrow(run, "pattern string, n bigint").groupBy("pattern").agg(F.sum("n").alias("total"))
 
 
-def accepted_patterns(docs: DataFrame, text_col: str = "text") -> frozenset[str]:
-    """The patterns of high confidence in this corpus; at most ``MAX_PATTERNS`` of them, by the share each needs."""
-    texts = docs.select(F.col(text_col).alias("text"))
-    graph, path = written(_graph(texts), "patterns")
-    seeds = graph.filter("seed")
-    support = seeds.groupBy("pattern").agg(F.count(F.lit(1)).alias("support"))
-    needed = max(MIN_SUPPORT, seeds.count() / MAX_PATTERNS)
-    candidates = frozenset(r[0] for r in support.filter(F.col("support") >= needed).select("pattern").collect())
-    if not candidates:
-        drop(docs.sparkSession, path)
-        return candidates
-    total, total_path = written(_occurrences(texts, candidates), "pattern-totals")
-    edges, edges_path = written(graph.join(F.broadcast(total), "pattern"), "pattern-edges")
+def trusted_contexts(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str]:
+    """(pattern): the patterns of high confidence in this corpus, with the folder of this intermediate.
+
+    ``MIN_SUPPORT`` seeds are enough at every size. Candidates, totals and confidences are tables and meet by merge
+    joins on the pattern or the identifier. Patterns are unique on one side of each, so adaptive execution can split
+    the other side of a hot one.
+    """
+    spark, texts = docs.sparkSession, docs.select(F.col(text_col).alias("text"))
+    graph, graph_path = written(_graph(texts), "patterns")
+    support = graph.filter("seed").groupBy("pattern").agg(F.count(F.lit(1)).alias("support"))
+    candidates, candidates_path = written(support.filter(F.col("support") >= MIN_SUPPORT).select("pattern"), "pattern-candidates")
+    total, total_path = written(_occurrences(texts, _filter(candidates)).join(candidates.hint("merge"), "pattern"), "pattern-totals")
+    edges, edges_path = written(graph.join(total.hint("merge"), "pattern"), "pattern-edges")
+    drop(spark, graph_path, candidates_path, total_path)
     belief = F.col("seed").cast("double")
-    scored = edges.withColumn("belief", belief)
-    confidence: dict[str, float] = {}
+    scored, confidence, path = edges.withColumn("belief", belief), None, None
     for _ in range(ROUNDS):
+        before = path
         shares = scored.groupBy("pattern").agg((F.sum(F.col("n") * F.col("belief")) / F.max("total")).alias("confidence"))
-        confidence = dict(shares.collect())
-        trusted = shares.sparkSession.createDataFrame(
-            [(p, min(c, 0.999)) for p, c in confidence.items() if c >= TRUSTED], "pattern string, confidence double"
-        )
-        believed = edges.join(F.broadcast(trusted), "pattern").groupBy("value").agg(
+        confidence, path = written(shares, "pattern-confidence")
+        if before:
+            drop(spark, before)
+        trusted = confidence.filter(F.col("confidence") >= TRUSTED).select("pattern", F.least("confidence", F.lit(0.999)).alias("confidence"))
+        believed = edges.join(trusted.hint("merge"), "pattern").groupBy("value").agg(
             (1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("found")
         )
-        scored = edges.join(believed, "value", "left").withColumn("belief", F.greatest(belief, F.coalesce("found", F.lit(0.0))))
-    drop(docs.sparkSession, path, total_path, edges_path)
-    return frozenset(p for p, c in confidence.items() if c >= ACCEPTED)
+        scored = edges.join(believed.hint("merge"), "value", "left").withColumn("belief", F.greatest(belief, F.coalesce("found", F.lit(0.0))))
+    accepted, accepted_path = written(confidence.filter(F.col("confidence") >= ACCEPTED).select("pattern"), "pattern-accepted")
+    drop(spark, edges_path, path)
+    return accepted, accepted_path
 
 
-SPANS = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"
+def accepted_patterns(docs: DataFrame, text_col: str = "text") -> frozenset[str]:
+    """``trusted_contexts`` collected, for a look at small tables; the operators leave it a table."""
+    accepted, path = trusted_contexts(docs, text_col)
+    patterns = frozenset(r[0] for r in accepted.collect())
+    drop(docs.sparkSession, path)
+    return patterns
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, numbers of fixed matches by kind, the digest of their spans, and all spans.
+def _with_spans(wide: DataFrame, text: str, kept: list[str]) -> DataFrame:
+    """The columns ``kept`` of ``wide`` with the fixed counts, ``base_sha256``, and ``spans``: the fixed spans and those that
+    trusted contexts add where no fixed span lies.
 
-    Null and empty texts have no spans. Repeated rows give repeated rows, null ids stay null, an empty table gives
-    no rows. Other columns are ignored, whatever their names.
+    Columns of ``wide`` start with ``in_``. Tasks list the mentions that the bit map lets through; their patterns meet
+    the accepted ones in a join, and only rows with such mentions meet their added spans in another.
     """
-    accepted = accepted_patterns(docs, text_col)
+    accepted, accepted_path = trusted_contexts(wide, text)
+    bits = _filter(accepted)
+    added_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("pattern", pa.string())]))
 
     def run(batches):
-        for batch in slices(batches, "text"):
+        wanted = bits.any()
+        for batch in slices(batches, text):
             rows = []
-            for text in batch["text"].to_pylist():
-                base, added = all_spans(text or "", accepted)
+            for value in batch[text].to_pylist():
+                base = base_spans(value or "")
                 kinds = Counter(kind for kind, _, _ in base)
-                rows.append((*[kinds[k] for k in KINDS], sha256(digest(base).encode()).hexdigest(), digest(base + added)))
-            types = [pa.int64()] * 4 + [pa.string()] * 2
-            names = ["id", *[c.split()[0] for c in SPANS.split(", ")]]
-            yield pa.RecordBatch.from_arrays([batch["id"], *[pa.array(c, t) for c, t in zip(zip(*rows), types)]], names=names)
+                found = [
+                    (start, end, p)
+                    for start, end, _, patterns in (mentions(value or "", base) if wanted else ())
+                    if not any(s < end and start < e for _, s, e in base)
+                    for p in patterns
+                ]
+                if found:
+                    maybe = _may_hold(bits, np.array([_hash(p) for _, _, p in found], np.int64))
+                    found = [dict(zip(("start", "end", "pattern"), f)) for f, keep in zip(found, maybe.tolist()) if keep]
+                listed = digest(base)
+                rows.append((*[kinds[k] for k in KINDS], sha256(listed.encode()).hexdigest(), listed, found, bool(found)))
+            types = [pa.int64()] * 4 + [pa.string()] * 2 + [added_type, pa.bool_()]
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in kept], *[pa.array(c, t) for c, t in zip(zip(*rows), types)]], names=names)
+
+    new = T.DataType.fromDDL(f"{SPANS}, added array<struct<start: bigint, end: bigint, pattern: string>>, listed boolean").fields
+    names = [*kept, *[f.name for f in new]]
+    marked = wide.mapInArrow(run, T.StructType([*[wide.schema[c] for c in kept], *new]))
+    rows, _ = written(with_row_id(marked, "row"), "personal-data")
+    pairs = rows.filter("listed").select("row", F.inline("added")).join(accepted.hint("merge"), "pattern", "left_semi")
+    added = pairs.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("found"))
+    listed = F.array_join(F.transform("found", lambda x: F.concat(F.lit(f"{CONTEXT}:"), x["start"], F.lit(":"), x["end"])), ",")
+    joined = rows.filter("listed").join(added.hint("merge"), "row", "left")
+    both = joined.withColumn("spans", F.concat_ws(",", F.when(F.col("spans") != "", F.col("spans")), listed))
+    columns = [*kept, *[c.split()[0] for c in SPANS.split(", ")]]
+    return rows.filter("not listed").select(*columns).unionByName(both.select(*columns))
+
+
+SPANS = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"
 
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = T.StructType([narrow.schema["id"], *T.DataType.fromDDL(SPANS).fields])
-    return narrow.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, numbers of fixed matches by kind, the digest of their spans, and all spans.
+
+    Null and empty texts have no spans. Repeated rows give repeated rows, null ids stay null, an empty table gives
+    no rows. Other columns are ignored, whatever their names.
+    """
+    narrow = docs.select(F.col(id_col).alias("in_id"), F.col(text_col).alias("in_text"))
+    return _with_spans(narrow, "in_text", ["in_id"]).withColumnRenamed("in_id", id_col)
 
 
 def mask_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span in the text replaced by its kind; null texts stay null, other columns as they are."""
-    accepted = accepted_patterns(docs, text_col)
+    wide = docs.select(*[docs[c].alias(f"in_{c}") for c in docs.columns])
+    found = _with_spans(wide, f"in_{text_col}", wide.columns)
+    at = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in slices(batches, text_col):
-            texts = [t if t is None else masked(t, sum(all_spans(t, accepted), [])) for t in batch[text_col].to_pylist()]
-            at = batch.schema.get_field_index(text_col)
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-
-    return docs.mapInArrow(run, docs.schema)
+        for batch in slices(batches, f"in_{text_col}"):
+            spans = [[(k, int(s), int(e)) for k, s, e in (x.split(":") for x in listed.split(",") if x)] for listed in batch["spans"].to_pylist()]
+            texts = [t if t is None else masked(t, s) for t, s in zip(batch[at].to_pylist(), spans)]
+            columns = batch.columns[:-1]
+            columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    names = docs.columns
+    return found.select(*wide.columns, "spans").mapInArrow(run, docs.schema)

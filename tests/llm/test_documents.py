@@ -175,6 +175,29 @@ def test_contexts_discover_unseen_identifiers(spark, docs_of, odd_rows):
     assert pii.personal_data(docs_of([])).collect() == [] == pii.mask_personal_data(docs_of([])).collect()
 
 
+def test_few_seeds_are_enough_in_a_large_table(spark, docs_of):
+    """Thousands of seeds under one context do not raise the support that another one needs."""
+    cards = [n for n in (f"41111111{i:08d}" for i in range(100)) if luhn(n)][:3]
+    hot = [(i, f"Please write to user{i}@mail{i}.example.org today.") for i in range(4000)]
+    rare = [(5000 + i, f"His badge code {c} was shown.") for i, c in enumerate(cards)]
+    docs = docs_of(hot + rare + [(6000, "Her badge code QX-4471 was lost."), (None, "Her badge code QX-4471 was lost.")])
+    rows = pii.personal_data(docs).collect()
+    assert len(rows) == 4005
+    assert sorted(r.spans for r in rows if r.doc_id in (6000, None)) == ["context:15:22"] * 2
+    assert sorted(r.text for r in pii.mask_personal_data(docs).filter("doc_id is null or doc_id = 6000").collect()) == ["Her badge code [CONTEXT] was lost."] * 2
+
+
+def test_patterns_that_the_filter_lets_through_by_chance(spark, docs_of, monkeypatch):
+    """A filter of 64 bits holds nearly every pattern; the joins drop what is not accepted."""
+    cards = [n for n in (f"41111111{i:08d}" for i in range(400)) if luhn(n)][:20]
+    seeds = [(100 + i, f"Please note: account no {c} was opened today.") for i, c in enumerate(cards)]
+    docs = docs_of(seeds + [(200 + i, f"The year {10000 + i} w{i} {20000 + i} came.") for i in range(30)] + [(300, "An account no AB-77812 was closed.")])
+    expected = sorted(map(tuple, pii.personal_data(docs).collect()))
+    monkeypatch.setattr(pii, "FILTER_BITS", 64)
+    assert sorted(map(tuple, pii.personal_data(docs).collect())) == expected
+    assert sum("context" in r[-1] for r in expected) == 1
+
+
 # Near-duplicates
 
 
