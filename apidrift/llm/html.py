@@ -8,6 +8,7 @@ trained on a small labelled table keeps the blocks of the article.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from html import unescape
@@ -23,6 +24,13 @@ from apidrift.llm.trees import Trees, decision_tree
 
 #: Elements whose content is never text of the page.
 UNREAD = "script style noscript template svg iframe object select textarea button title"
+#: Those that run to the end of the page without their end tag. Of the others only the tag is passed over then.
+RAW = frozenset("script style title textarea iframe".split())
+#: Those that cannot hold one of their kind: another start tag before the end tag means that the first was left open.
+SINGLE = frozenset("noscript select button".split())
+UNREAD_END = {
+    name: re.compile(rf"</{name}\s*>" + (rf"|(?=<{name}[\s/>])" if name in SINGLE else ""), re.IGNORECASE) for name in UNREAD.split()
+}
 #: Elements that stand apart; text runs on through all others.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -46,7 +54,7 @@ COMMENT_WORDS = frozenset("comment comments commentlist disqus discussion replie
 CONTENT_WORDS = frozenset("article content entry post story".split())
 
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<unread>{UNREAD.replace(' ', '|')})\b[^>]*+>.*?(?:</(?P=unread)\s*>|\Z)|"
+    rf"<!--.*?(?:-->|\Z)|<(?P<unread>{UNREAD.replace(' ', '|')})(?=[\s/>])[^>]*+>|"
     r"<(?P<close>/?)(?P<name>[a-z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[a-z/!?][^>]*+(?:>|\Z)|(?P<text>[^<]++|<)",
     re.IGNORECASE | re.DOTALL,
 )
@@ -92,6 +100,24 @@ def _opened(name: str, rest: str, around: _Open) -> _Open:
     return _Open(name, side, around.article or article, around.content or bool(words & CONTENT_WORDS))
 
 
+def _tokens(html: str) -> Iterator[re.Match]:
+    """Tags and texts of a page without what stands in unread elements."""
+    at, open_ended = 0, set()
+    while at < len(html):
+        found = TOKEN.match(html, at)
+        at, name = found.end(), (found["unread"] or "").lower()
+        if not name:
+            yield found
+        elif name not in open_ended and not (name == "svg" and html.endswith("/>", 0, at)):
+            end = UNREAD_END[name].search(html, at)
+            if end:
+                at = end.end() if end[0] else at
+            elif name in RAW:
+                return
+            else:
+                open_ended.add(name)
+
+
 def blocks_of(html: str) -> list[Block]:
     """The text blocks of a page in its order; white space is one space, character references are decoded."""
     blocks: list[Block] = []
@@ -112,7 +138,7 @@ def blocks_of(html: str) -> list[Block]:
             link = False
         pieces.clear()
 
-    for found in TOKEN.finditer(html):
+    for found in _tokens(html):
         text, name = found["text"], found["name"]
         if text:
             pieces.append((unescape(text), link))

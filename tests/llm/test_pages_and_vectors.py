@@ -41,6 +41,23 @@ def test_broken_pages():
     assert html.main_text("<article><p>" + "word " * 300_000 + "</p></article>", tree).count("word") == 300_000
 
 
+@pytest.mark.parametrize(
+    "left_open",
+    ["<svg class=a />", "<SVG/>", "<svg>", "<button>", "<object>", "<select>", "<template>", "<button-group>", "<title-bar>", "<button>Up</button><button>", "<button><button></button>"],
+)
+def test_unread_elements_left_open(left_open):
+    text = "The article goes on for many words after an element that has no end tag on this page."
+    for after in ("", "<title-bar></title-bar>"):
+        assert html.main_text(f"<article><p>{text}</p>{left_open}<p>{text}</p></article>{after}", html.default_tree()) == f"{text}\n{text}"
+
+
+def test_raw_elements_left_open():
+    text = "The article goes on for many words."
+    for name in ("script", "style", "title", "textarea", "iframe"):
+        assert html.main_text(f"<article><p>{text}</p><{name} a=b><p>{text}</p></article>", html.default_tree()) == text
+    assert html.main_text("<article><p>" + "<button><svg>" * 30_000 + f"{text}</p></article>", html.default_tree()) == text
+
+
 def test_tree_agrees_with_its_table():
     rows, labels = html.labelled_table()
     assert ((html.default_tree().margin(rows) >= 0.5) == labels).mean() > 0.97
