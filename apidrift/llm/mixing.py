@@ -187,9 +187,15 @@ def with_text_rates(docs: DataFrame, model: DomainModel, moves: list[np.ndarray]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("rate", T.DoubleType())]))
 
 
-def _copies(*identity: str):
-    """Copies of a row: the whole part of its rate, and one more with the chance of the rest, by a hash of the row."""
-    chance = F.pmod(F.xxhash64(*identity), F.lit(1 << 30)) / float(1 << 30)
+def _draw(*identity: str):
+    """A number per row from a hash of its id, its text and its place in the scan: rows without id and repeated rows are
+    drawn one by one. Null columns leave the hash to the others."""
+    return F.xxhash64(*identity, F.monotonically_increasing_id())
+
+
+def _copies(draw: str):
+    """Copies of a row: the whole part of its rate, and one more with the chance of the rest, by the row's ``draw``."""
+    chance = F.pmod(draw, F.lit(1 << 30)) / float(1 << 30)
     whole = F.floor("rate")
     return (whole + (F.col("rate") - whole > chance).cast("bigint")).cast("bigint")
 
@@ -198,16 +204,17 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
     """(doc_id, tokens, p_<domain>..., rate, copies) of every row.
 
     ``tokens`` are those of the whole text; sum(rate * tokens * p) per domain meets its target share of all tokens.
-    Null and empty texts have no tokens and move by the classifier's bias only. Equal texts have equal rates; repeated
-    rows have equal copies. Null ids stay null, an empty table gives no rows; other columns are ignored.
+    Null and empty texts have no tokens and move by the classifier's bias only. Equal texts have equal rates;
+    copies are drawn for each row alone, repeated rows and rows with null ids as well, and so depend on the order of the
+    files. Null ids stay null, an empty table gives no rows; other columns are ignored.
     """
     domains = list(targets)
     model = fit_domains(docs, labels, domains, rows)
-    narrow = docs.select("doc_id", "text")
-    table, _ = written(with_posteriors(narrow, model).select("doc_id", "p", "tokens"), "posteriors")
+    narrow = docs.select("doc_id", "text", _draw("doc_id", "text").alias("draw"))
+    table, _ = written(with_posteriors(narrow, model).select("doc_id", "draw", "p", "tokens"), "posteriors")
     moves = fit_moves(table, np.array(list(targets.values())) / sum(targets.values()))
     columns = [F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)]
-    return with_rates(table, moves).select("doc_id", "tokens", *columns, "rate", _copies("doc_id").alias("copies"))
+    return with_rates(table, moves).select("doc_id", "tokens", *columns, "rate", _copies("draw").alias("copies"))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -217,7 +224,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     table, path = written(with_posteriors(docs.select("text"), model).select("p", "tokens"), "posteriors")
     moves = fit_moves(table, np.array(list(targets.values())) / sum(targets.values()))
     drop(docs.sparkSession, path)
-    wide = docs.select(*[docs[c].alias(f"in_{c}") for c in docs.columns])
+    wide = docs.select(*[docs[c].alias(f"in_{c}") for c in docs.columns], _draw("doc_id", "text").alias("draw"))
     rated = with_text_rates(wide, model, moves, "in_text")
-    repeated = rated.withColumn("copies", _copies("in_doc_id")).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
+    repeated = rated.withColumn("copies", _copies("draw")).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
     return repeated.select(*[repeated[f"in_{c}"].alias(c) for c in docs.columns])

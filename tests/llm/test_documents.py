@@ -321,6 +321,16 @@ def test_mixing_of_documents(spark):
     assert Counter(r.doc_id for r in mixed.collect()) == Counter({r.doc_id: r.copies for r in rows if r.copies})
 
 
+def test_rows_with_null_or_repeated_ids_are_drawn_one_by_one(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(mixing, "fit_moves", lambda *_: [np.full(len(mixing.TARGETS), 0.5)])
+    docs = docs_of([(i, "The same words.") for i in (None, 7) for _ in range(400)] + [(None, None)] * 400)
+    rows = mixing.mixing_rates(docs, labels_of(spark, [])).collect()
+    assert all(abs(r.rate - 0.5) < 1e-9 for r in rows)
+    for found in ([(r.doc_id, r.tokens > 0) for r in rows if r.copies], [(r.doc_id, r.text is not None) for r in mixing.mixed(docs, labels_of(spark, [])).collect()]):
+        counts = Counter(found)
+        assert len(counts) == 3 and all(140 < n < 260 for n in counts.values())
+
+
 def test_mixing_of_odd_rows(spark, docs_of, odd_rows):
     for labels in ([], [(1, 1, 0), (5, 1, 0)]):
         rows = mixing.mixing_rates(docs_of(odd_rows), labels_of(spark, labels)).collect()
