@@ -40,6 +40,7 @@ WORD_END = re.compile(r"[\x20\x09-\x0D]|\Z")
 WHITE = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
 
 MIN_LENGTH = 5
+LONG_WORD = 200
 MIN_SUPPORT = 3
 TRUSTED, ACCEPTED, ROUNDS = 0.5, 0.8, 3
 #: Size of the bit map that tells tasks which patterns may matter. What it lets through by chance is dropped by a join,
@@ -85,6 +86,25 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return spans
 
 
+def _named(word: str) -> str:
+    """A word as patterns have it: in lower case, very long ones as a hash."""
+    word = word.lower()
+    return word if len(word) <= LONG_WORD else sha256(word.encode()).hexdigest()
+
+
+def _context(plain: str, end: int) -> list[str]:
+    """The last word before ``end`` and the last two, however far away they are."""
+    words: list[str] = []
+    while end > 0 and len(words) < 2:
+        if plain[end - 1] == " ":
+            end -= 1
+            continue
+        begin = plain.rfind(" ", 0, end) + 1
+        words.insert(0, _named(plain[begin:end]))
+        end = begin
+    return [" ".join(words[-n:]) for n in (1, 2) if len(words) >= n]
+
+
 def mentions(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, bool, list[str]]]:
     """(start, end, seed, patterns) of words that look like identifiers: a digit or @ inside, five characters or more.
 
@@ -93,7 +113,7 @@ def mentions(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[int,
     """
     plain = text.translate(WHITE)
     taken = sorted((start, end) for _, start, end in base)
-    done, i = 0, 0
+    done, i, seen, patterns = 0, 0, 0, []
     found = MARK.search(plain)
     while found:
         at = found.start()
@@ -112,10 +132,9 @@ def mentions(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[int,
             seed = bool(HEX_KEY.fullmatch(plain, start, end))
         if end - start >= MIN_LENGTH:
             # Characters stuck to the identifier, such as quotes, are no words of the context.
-            before = plain[max(0, start - 400) : start]
-            before = before[: before.rfind(" ") + 1].lower().split(" ")
-            words = [w for w in before[(1 if start > 400 else 0) :] if w][-2:]
-            yield start, end, seed, [" ".join(words[-n:]) for n in (1, 2) if len(words) >= n]
+            space = plain.rfind(" ", seen, start)
+            seen, patterns = start, _context(plain, space) if space >= 0 else patterns
+            yield start, end, seed, patterns
         found = MARK.search(plain, done)
 
 
@@ -182,7 +201,7 @@ def _occurrences(texts: DataFrame, bits: np.ndarray) -> DataFrame:
             words, counts = split_words(batch["text"])
             coded = words.dictionary_encode()
             codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            names = [w.lower() for w in coded.dictionary.to_pylist()]
+            names = [_named(w) for w in coded.dictionary.to_pylist()]
             crc = np.array([zlib.crc32(w.encode()) for w in names], np.int64)
             followed = np.ones(len(codes), bool)
             followed[(np.cumsum(counts) - 1)[counts > 0]] = False

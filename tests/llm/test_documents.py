@@ -175,6 +175,16 @@ def test_contexts_discover_unseen_identifiers(spark, docs_of, odd_rows):
     assert pii.personal_data(docs_of([])).collect() == [] == pii.mask_personal_data(docs_of([])).collect()
 
 
+@pytest.mark.parametrize("gap", [" " * 1000, " \n\t" * 300])
+def test_context_words_far_away(gap):
+    found = lambda text: [(text[s:e], p) for s, e, _, p in pii.mentions(text, pii.base_spans(text))]
+    assert found(f"Account{gap}No{gap}AB-77812") == [("AB-77812", ["no", "account no"])]
+    long = "x" * 1000
+    (_, one), = found(f"no {long} AB-77812")
+    assert one == [hashlib.sha256(long.encode()).hexdigest(), f"no {hashlib.sha256(long.encode()).hexdigest()}"]
+    assert found("is 'a@b.co','c@d.co' 12345") == [("a@b.co", ["is"]), ("c@d.co", ["is"]), ("12345", ["'a@b.co','c@d.co'", "is 'a@b.co','c@d.co'"])]
+
+
 def test_few_seeds_are_enough_in_a_large_table(spark, docs_of):
     """Thousands of seeds under one context do not raise the support that another one needs."""
     cards = [n for n in (f"41111111{i:08d}" for i in range(100)) if luhn(n)][:3]
