@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apidrift.llm import counts, frames, html, mixing, packing, pii, quality, simhash, topk, toxicity
+from apidrift.llm import collocations, counts, frames, html, importance, mixing, oneperm, packing, pii, quality, simhash, topk, toxicity
 from apidrift.llm.common import table
 
 
@@ -64,15 +64,31 @@ def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_bit_sliced_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance of every document for the benchmark, and the documents drawn by it."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text."""
+    return oneperm.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_main_text, op2_token_frames, op3_token_counts, op4_quality_rules, op5_toxicity_chain, op6_curve_packing,
-        op7_personal_data, op8_exact_top_k, op9_simhash_golay, op10_soft_mixing,
+        op7_personal_data, op8_exact_top_k, op9_simhash_golay, op10_soft_mixing, op11_bit_sliced_resampling, op12_one_permutation, op13_collocations,
     )
 }
 #: The other operators need trained models, tokenizers or hashes that SQL lacks; tests hold them against plain versions.
 ORACLE: dict[str, str] = {
+    "op13_collocations": collocations.SQL,
     "op8_exact_top_k": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
