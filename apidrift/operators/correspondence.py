@@ -302,6 +302,7 @@ def _met_types(items: DataFrame, sided: DataFrame, scope: Sequence[str]) -> Data
         *scope, "old_name", "new_kind", "new_name",
         F.concat("pos", F.array("part"), steps).alias("pos"),
         "chain",
+        F.col("pos").alias("parent_pos"),
     )
 
 
@@ -311,17 +312,22 @@ def establish_correspondence(
     """Map old named types to new ones: the first pair met wins, even under a new name.
 
     ``objects`` are the exported names of both sides (``obj_name``, ``old_kind``, ``new_kind``). Objects are
-    visited in name order; a type is entered where it is first mapped. Each round derives what the types
-    mapped so far lead to and keeps, per old type, the pair at the smallest place. A package is done when its
-    mapping stands still, about one round per level of types within types, and only the others go on. A package
-    whose mapping comes back to an earlier state would go round for ever; it keeps that state.
+    visited in name order; a type is entered where it is first mapped, so of all pairs that an old type is met in,
+    the one at the smallest place holds.
+
+    Only types whose pair is new or has moved since the last round are entered (the frontier): their members give
+    further candidates. A candidate that was met inside a pair which lost its place meanwhile is taken back. A place
+    inside a type comes after the place of the type itself, so places settle from the smallest on and the rounds end;
+    there are about as many as levels of types within types. Packages without a frontier are done and left out.
     """
     key = [*scope, "old_name"]
-    columns = [*scope, "old_name", "new_kind", "new_name", "pos", "chain"]
+    pair = ["new_kind", "new_name", "pos", "chain"]
     empty = F.array().cast("array<string>")
+    nowhere = F.lit(None).cast("array<string>")
     types = objects.filter((F.col("old_kind") == "type") & (F.col("new_kind") == "type")).select(
         *scope, F.col("obj_name").alias("old_name"), F.lit("named").alias("new_kind"),
         F.col("obj_name").alias("new_name"), F.array("obj_name").alias("pos"), empty.alias("chain"),
+        nowhere.alias("parent_pos"),
     )
     same = F.col("old_kind") == F.col("new_kind")
     func_to_var = (F.col("old_kind") == "func") & (F.col("new_kind") == "var")
@@ -329,35 +335,42 @@ def establish_correspondence(
         *scope, F.col("obj_name").alias("old_root"), F.col("obj_name").alias("new_root"),
         F.array("obj_name").alias("pos"), empty.alias("chain"),
     )
-    direct = materialize(types.unionByName(_met_types(others, sided, scope)).select(*columns), "direct")
+    met = _met_types(others, sided, scope).withColumn("parent_pos", nowhere)
+    candidates = materialize(types.unionByName(met), "candidates")
+    # Types are entered by name; the trees of constants, variables and functions are done with.
+    untyped = objects.filter(F.col("old_kind").isin("const", "var", "func") & (same | func_to_var)).select(*scope, F.col("obj_name").alias("root"))
+    inner = materialize(sided.join(untyped, [*scope, "root"], "left_anti"), "inner-nodes")
 
-    def winners(candidates: DataFrame) -> DataFrame:
+    def winners(rows: DataFrame) -> DataFrame:
         best = F.min(F.struct("pos", "new_kind", "new_name", "chain")).alias("w")
-        return candidates.groupBy(*key).agg(best).select(*key, *[F.col("w")[c].alias(c) for c in ("new_kind", "new_name", "pos", "chain")])
-
-    def state(mapping: DataFrame) -> DataFrame:
-        """One fingerprint per package."""
-        row = F.xxhash64("old_name", "new_kind", "new_name", F.to_json(F.struct("pos", "chain")))
-        return mapping.groupBy(*scope).agg(F.sum(row.cast("decimal(38,0)")).alias("state"))
+        return rows.groupBy(*key).agg(best).select(*key, *[F.col("w")[c].alias(c) for c in pair])
+
+    def still_met(rows: DataFrame, holding: DataFrame) -> DataFrame:
+        """Candidates met outside of types, or inside a pair that holds."""
+        parents = holding.select(*scope, F.col("old_name").alias("_parent"), F.col("pos").alias("parent_pos"))
+        inside = rows.filter("parent_pos is not null").withColumn("_parent", F.try_element_at("chain", F.lit(-1)))
+        return rows.filter("parent_pos is null").unionByName(
+            inside.join(parents, [*scope, "_parent", "parent_pos"], "left_semi").drop("_parent")
+        )
 
-    mapping = materialize(winners(direct), "mapping")
-    seen = materialize(state(mapping), "states")
-    settled = None
+    mapping = materialize(winners(candidates), "mapping")
+    frontier, settled = mapping, None
     while True:
-        items = mapping.filter("new_kind = 'named'").select(
+        items = frontier.filter("new_kind = 'named'").select(
             *scope, F.col("old_name").alias("old_root"), F.col("new_name").alias("new_root"), "pos",
             F.concat("chain", F.array("old_name")).alias("chain"),
         )
-        derived = _met_types(items, sided, scope)
         # A type is never entered again from within itself.
-        derived = derived.filter(~F.array_contains("chain", F.col("old_name")))
-        following = materialize(winners(direct.unionByName(derived.select(*columns))), "mapping")
-        now = materialize(state(following), "states")
-        going = materialize(now.join(seen, [*scope, "state"], "left_anti").select(*scope), "going")
+        found = _met_types(items, inner, scope).filter(~F.array_contains("chain", F.col("old_name")))
+        candidates = materialize(still_met(candidates, mapping).unionByName(found), "candidates")
+        following = materialize(winners(candidates), "mapping")
+        place = [*key, "new_kind", "new_name", "pos"]
+        moved = following.join(mapping, place, "left_anti")
+        lost = mapping.join(following, key, "left_anti")
+        going = materialize(moved.select(*scope).unionByName(lost.select(*scope)).distinct(), "going")
         done = following.join(going, list(scope), "left_anti")
         settled = done if settled is None else settled.unionByName(done)
         if going.isEmpty():
             return settled.drop("chain")
-        seen = seen.unionByName(now)
-        mapping = following.join(going, list(scope), "left_semi")
-        direct = direct.join(going, list(scope), "left_semi")
+        frontier = moved
+        mapping, candidates = (df.join(going, list(scope), "left_semi") for df in (following, candidates))

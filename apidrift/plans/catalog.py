@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +21,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 PAIR = ["pair_id"]
 PACKAGE = ["rel_id", "pkg_path"]
-# Folders of breaking changes and of their report, by session and table folder.
-_stored: dict[tuple[str, str], tuple[str, str]] = {}
 
 
 class Bench:
@@ -84,38 +81,35 @@ class Bench:
 
     @cached_property
     def snapshot(self) -> Snapshot:
-        """The stand-in API per package."""
+        """The stand-in API per package, type trees included. Named types are objects of their package as well."""
         views = self.views
         named = views.api_types(PACKAGE)
         kinds = named.select(*PACKAGE, F.col("type_name").alias("owner"), F.col("underlying_kind").alias("recv_kind"))
         methods = views.api_methods(PACKAGE).join(kinds, [*PACKAGE, "owner"])
-        return Snapshot(views.release, views.package, views.api_object, named, views.api_fields(PACKAGE), methods)
-
-    def stored_snapshot(self, with_trees: bool = False, partitioned: bool = False) -> Snapshot:
+        type_objects = named.select(
+            *PACKAGE, F.col("type_name").alias("obj_name"), F.lit(True).alias("exported"), F.lit("type").alias("obj_kind"),
+            F.concat(F.lit("named|"), "underlying_kind").alias("type_kind"), F.col("type_name").alias("type_str"),
+            F.col("type_name").alias("corr_key"), F.lit("").alias("const_val"), F.lit(False).alias("const_known"), F.lit(False).alias("is_alias"),
+        )
+        objects = views.api_object.unionByName(type_objects)
+        return Snapshot(views.release, views.package, objects, named, views.api_fields(PACKAGE), methods, views.api_type_node)
+
+    def stored_snapshot(self, partitioned: bool = False) -> Snapshot:
         """The same, written as a snapshot and read back."""
         path = fresh_path(self.spark, "snapshot")
-        trees = self.views.api_type_node if with_trees else None
-        writers.write_api_snapshot(replace(self.snapshot, api_type_node=trees), path, partitioned)
-        return readers.read_api_snapshot(self.spark, path, with_trees)
+        writers.write_api_snapshot(self.snapshot, path, partitioned)
+        return readers.read_api_snapshot(self.spark, path)
 
     @cached_property
     def breaking(self) -> DataFrame:
-        """The breaking changes of these tables, stored once per session for the queries that start from them."""
-        key = (self.spark.sparkContext.applicationId, self.views.sf_dir)
-        if key not in _stored:
-            changes = pipelines.breaking_changes(self.snapshot)
-            path, report = fresh_path(self.spark, "breaking"), fresh_path(self.spark, "report")
-            changes.write.parquet(path)
-            stored = self.spark.read.schema(changes.schema).parquet(path)
-            writers.write_change_report(stored, report)
-            _stored[key] = path, report
-        return self.spark.read.parquet(_stored[key][0])
+        return pipelines.breaking_changes(self.snapshot)
 
     @cached_property
     def report(self) -> DataFrame:
-        """Their change report, read back."""
-        _ = self.breaking
-        return readers.read_change_report(self.spark, _stored[self.spark.sparkContext.applicationId, self.views.sf_dir][1])
+        """Their change report, stored and read back."""
+        path = fresh_path(self.spark, "report")
+        writers.write_change_report(self.breaking, path)
+        return readers.read_change_report(self.spark, path)
 
 
 def query(build: Callable[[Bench], DataFrame]) -> Callable[[Bench], DataFrame]:
@@ -230,7 +224,7 @@ def write_imports(b: Bench) -> DataFrame:
 @query
 def read_api_snapshot(b: Bench) -> DataFrame:
     """Every table of the snapshot, a row as its name and one fact."""
-    stored = b.stored_snapshot(with_trees=True)
+    stored = b.stored_snapshot()
     dotted = lambda *names: F.concat_ws(".", *names)
     facts = {
         "release": (F.lit(""), F.col("tag"), F.col("server_url")),
@@ -816,21 +810,20 @@ def embedded_names_correspond(b: Bench) -> DataFrame:
 @query
 def establish_correspondence(b: Bench) -> DataFrame:
     """Which named type becomes which, from function signatures and embedded fields."""
-    pair_nodes = b.nodes.drop("pkg_path").groupBy("pair_id", "side", "root", "part", "path").agg(
-        *[F.min(c).alias(c) for c in correspondence.NODE_COLUMNS]
-    )
-    fields = b.sided(b.views.api_field.filter("embedded")).select(
-        "pair_id", "side", F.col("owner").alias("root"), F.col("field_name").alias("part"),
+    scope = [*PAIR, "pkg_path"]
+    fields = b.sided(b.views.api_fields(PACKAGE).filter("embedded")).select(
+        *scope, "side", F.col("owner").alias("root"), F.col("field_name").alias("part"),
         F.array().cast("array<int>").alias("path"), F.lit("named").alias("node_kind"),
         F.col("embedded_owner").alias("label"), F.lit("").alias("named_pkg"), F.col("embedded"),
     )
-    nodes = materialize(pair_nodes.unionByName(fields, allowMissingColumns=True), "nodes")
-    roots = nodes.filter("root like 'Sym%'").select("pair_id", "side", F.col("root").alias("obj_name")).distinct()
-    objects = diff.align(roots, ["pair_id", "obj_name"], []).filter("in_old and in_new").select(
-        "pair_id", "obj_name", F.lit("func").alias("old_kind"), F.lit("func").alias("new_kind")
+    nodes = materialize(b.nodes.unionByName(fields, allowMissingColumns=True), "nodes")
+    roots = nodes.filter("root like 'Sym%'").select(*scope, "side", F.col("root").alias("obj_name")).distinct()
+    objects = diff.align(roots, [*scope, "obj_name"], []).filter("in_old and in_new").select(
+        *scope, "obj_name", F.lit("func").alias("old_kind"), F.lit("func").alias("new_kind")
     )
-    named = b.types.select("pair_id", F.col("owner").alias("obj_name"), F.lit("type").alias("old_kind"), F.lit("type").alias("new_kind"))
-    mapping = correspondence.establish_correspondence(materialize(objects.unionByName(named), "objects"), nodes, PAIR)
+    aligned = types.align_types(b.sided(b.views.api_types(PACKAGE)), scope)
+    named = aligned.select(*scope, F.col("owner").alias("obj_name"), F.lit("type").alias("old_kind"), F.lit("type").alias("new_kind"))
+    mapping = correspondence.establish_correspondence(materialize(objects.unionByName(named), "objects"), nodes, scope)
     return mapping.withColumn("pos", F.array_join("pos", "/"))
 
 

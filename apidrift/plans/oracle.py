@@ -134,6 +134,10 @@ block("v_api_method", _methods(""))
 block("v_pkg_type", _types("pkg"))
 block("v_pkg_field", _fields("pkg"))
 block("v_pkg_method", _methods("pkg"))
+# Named types are objects of their package as well.
+block("v_pkg_object", """
+select rel_id, pkg_path, obj_name, exported, obj_kind, type_kind, type_str, const_val, is_alias from v_api_object
+union all select rel_id, pkg_path, owner, true, 'type', concat('named|', underlying_kind), owner, '', false from v_pkg_type""")
 block("v_dependency", """
 select module as module_name, '1.19' as go_version, case when p % 29 = 0 then '' else tag end as tag, '' as tag_time,
  concat('github.com/c', p % 100, '/repo') as require_module_name, concat('v0.', s % 3, '.', ln % 3) as require_module_version, rf = 'R' as require_module_indirect
@@ -208,10 +212,11 @@ def rows(scope: Sequence[str], source: str, rules: Sequence[tuple[str, ...]]) ->
     return "\nunion all ".join(selects)
 
 
-def object_rules() -> list[tuple[str, ...]]:
+def object_rules(
+    differs: str = "old_type_str <> new_type_str", cause: str = "case when old_type_kind = 'basic' then 'basic ' else '' end", moved: str = "false"
+) -> list[tuple[str, ...]]:
     both = "in_old and in_new"
     typed = "(old_obj_kind = new_obj_kind and old_obj_kind in ('var', 'func') or old_obj_kind = 'func' and new_obj_kind = 'var')"
-    cause = "case when old_type_kind = 'basic' then 'basic ' else '' end"
     const = "old_obj_kind = 'const' and new_obj_kind = 'const'"
 
     def rule(condition, kind, changed, text, side, cause):
@@ -225,16 +230,20 @@ def object_rules() -> list[tuple[str, ...]]:
             "old_obj_kind", "'typeChanged'", "concat('changed from ', old_obj_kind, ' to ', new_obj_kind)", "false", "kind",
         ),
         rule(f"{both} and old_obj_kind = 'func' and new_obj_kind = 'var'", "old_obj_kind", "new_type_kind", "'changed from func to var'", "true", "kind"),
-        rule(f"{both} and {typed} and old_type_str <> new_type_str", "old_obj_kind", "old_type_kind", f"concat({cause}, 'changed from ', old_type_str, ' to ', new_type_str)", "false", "kind"),
+        rule(f"{both} and {typed} and {differs}", "old_obj_kind", "old_type_kind", f"concat({cause}, 'changed from ', old_type_str, ' to ', new_type_str)", "false", "kind"),
         rule(
-            f"{both} and old_obj_kind = 'type' and new_obj_kind = 'type' and (old_is_alias or new_is_alias) and old_type_str <> new_type_str",
+            f"{both} and old_obj_kind = 'type' and new_obj_kind = 'type' and (old_is_alias or new_is_alias) and {differs}",
             "old_obj_kind", "old_type_kind", f"concat({cause}, 'changed from ', old_type_str, ' to ', new_type_str)", "false", "kind",
         ),
-        rule(f"{both} and {const} and old_type_str <> new_type_str", "old_obj_kind", "old_type_kind", "concat('changed from ', old_type_str, ' to ', new_type_str)", "false", "kind"),
+        rule(f"{both} and {const} and {differs}", "old_obj_kind", "old_type_kind", "concat('changed from ', old_type_str, ' to ', new_type_str)", "false", "kind"),
         rule(
-            f"{both} and {const} and old_type_str = new_type_str and old_const_val <> new_const_val",
+            f"{both} and {const} and not {differs} and old_const_val <> new_const_val",
             "old_obj_kind", "old_type_kind", "concat('value changed from ', old_const_val, ' to ', new_const_val)", "false", "value",
         ),
+        rule(
+            f"{both} and old_obj_kind = 'type' and new_obj_kind = 'type' and not old_is_alias and not new_is_alias and {moved}",
+            "old_obj_kind", "old_type_kind", "concat('changed from ', obj_name, ' to ', obj_name)", "false", "kind",
+        ),
     ]
 
 
@@ -447,6 +456,64 @@ block("s_node", "select t.*, pair_id, side from v_type_node t join w_sides using
 block("s_package", "select t.*, pair_id, side from w_package t join w_sides using (rel_id)")
 rule_blocks("d", PAIR, "s_type", "s_field", "s_method")
 
+# --- which named type becomes which ------------------------------------------------------------------
+
+
+def mapping_blocks(prefix: str, scope: Sequence[str], roots: str, children: str, named: str, members: str | None) -> str:
+    """Blocks that map old named types to new ones; the name of the last one.
+
+    ``roots`` are objects with a signature on both sides, ``children`` the parameters of either side, ``named`` the
+    types of both sides (owner). ``members`` are the embedded fields that are entered round by round: with three
+    names in a package the third round is the last that can change anything.
+    """
+    on, p = ", ".join(scope), prefix
+    key = f"{on}, root, slot"
+    block(f"{p}_params", aligned(children, [*scope, "root", "slot"], ("s", "p")))
+    # Nothing is met in signatures of different counts, nor after the first parameter that differs in shape.
+    block(
+        f"{p}_shapes",
+        f"select {key}, old_s, new_s, old_p, new_p, not coalesce(old_p % 3 = 0, false) and not coalesce(new_p % 3 = 0, false) and old_s % 2 <> new_s % 2 "
+        f"or coalesce(old_p % 3 = 0, false) <> coalesce(new_p % 3 = 0, false) as bad, in_old and in_new as paired from {p}_params join (select {on}, root from {roots}) using ({on}, root)",
+    )
+    block(f"{p}_stops", f"select {on}, root, bool_and(paired) as even, min(case when bad then slot end) as stop from {p}_shapes group by {on}, root")
+    block(
+        f"{p}_direct",
+        f"select {on}, concat('Type', old_s % 3) as old_name, concat('Type', new_s % 3) as new_name, "
+        f"[root, '', '0000000000', lpad(cast(slot as varchar), 10, '0'), '0000000000'] as pos, cast([] as varchar[]) as chain "
+        f"from {p}_shapes join {p}_stops using ({on}, root) where even and old_p % 3 = 0 and new_p % 3 = 0 and (stop is null or slot < stop)\n"
+        f"union all select {on}, owner, owner, [owner], cast([] as varchar[]) from {named}",
+    )
+
+    def first(source: str) -> str:
+        return f"select * exclude (place) from (select *, row_number() over (partition by {on}, old_name order by pos, new_name) as place from {source}) w where place = 1"
+
+    last = f"{p}_round0"
+    block(last, first(f"{p}_direct"))
+    if members:
+        block(f"{p}_members", f"select {on}, side, owner, field_name, embedded_owner from {members} where embedded")
+        for step in range(1, 5):
+            inside = (
+                f"select {', '.join('m.' + c for c in scope)}, o.embedded_owner as old_name, n.embedded_owner as new_name, "
+                f"list_append(m.pos, o.field_name) as pos, list_append(m.chain, m.old_name) as chain from {last} m "
+                + " ".join(
+                    f"join {p}_members {a} on {a}.side = '{side}' and {a}.owner = m.{side}_name and " + " and ".join(f"{a}.{c} = m.{c}" for c in scope)
+                    for a, side in (("o", "old"), ("n", "new"))
+                )
+                + " and o.field_name = n.field_name where not list_contains(list_append(m.chain, m.old_name), o.embedded_owner)"
+            )
+            block(f"{p}_round{step}", first(f"(select * from {p}_direct union all {inside})"))
+            last = f"{p}_round{step}"
+    return last
+
+
+block("s_child", "select c.*, pair_id, side from v_child c join w_sides using (rel_id)")
+block("s_root", "select distinct pair_id, pkg_path, root, side from v_root join w_sides using (rel_id)")
+block("d_roots", aligned("s_root", [*OBJECT_SCOPE, "root"], (), "inner"))
+block("s_pkg_type", "select t.*, pair_id, side from v_pkg_type t join w_sides using (rel_id)")
+block("s_pkg_field", "select t.*, pair_id, side from v_pkg_field t join w_sides using (rel_id)")
+block("d_pkg_types", aligned("s_pkg_type", [*OBJECT_SCOPE, "owner"], ("underlying_kind",), "inner"))
+T9_MAPPING = mapping_blocks("m", OBJECT_SCOPE, "d_roots", "s_child", "d_pkg_types", "s_pkg_field")
+
 # --- the whole comparison, per package ---------------------------------------------------------------
 
 FULL = ("pair_id", "pkg_name")
@@ -479,11 +546,38 @@ PACKAGE_RULES = [
     ("not in_old", "''", "''", "''", "''", "''", "concat(pkg_name, ': packages new added')", "true", "'added'"),
 ]
 block("q_package_rows", rows(FULL, "q_packages", PACKAGE_RULES))
-for table, source in (("object", "v_api_object"), ("type", "v_pkg_type"), ("field", "v_pkg_field"), ("method", "v_pkg_method")):
+for table, source in (("object", "v_pkg_object"), ("child", "v_child")):
     extra = " where exported" if table == "object" else ""
     block(f"q_s_{table}", f"select t.* , pair_id, pkg_name, side from {source} t join q_package_sides using (rel_id, pkg_path){extra}")
-block("q_objects", aligned("q_s_object", [*FULL, "obj_name"], ("obj_kind", "type_kind", "type_str", "const_val", "is_alias")))
-block("q_object_rows", rows(FULL, "q_objects", object_rules()))
+block("q_plain_objects", aligned("q_s_object", [*FULL, "obj_name"], ("obj_kind", "type_kind", "type_str", "const_val", "is_alias")))
+# Every object has a signature; a type's is entered where its name is met first, at the same place.
+block("q_met_roots", """
+select pair_id, pkg_name, obj_name as root from q_plain_objects where in_old and in_new and starts_with(obj_name, 'Sym')
+ and (old_obj_kind = new_obj_kind or old_obj_kind = 'func' and new_obj_kind = 'var')""")
+block("q_shared_types", """
+select pair_id, pkg_name, obj_name as owner from q_plain_objects
+where in_old and in_new and old_obj_kind = 'type' and new_obj_kind = 'type' and not old_is_alias and not new_is_alias""")
+block("q_mapping", f"select * from {mapping_blocks('qm', FULL, 'q_met_roots', 'q_s_child', 'q_shared_types', None)}")
+# Rows of mapped types under the old name; a type that is met nowhere is not compared.
+block("q_names", """
+select pair_id, pkg_name, 'old' as side, old_name as owner, old_name from q_mapping union all select pair_id, pkg_name, 'new', new_name, old_name from q_mapping""")
+for table, source in (("type", "v_pkg_type"), ("field", "v_pkg_field"), ("method", "v_pkg_method")):
+    block(f"q_s_{table}", f"select t.* exclude (owner), old_name as owner, pair_id, pkg_name, side from {source} t join q_package_sides using (rel_id, pkg_path) join q_names using (pair_id, pkg_name, side, owner)")
+block("q_s_node", "select t.*, pair_id, pkg_name, side from v_type_node t join q_package_sides using (rel_id, pkg_path)")
+block("q_nodes", aligned("q_s_node", [*FULL, "root", "path"], ("node_kind", "label", "is_variadic")))
+block("q_trees", """
+select pair_id, pkg_name, root, bool_or(differs) as differs, concat_ws('|', case when bool_or(differs and starts_with(path, '0')) then 'params' end,
+ case when bool_or(differs and starts_with(path, '1')) then 'returns' end, case when bool_or(differs and path = '') then 'variadic' end) as cause
+from (select n.*, not coalesce(in_old and in_new and old_node_kind = new_node_kind and case old_node_kind
+ when 'basic' then old_label = new_label when 'named' then coalesce(new_name, old_label) = new_label when 'signature' then old_is_variadic = new_is_variadic else true end, false) as differs
+ from q_nodes n left join q_mapping m on m.pair_id = n.pair_id and m.pkg_name = n.pkg_name and m.old_name = n.old_label and n.old_node_kind = 'named') x
+group by pair_id, pkg_name, root having bool_or(path = '' and in_old and in_new)""")
+block("q_objects", """
+select o.*, coalesce(t.differs, old_type_str <> new_type_str) as differs, coalesce(t.cause, case when old_type_kind = 'basic' then 'basic' else '' end) as cause,
+ m.old_name is not null and m.new_name <> m.old_name as moved
+from q_plain_objects o left join q_trees t on t.pair_id = o.pair_id and t.pkg_name = o.pkg_name and t.root = o.obj_name
+left join q_mapping m on m.pair_id = o.pair_id and m.pkg_name = o.pkg_name and m.old_name = o.obj_name""")
+block("q_object_rows", rows(FULL, "q_objects", object_rules("differs", "case when cause = '' then '' else concat(cause, ' ') end", "moved")))
 rule_blocks("q", FULL, "q_s_type", "q_s_field", "q_s_method")
 block(
     "q_all_rows",
@@ -534,7 +628,7 @@ oracle("read_imports", f"select {CLONE_URL} as server_url, pkg_path, min(pkg_nam
 oracle("write_imports", f"select {server(CLONE_URL)} as server, {CLONE_URL} as server_url, pkg_path, min(pkg_name) as pkg_name, version from v_imports group by server_url, version, pkg_path")
 oracle("read_api_snapshot", """select 'release' as table_name, rel_id, '' as pkg_path, tag as name, server_url as fact from v_release
 union all select 'package', rel_id, pkg_path, pkg_name, cast(n_errors as varchar) from v_package
-union all select 'api_object', rel_id, pkg_path, obj_name, concat_ws('.', obj_kind, type_str, const_val) from v_api_object
+union all select 'api_object', rel_id, pkg_path, obj_name, concat_ws('.', obj_kind, type_str, const_val) from v_pkg_object
 union all select 'api_type', rel_id, pkg_path, owner, concat_ws('.', underlying_kind, underlying_str) from v_pkg_type
 union all select 'api_field', rel_id, pkg_path, concat_ws('.', owner, field_name), type_str from v_pkg_field
 union all select 'api_method', rel_id, pkg_path, concat_ws('.', owner, method_name), concat_ws('.', recv_kind, sig_str) from v_pkg_method
@@ -691,6 +785,7 @@ block("s_named_field", "select pair_id, side, owner as root, field_name as part,
 block("d_named_field", aligned("s_named_field", ("pair_id", "root", "part"), ("field_name", "embedded"), "inner"))
 oracle("embedded_names_correspond", """select pair_id, root, part, old_field_name, new_field_name, old_field_name = new_field_name
  or old_embedded and new_embedded and not regexp_matches(old_field_name, '^[A-Z]') and not regexp_matches(new_field_name, '^[A-Z]') as corresponds from d_named_field""")
+oracle("establish_correspondence", f"select pair_id, pkg_path, old_name, 'named' as new_kind, new_name, array_to_string(pos, '/') as pos from {T9_MAPPING}")
 oracle("unsupported_objects", "select rel_id, pkg_path, root, count(*) as n_unsupported from v_type_node where label = 't1' group by rel_id, pkg_path, root")
 
 BREAKING_REPORT = f"""select {server('server_url')} as server_name, server_url, old_tag, old_tag_time as olg_tag_time, new_tag, new_tag_time, old_pkg_name, new_pkg_name,
