@@ -40,21 +40,36 @@ def method_id(name: Column, package: Column) -> Column:
     return named_id(name, package)
 
 
+def align_trees(sided: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
+    """Nodes of both sides by position, whole trees in one place. Trees are as large as one type's text at most."""
+    tree = [*scope, "root", "part"]
+    return align(sided, [*tree, "path"], NODE_COLUMNS, near=tree)
+
+
+def with_differences(aligned: DataFrame, scope: Sequence[str] = SCOPE, type_corr: DataFrame | None = None) -> DataFrame:
+    """Aligned nodes with ``type_differs`` and the field facts that differ.
+
+    Only own named types of the old side can be mapped, so only they are joined with the mapping.
+    """
+    nodes = aligned.withColumns(
+        {f"{side}_corr_id": named_id(F.col(f"{side}_label"), F.col(f"{side}_named_pkg")) for side in ("old", "new")}
+    )
+    if type_corr is None:
+        return nodes.withColumns(_differences(False))
+    own = F.coalesce((F.col("old_node_kind") == "named") & (F.coalesce("old_named_pkg", F.lit("")) == ""), F.lit(False))
+    mapped = type_corr.select(*scope, F.col("old_name").alias("old_label"), F.struct("new_kind", "new_name").alias("old_maps_to"))
+    met = nodes.filter(own).join(mapped, [*scope, "old_label"], "left")
+    rest = nodes.filter(~own).withColumn("old_maps_to", F.lit(None).cast(mapped.schema["old_maps_to"].dataType))
+    return met.unionByName(rest).withColumns(_differences(True))
+
+
 def align_positions(sided: DataFrame, scope: Sequence[str] = SCOPE, type_corr: DataFrame | None = None) -> DataFrame:
     """Nodes of both sides by position, with ``type_differs`` and the field facts that differ.
 
     Channel directions below the top never differ; see the type rules for the top. ``type_corr`` maps own
     named types of the old side; without it they correspond by name.
     """
-    sided = sided.withColumn("corr_id", named_id(F.col("label"), F.col("named_pkg")))
-    if type_corr is not None:
-        mapped = type_corr.select(
-            *scope, F.lit("old").alias("side"), F.col("old_name").alias("label"), F.lit("").alias("named_pkg"),
-            F.struct("new_kind", "new_name").alias("maps_to"),
-        )
-        sided = sided.join(mapped, [*scope, "side", "label", "named_pkg"], "left")
-    nodes = align(sided, [*scope, "root", "part", "path"], [*NODE_COLUMNS, "corr_id", "maps_to"])
-    return nodes.withColumns(_differences("old_maps_to" in nodes.columns))
+    return with_differences(align_trees(sided, scope), scope, type_corr)
 
 
 def _differences(mapped: bool) -> dict[str, Column]:
@@ -94,12 +109,17 @@ def _differences(mapped: bool) -> dict[str, Column]:
 
 
 def compare_types(sided: DataFrame, scope: Sequence[str] = SCOPE, type_corr: DataFrame | None = None) -> DataFrame:
-    """Whether the types at each (root, part) of both sides correspond, and the printed cause when not.
+    """Whether the types at each (root, part) of both sides correspond, and the printed cause when not."""
+    return compare_trees(align_positions(sided, scope, type_corr), scope)
+
+
+def compare_trees(nodes: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
+    """Outcome of every tree that both sides have, from aligned nodes with their differences.
 
     Two aggregations over aligned nodes: per child of the top node, then per tree. No tree is gathered.
     """
-    nodes = align_positions(sided, scope, type_corr)
     tree = [*scope, "root", "part"]
+    nodes = nodes.repartition(*tree)
     depth = F.size("path")
     slot = F.when(depth > 0, F.get("path", 0)).otherwise(-1)
     second = F.when(depth > 1, F.get("path", 1))
@@ -246,19 +266,23 @@ def _ancestors(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.withColumns({"prefix": F.slice("path", F.lit(1), F.col("level")), "step": F.get("path", F.col("level"))})
 
 
-def _met_types(items: DataFrame, sided: DataFrame, scope: Sequence[str]) -> DataFrame:
+def _met_types(items: DataFrame, sided: DataFrame, aligned: DataFrame, scope: Sequence[str]) -> DataFrame:
     """Named types that a comparison of ``items`` (old_root, new_root, pos, chain) meets, with their place.
 
-    Below a pair of different kinds or counts nothing is met, nor after the first child that differs in
-    shape among the members of a tuple, struct or interface.
+    ``aligned`` are the trees ``sided`` by name, so only items under a new name are aligned here. Below a pair of
+    different kinds or counts nothing is met, nor after the first child that differs in shape among the members of a
+    tuple, struct or interface.
     """
     keys = [*scope, "old_root", "part"]
     place = ["pos", "chain"]
-    facts = ["node_kind", "label", "named_pkg", "array_len", "variadic", "embedded", "struct_tag"]
-    old = items.select(*scope, F.lit("old").alias("side"), "old_root", F.col("old_root").alias("root"))
-    new = items.select(*scope, F.lit("new").alias("side"), "old_root", F.col("new_root").alias("root"))
+    renamed = items.filter("old_root != new_root")
+    old = renamed.select(*scope, F.lit("old").alias("side"), "old_root", F.col("old_root").alias("root"))
+    new = renamed.select(*scope, F.lit("new").alias("side"), "old_root", F.col("new_root").alias("root"))
     walked = sided.join(old.unionByName(new), [*scope, "side", "root"])
-    nodes = align(walked, [*keys, "path"], facts)
+    under_new = align(walked, [*keys, "path"], NODE_COLUMNS)
+    same = items.filter("old_root = new_root").select(*scope, F.col("old_root").alias("root"))
+    by_name = aligned.join(same, [*scope, "root"], "left_semi").withColumnRenamed("root", "old_root")
+    nodes = by_name.unionByName(under_new)
 
     paired = F.col("in_old") & F.col("in_new")
     old_kind, new_kind = F.col("old_node_kind"), F.col("new_node_kind")
@@ -277,22 +301,29 @@ def _met_types(items: DataFrame, sided: DataFrame, scope: Sequence[str]) -> Data
         ~F.col("old_embedded").eqNullSafe(F.col("new_embedded"))
         | (F.coalesce("old_struct_tag", F.lit("")) != F.coalesce("new_struct_tag", F.lit("")))
     )
-    nodes = nodes.withColumn("bad", ~shape | facts_differ)
+    own = F.coalesce(F.col("old_named_pkg"), F.lit("")) == ""
+    new_own = (new_kind == "basic") | (F.coalesce(F.col("new_named_pkg"), F.lit("")) == "")
+    # Read four times below: what is bad, what counts its members, and what is met.
+    nodes = materialize(
+        nodes.select(
+            *keys, "path", (~shape | facts_differ).alias("bad"), paired.alias("paired"), (paired & (old_kind != new_kind)).alias("other_kind"),
+            old_kind.isin(*COUNTED_KINDS).alias("counted"), F.coalesce(paired & named_pair & own & new_own, F.lit(False)).alias("met"),
+            F.col("old_label").alias("old_name"), new_kind.alias("new_kind"), F.col("new_label").alias("new_name"),
+        ),
+        "walked",
+    )
+    met = nodes.filter("met").select(*keys, "path", "old_name", "new_kind", "new_name")
+    # Trees that meet no type need no look at what is bad in them.
+    trees = met.select(*keys).distinct()
     here = [*keys, "prefix"]
     # A missing partner means that the counts of the parent differ: nothing below the parent is met.
     # A node of another kind stops the walk below it; a bad member stops its later siblings.
-    bad = nodes.filter("bad")
-    uneven = bad.filter(~paired & (F.size("path") > 0)).select(*keys, F.slice("path", F.lit(1), F.size("path") - 1).alias("prefix"), F.lit(0).alias("stop"))
-    other_kind = bad.filter(paired & (old_kind != new_kind)).select(*keys, F.col("path").alias("prefix"), F.lit(0).alias("stop"))
-    counted = nodes.filter(old_kind.isin(*COUNTED_KINDS)).select(*keys, F.col("path").alias("prefix"))
-    later = _ancestors(bad, keys).select(*here, (F.col("step") + 1).alias("stop")).join(counted, here, "left_semi")
+    bad = nodes.filter("bad").join(trees, keys, "left_semi").select(*keys, "path", "paired", "other_kind")
+    uneven = bad.filter(~F.col("paired") & (F.size("path") > 0)).select(*keys, F.slice("path", F.lit(1), F.size("path") - 1).alias("prefix"), F.lit(0).alias("stop"))
+    other_kind = bad.filter("other_kind").select(*keys, F.col("path").alias("prefix"), F.lit(0).alias("stop"))
+    counted = nodes.filter("counted").select(*keys, F.col("path").alias("prefix"))
+    later = _ancestors(bad.drop("paired", "other_kind"), keys).select(*here, (F.col("step") + 1).alias("stop")).join(counted, here, "left_semi")
     stops = uneven.unionByName(other_kind).unionByName(later).groupBy(*here).agg(F.min("stop").alias("stop"))
-
-    own = F.coalesce(F.col("old_named_pkg"), F.lit("")) == ""
-    new_own = (new_kind == "basic") | (F.coalesce(F.col("new_named_pkg"), F.lit("")) == "")
-    met = nodes.filter(paired & named_pair & own & new_own).select(
-        *keys, "path", F.col("old_label").alias("old_name"), new_kind.alias("new_kind"), F.col("new_label").alias("new_name")
-    )
     blocked = (
         _ancestors(met, keys).join(stops, here).filter(F.col("step") >= F.col("stop")).select(*keys, "path").distinct()
     )
@@ -307,7 +338,7 @@ def _met_types(items: DataFrame, sided: DataFrame, scope: Sequence[str]) -> Data
 
 
 def establish_correspondence(
-    objects: DataFrame, sided: DataFrame, scope: Sequence[str] = SCOPE
+    objects: DataFrame, sided: DataFrame, scope: Sequence[str] = SCOPE, aligned: DataFrame | None = None
 ) -> DataFrame:
     """Map old named types to new ones: the first pair met wins, even under a new name.
 
@@ -316,10 +347,11 @@ def establish_correspondence(
     the one at the smallest place holds.
 
     Only types whose pair is new or has moved since the last round are entered (the frontier): their members give
-    further candidates. A candidate that was met inside a pair which lost its place meanwhile is taken back. A place
+    further candidates. ``aligned`` are the trees of both sides by name, where the caller has them. A candidate that was met inside a pair which lost its place meanwhile is taken back. A place
     inside a type comes after the place of the type itself, so places settle from the smallest on and the rounds end;
     there are about as many as levels of types within types. Packages without a frontier are done and left out.
     """
+    aligned = materialize(align_trees(sided, scope), "aligned") if aligned is None else aligned
     key = [*scope, "old_name"]
     pair = ["new_kind", "new_name", "pos", "chain"]
     empty = F.array().cast("array<string>")
@@ -335,11 +367,8 @@ def establish_correspondence(
         *scope, F.col("obj_name").alias("old_root"), F.col("obj_name").alias("new_root"),
         F.array("obj_name").alias("pos"), empty.alias("chain"),
     )
-    met = _met_types(others, sided, scope).withColumn("parent_pos", nowhere)
+    met = _met_types(others, sided, aligned, scope).withColumn("parent_pos", nowhere)
     candidates = materialize(types.unionByName(met), "candidates")
-    # Types are entered by name; the trees of constants, variables and functions are done with.
-    untyped = objects.filter(F.col("old_kind").isin("const", "var", "func") & (same | func_to_var)).select(*scope, F.col("obj_name").alias("root"))
-    inner = materialize(sided.join(untyped, [*scope, "root"], "left_anti"), "inner-nodes")
 
     def winners(rows: DataFrame) -> DataFrame:
         best = F.min(F.struct("pos", "new_kind", "new_name", "chain")).alias("w")
@@ -361,7 +390,7 @@ def establish_correspondence(
             F.concat("chain", F.array("old_name")).alias("chain"),
         )
         # A type is never entered again from within itself.
-        found = _met_types(items, inner, scope).filter(~F.array_contains("chain", F.col("old_name")))
+        found = _met_types(items, sided, aligned, scope).filter(~F.array_contains("chain", F.col("old_name")))
         candidates = materialize(still_met(candidates, mapping).unionByName(found), "candidates")
         following = materialize(winners(candidates), "mapping")
         place = [*key, "new_kind", "new_name", "pos"]

@@ -18,17 +18,19 @@ def both_sides(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.withColumn("side", F.lit("old")).unionByName(new.withColumn("side", F.lit("new")), allowMissingColumns=True)
 
 
-def align(sided: DataFrame, on: Sequence[str], columns: Sequence[str], matched: bool = False) -> DataFrame:
+def align(
+    sided: DataFrame, on: Sequence[str], columns: Sequence[str], matched: bool = False, near: Sequence[str] | None = None
+) -> DataFrame:
     """Rows of both sides next to each other: ``old_*``, ``new_*`` and the flags ``in_old``, ``in_new``.
 
     A row is unique per side and key, so one grouping does the work of a full outer join: the table is
     read and shuffled once, and no key can collect more than two rows. For the same reason combining before
     the shuffle has nothing to combine; shuffling first leaves one sort instead of two. ``matched`` keeps
-    pairs only.
+    pairs only. ``near``, some of the keys, names what later groupings need in one place, to spare their shuffles.
     """
     columns = [c for c in columns if c in sided.columns]
     facts = F.struct(F.lit(True).alias("_present"), *columns)
-    grouped = sided.repartition(*on).groupBy(*on).agg(
+    grouped = sided.repartition(*(near or on)).groupBy(*on).agg(
         F.max(F.when(F.col("side") == "old", facts)).alias("_old"),
         F.max(F.when(F.col("side") == "new", facts)).alias("_new"),
     )

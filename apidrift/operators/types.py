@@ -67,6 +67,12 @@ def under_old_names(sided: DataFrame, type_corr: DataFrame, scope: Sequence[str]
     return sided.join(names, [*scope, "side", column]).drop(column).withColumnRenamed("old_name", column)
 
 
+def moved_names(type_corr: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Both names of every type that is mapped to something else than the type of its name."""
+    moved = type_corr.filter("new_kind != 'named' or new_name != old_name")
+    return moved.select(*scope, F.explode(F.array("old_name", "new_name")).alias("root")).distinct()
+
+
 def roots_under_old_names(nodes: DataFrame, type_corr: DataFrame, scope: Sequence[str]) -> DataFrame:
     """Type trees with those of the new side's mapped types under the old names.
 

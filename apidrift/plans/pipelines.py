@@ -95,6 +95,7 @@ def api_changes(
     methods = comparison.scoped(snapshot.api_method)
     nodes = None if snapshot.api_type_node is None else materialize(comparison.scoped(snapshot.api_type_node), "nodes")
     rename_map = None
+    aligned_nodes = None if nodes is None else materialize(correspondence.align_trees(nodes), "aligned-nodes")
     if renames:
         shared = diff.diff_objects(objects).filter("in_old and in_new")
         # An alias is met like a variable of the type behind it.
@@ -103,15 +104,19 @@ def api_changes(
             alias = F.coalesce("old_is_alias", F.lit(False)) | F.coalesce("new_is_alias", F.lit(False))
             kinds = {side: F.when((kind == "type") & alias, "alias").otherwise(kind) for side, kind in kinds.items()}
         names = shared.select(*SCOPE, "obj_name", *[kind.alias(f"{side}_kind") for side, kind in kinds.items()])
-        rename_map = correspondence.establish_correspondence(names, nodes)
+        rename_map = materialize(correspondence.establish_correspondence(names, nodes, SCOPE, aligned_nodes), "rename-map")
         named = types.under_old_names(types.with_basic_targets(named, rename_map), rename_map, SCOPE, "type_name")
         methods = types.under_old_names(methods, rename_map, SCOPE)
         fields = types.under_old_names(fields, rename_map, SCOPE)
-        nodes = materialize(types.roots_under_old_names(nodes, rename_map, SCOPE), "nodes")
+        # Only trees under a name that moved are aligned anew.
+        moved = types.moved_names(rename_map, SCOPE)
+        afresh = types.roots_under_old_names(nodes.join(moved, [*SCOPE, "root"], "left_semi"), rename_map, SCOPE)
+        stays = aligned_nodes.join(moved, [*SCOPE, "root"], "left_anti")
+        aligned_nodes = stays.unionByName(correspondence.align_trees(afresh))
     else:
         named = named.filter(is_exported(F.col("type_name")))
     if nodes is not None:
-        outcome = materialize(correspondence.compare_types(nodes, SCOPE, rename_map), "outcome")
+        outcome = materialize(correspondence.compare_trees(correspondence.with_differences(aligned_nodes, SCOPE, rename_map)), "outcome")
         objects = diff.with_comparison(objects, outcome, SCOPE, "obj_name")
         named = diff.with_comparison(named, outcome, SCOPE, "type_name")
         fields = diff.with_comparison(fields, outcome, SCOPE, "owner", "field_name")
