@@ -13,6 +13,7 @@ from apidrift.operators import correspondence, diff, filters, graph, messages, r
 from apidrift.plans import pipelines
 from apidrift.session import fresh_path, materialize
 from apidrift.sources import readers, writers
+from apidrift.sources.batches import BatchStore
 from apidrift.sources.readers import Snapshot
 from apidrift.sources.standin import StandIn
 from apidrift.streaming import client_watch, release_stream
@@ -178,9 +179,16 @@ def read_change_report(b: Bench) -> DataFrame:
 
 @query
 def write_change_report(b: Bench) -> DataFrame:
+    """Two batches, one of them written again."""
     path = fresh_path(b.spark, "change-report")
-    writers.write_change_report(filters.reportable(b.object_changes), path)
-    return b.spark.read.option("header", True).csv(path).select(*readers.CHANGE_REPORT_COLUMNS)
+    changes = filters.reportable(b.object_changes)
+    for batch in (0, 1, 1):
+        writers.write_change_report(changes.filter(F.col("pair_id") % 2 == batch), path, batch)
+    return _stored_csv(b, path).select(*readers.CHANGE_REPORT_COLUMNS)
+
+
+def _stored_csv(b: Bench, path: str) -> DataFrame:
+    return b.spark.read.option("header", True).option("escape", '"').csv(BatchStore(b.spark, path).paths()).drop("bucket").fillna("")
 
 
 def _cloned(df: DataFrame) -> DataFrame:
@@ -191,13 +199,13 @@ def _cloned(df: DataFrame) -> DataFrame:
 def _written_usage(b: Bench) -> str:
     path = fresh_path(b.spark, "usage")
     report = usage.to_identifier_report(filters.drop_null_objects(_cloned(b.views.identifier)))
-    writers.write_identifier_usage(report, path, by_version=False)
+    writers.write_identifier_usage(report, path, "all")
     return f"{path}/pkgInfo"
 
 
 def _written_imports(b: Bench) -> str:
     path = fresh_path(b.spark, "imports")
-    writers.write_imports(_cloned(usage.distinct_imports(_imports(b))), path, by_version=False)
+    writers.write_imports(_cloned(usage.distinct_imports(_imports(b))), path, "all")
     return f"{path}/importPkg"
 
 
@@ -208,7 +216,7 @@ def read_identifier_usage(b: Bench) -> DataFrame:
 
 @query
 def write_identifier_usage(b: Bench) -> DataFrame:
-    return b.spark.read.option("header", True).option("escape", '"').csv(_written_usage(b)).fillna("")
+    return _stored_csv(b, _written_usage(b))
 
 
 @query
@@ -218,7 +226,7 @@ def read_imports(b: Bench) -> DataFrame:
 
 @query
 def write_imports(b: Bench) -> DataFrame:
-    return b.spark.read.option("header", True).option("escape", '"').csv(_written_imports(b)).fillna("")
+    return _stored_csv(b, _written_imports(b))
 
 
 @query
@@ -250,6 +258,16 @@ def upsert_module_graph(b: Bench) -> DataFrame:
     return _graph_rows(nodes, edges)
 
 
+@query
+def append_module_graph(b: Bench) -> DataFrame:
+    """The same graph as batches of new keys, the last one written again."""
+    path = fresh_path(b.spark, "graph")
+    writers.append_module_graph(b.views.dependency.filter(~F.col("require_module_indirect")), path, 0)
+    for _ in range(2):
+        writers.append_module_graph(b.views.dependency, path, 1)
+    return _graph_rows(*readers.read_module_graph(b.spark, path))
+
+
 def _graph_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     blank = F.lit("")
     flat_nodes = nodes.select(F.lit("node").alias("kind"), F.col("name").alias("from_name"), F.col("version").alias("from_version"), blank.alias("to_name"), blank.alias("to_version"), blank.alias("indirect"))
@@ -894,14 +912,14 @@ def stream_release_diff(b: Bench) -> DataFrame:
         arriving = b.spark.readStream.schema(b.views.release.schema).parquet(source)
         writer = release_stream.stream_release_diff(arriving, snapshot, out, marks)
         writer.trigger(availableNow=True).start().awaitTermination()
-    return writers.to_change_report(release_stream.read_stream_changes(b.spark, out, snapshot))
+    return writers.to_change_report(release_stream.read_stream_changes(b.spark, out))
 
 
 @query
 def watch_clients(b: Bench) -> DataFrame:
     source, out, marks = (fresh_path(b.spark, name) for name in ("arriving", "watched", "marks"))
     b.views.dependency.write.parquet(source)
-    changes = materialize(filters.reportable(b.object_changes), "changes")
+    changes = materialize(b.breaking, "changes")
     arriving = b.spark.readStream.schema(b.views.dependency.schema).parquet(source)
     client_watch.watch_clients(arriving, changes, out, marks).trigger(availableNow=True).start().awaitTermination()
     return b.spark.read.parquet(out)

@@ -638,6 +638,7 @@ select 'node' as kind, module_name as from_name, tag as from_version, '' as to_n
 union select 'node', require_module_name, require_module_version, '', '', '' from v_dependency where tag <> ''
 union select 'edge', module_name, tag, require_module_name, require_module_version, cast(require_module_indirect as varchar) from v_dependency where tag <> ''"""
 oracle("upsert_module_graph", GRAPH)
+oracle("append_module_graph", GRAPH)
 oracle("dependency_graph", GRAPH)
 
 oracle("repo_url", "select c_custkey, concat('https://github.com/c', c_custkey, '/repo.git') as url from customer")
@@ -802,7 +803,7 @@ join q_forward f on f.module = e.to_name and f.old_tag = e.to_version and concat
 oracle("minor_patch_breaks", f"select {DETAILS} from q_forward")
 oracle("stream_release_diff", BREAKING_REPORT)
 oracle("watch_clients", """select d.module_name as client, d.tag as client_version, f.module as library, f.old_tag, f.new_tag, f.n_changes
-from v_dependency d join (select module, old_tag, new_tag, count(*) as n_changes from d_forward group by module, old_tag, new_tag) f
+from v_dependency d join (select module, old_tag, new_tag, count(*) as n_changes from q_forward group by module, old_tag, new_tag) f
 on f.module = d.require_module_name and f.old_tag = d.require_module_version where d.tag <> '' and not d.require_module_indirect""")
 oracle("client_imports", """select server_url, version, pkg_path, min(pkg_name) as pkg_name from v_imports i where exists (
  select 1 from v_loaded_client c where c.url = i.server_url and c.version = i.version) group by server_url, version, pkg_path""")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from apidrift.functions.text import repo_url
+from apidrift.sources.batches import BatchStore
 
 # Field names and headings by which files are interchanged.
 REPO_TASKS = T.StructType().add("total_count", "long").add(
@@ -103,7 +104,15 @@ def _read_csv(spark: SparkSession, path: str | list[str], columns: tuple[str, ..
     to, so files are split. ``multi_line`` is for files of other writers whose values span lines; such a file is read
     by one task.
     """
-    rows = spark.read.options(header=True, quote='"', escape='"', multiLine=multi_line).csv(path)
+    reader = spark.read.options(header=True, quote='"', escape='"', multiLine=multi_line)
+    if isinstance(path, str) and (store := BatchStore(spark, path)).exists():
+        paths = store.paths()
+        if not paths:
+            nothing = T.StructType([T.StructField(c, T.StringType()) for c in (*columns, "file_path")])
+            return spark.createDataFrame([], nothing)
+        rows = reader.option("basePath", f"{store.path}/rows").csv(paths)
+    else:
+        rows = reader.csv(path)
     names = [*columns, *(["version"] if "version" in rows.columns and "version" not in columns else [])]
     return rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in names], "_metadata.file_path")
 
@@ -177,6 +186,13 @@ def cut_to_releases(snapshot: Snapshot, wanted: DataFrame) -> Snapshot:
     return replace(snapshot, **{name: t.filter(F.col("rel_part").isin(parts)) for name, t in tables.items() if t is not None})
 
 
+def read_module_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of all batches of a module graph."""
+    nodes = "name string, version string"
+    edges = "from_name string, from_version string, to_name string, to_version string, indirect boolean"
+    return BatchStore(spark, f"{path}/nodes").read(nodes), BatchStore(spark, f"{path}/edges").read(edges)
+
+
 def key_by_release(table: DataFrame, releases: DataFrame) -> DataFrame:
     """Give a feed keyed by (module, tag) the release number the snapshot uses."""
     return table.join(releases.select("rel_id", "module", "tag"), ["module", "tag"]).drop("tag")

@@ -9,6 +9,7 @@ import __spark_entry__ as contract
 from apidrift.operators import filters
 from apidrift.plans import pipelines
 from apidrift.plans.catalog import Bench
+from apidrift.sources.batches import BatchStore
 from apidrift.sources.readers import Snapshot
 from apidrift.streaming import release_stream
 
@@ -20,12 +21,12 @@ needs_tables = pytest.mark.skipif(not TABLES.exists(), reason="test tables are n
 def test_every_query_has_its_sql():
     without = set(contract.queries()) - set(contract.oracle_sql())
     optional = {name for name in without if name == "pipeline" or name.startswith("op")}
-    assert without - optional == {"establish_correspondence"}
+    assert without - optional == set()
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
 @needs_tables
-@pytest.mark.parametrize("name", ["adjacent_kept_releases", "check_objects", "check_method_sets", "compare_types", "client_usage", "dependency_graph", "breaking_changes"])
+@pytest.mark.parametrize("name", ["adjacent_kept_releases", "check_objects", "check_method_sets", "compare_types", "establish_correspondence", "client_usage", "dependency_graph", "breaking_changes"])
 def test_query_matches_sql(spark, name):
     engine = duckdb.connect()
     for table in NAMES:
@@ -100,20 +101,34 @@ def test_usage_of_deleted_packages_and_methods(spark, rows):
 
 
 def test_stream_late_and_repeated_batches(spark, rows, tmp_path):
+    """A late release replaces what its module's batches wrote; a repeated batch changes nothing."""
     releases = [(1, "v1.0.0", ["A", "B"]), (2, "v1.1.0", ["A"]), (3, "v1.0.5", ["A", "B"]), (4, "v1.2.0", [])]
     snapshot = tiny_snapshot(spark, releases)
     out = str(tmp_path / "out")
     waves = [(0, [1, 2]), (1, [3]), (2, [4])]
-    for batch_id, ids in [*waves, waves[2]]:
+    found = lambda: rows(release_stream.read_stream_changes(spark, out), "old_tag", "new_tag", "change_node")
+    expected = [[("v1.0.0", "v1.1.0", "B")], [("v1.0.5", "v1.1.0", "B")], [("v1.0.5", "v1.1.0", "B"), ("v1.1.0", "v1.2.0", "A")]]
+    for (batch_id, ids), want in zip([*waves, waves[2]], [*expected, expected[2]]):
         release_stream.diff_batch(snapshot.release.filter(snapshot.release.rel_id.isin(ids)), batch_id, snapshot, out)
-    found = rows(release_stream.read_stream_changes(spark, out), "old_tag", "new_tag", "change_node")
-    assert found == [("v1.0.0", "v1.1.0", "B"), ("v1.1.0", "v1.2.0", "A")]
-    assert rows(spark.read.parquet(f"{out}/late"), "rel_id") == [(3,)]
-    again = rows(release_stream.rediff_late(spark, out, snapshot), "old_tag", "new_tag", "change_node")
-    assert again == [("v1.0.5", "v1.1.0", "B"), ("v1.1.0", "v1.2.0", "A")]
+        assert found() == want
+    assert rows(release_stream.late_releases(spark, out), "rel_id") == [(3,)]
     assert rows(pipelines.breaking_changes(snapshot, filters.WHITE_LIST), "old_tag", "change_node") == [("v1.0.5", "B"), ("v1.1.0", "A")]
 
 
+def test_stream_state_is_folded(spark, rows, tmp_path):
+    """Twenty batches: however many have gone before, one generation and at most eight more are read."""
+    path, listed = str(tmp_path / "state"), []
+    store = BatchStore(spark, path)
+    for batch in range(20):
+        known = release_stream.newest_known(spark, path, batch)
+        assert rows(known, "module", "rel_id") == [(f"m{m}", max(b for b in range(batch) if b % 3 == m)) for m in range(3) if m < batch]
+        listed.append(len(store.paths()))
+        row = [(batch, f"m{batch % 3}", "u", f"v1.{batch}.0", "t", 1, 1, ["v", f"{batch:05d}"])]
+        for _ in range(2):
+            store.write(spark.createDataFrame(row, release_stream.STATE), batch)
+    assert max(listed) <= release_stream.UNFOLDED + 1 and len(list((tmp_path / "state" / "rows").iterdir())) <= 2 * release_stream.UNFOLDED + 8
+
+
 @needs_tables
 def test_input_order_does_not_matter(spark, rows):
     bench = Bench(spark, str(TABLES))

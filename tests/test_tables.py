@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from apidrift.operators import filters, graph, record, releases, usage
 from pyspark.sql import Window
 from apidrift.operators.ordered import running
-from apidrift.sources import readers, writers
+from apidrift.sources import batches, readers, writers
+from apidrift.sources.batches import BatchStore
 
 
 def write(path, content):
@@ -74,10 +75,32 @@ def test_change_report_round_trip(spark, rows, tmp_path):
     writers.write_change_report(df.filter("false"), path)
     back = readers.read_change_report(spark, path)
     assert rows(back, "change_node", "changeMessage", "olg_tag_time") == [("F", 'changed from func("a,b") to func()', "t0"), ("G", r"line\nbreak", "t0")]
-    full = spark.read.option("header", True).option("escape", '"').csv(path)
+    full = spark.read.option("header", True).option("escape", '"').csv(f"{path}/rows")
     assert tuple(full.columns[:14]) == readers.CHANGE_REPORT_COLUMNS
-    writers.write_change_report(df, path)
+    for _ in range(3):
+        writers.write_change_report(df, path, "again")
     assert readers.read_change_report(spark, path).count() == 4
+    exported = str(tmp_path / "exported")
+    writers.export_change_report(df, exported)
+    assert rows(readers.read_change_report(spark, exported), "change_node") == [("F",), ("G",)]
+
+
+def test_batch_store(spark, tmp_path):
+    store = BatchStore(spark, str(tmp_path / "store"))
+    some = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id int")
+    read = lambda batches=None: sorted(r.id for r in store.read("id int", batches).collect())
+    assert not store.exists() and read() == []
+    for ids, batch in (((1, 2), 0), ((3,), 1), ((), 2), ((4,), 1), ((5,), 3)):
+        store.write(some(*ids), batch)
+    assert read() == [1, 2, 4, 5] and read([1, 2, 9]) == [4]
+    store.write(some(*read()), "all", replaces=store.batches())
+    store.vacuum()
+    assert read() == [1, 2, 4, 5] and list(store.batches()) == ["all"] and len(store.paths()) == 1
+    keyed = BatchStore(spark, str(tmp_path / "keyed"), "csv", header=True)
+    keyed.write(spark.range(5000).select(F.concat(F.lit("server"), F.col("id").cast("string")).alias("s")), 0, "s")
+    keyed.write(spark.createDataFrame([], "s string"), 1, "s")
+    assert len(list((tmp_path / "keyed" / "rows").glob("*/bucket=*"))) == batches.BUCKETS and keyed.batches()["1"] == ""
+    assert spark.read.option("header", True).csv(keyed.paths()).count() == 5000
 
 
 def usage_rows(spark):
@@ -85,10 +108,10 @@ def usage_rows(spark):
     return spark.createDataFrame(data, "server_url string, version string, var_type string, id_pos string, obj_name string, obj_pkg string, obj_string string, obj_exported boolean")
 
 
-@pytest.mark.parametrize("by_version", [True, False])
-def test_usage_round_trip(spark, rows, tmp_path, by_version):
+@pytest.mark.parametrize("write_usage", [writers.export_identifier_usage, writers.write_identifier_usage])
+def test_usage_round_trip(spark, rows, tmp_path, write_usage):
     report = usage.to_identifier_report(usage_rows(spark))
-    writers.write_identifier_usage(report, str(tmp_path), by_version)
+    write_usage(report, str(tmp_path))
     back = readers.read_identifier_usage(spark, str(tmp_path / "pkgInfo"))
     assert rows(back, "version", "id_pos", "obj_exported", "obj_pkg") == sorted([("v1+incompatible", "a.go:1:1", "true", 'package n ("o/r/n")'), ("rel/v2", "b.go:2:1", "false", "")])
 
