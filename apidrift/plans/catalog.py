@@ -188,7 +188,8 @@ def write_change_report(b: Bench) -> DataFrame:
 
 
 def _stored_csv(b: Bench, path: str) -> DataFrame:
-    return b.spark.read.option("header", True).option("escape", '"').csv(BatchStore(b.spark, path).paths()).drop("bucket").fillna("")
+    reader = b.spark.read.option("header", True).option("escape", '"').option("basePath", f"{path}/rows")
+    return reader.csv(BatchStore(b.spark, path).paths()).drop("attempt", "bucket").fillna("")
 
 
 def _cloned(df: DataFrame) -> DataFrame:

@@ -121,7 +121,7 @@ def _methods(extra: str) -> str:
     keys = "rel_id" + (", pkg_path" if extra else "")
     types = "v_pkg_type" if extra else "v_api_type"
     return f"""
-select m.*, t.underlying_kind as recv_kind, method_name like 'M%' as exported from (
+select m.*, t.underlying_kind as recv_kind, owner as recv_named, method_name like 'M%' as exported from (
 select {keys}, concat('Type', s % 3) as owner, concat(case when q >= 45 then 'm' else 'M' end, p % 5) as method_name,
  min(ln) % 2 = 0 as ptr_receiver, concat('func(T', min(ln) % 3, ')') as sig_str
 from v_line group by {keys}, concat('Type', s % 3), concat(case when q >= 45 then 'm' else 'M' end, p % 5)) m
@@ -296,12 +296,12 @@ def field_rules(depths: bool) -> list[tuple[str, ...]]:
     return out
 
 
-METHOD_COLUMNS = ("ptr_receiver", "recv_kind", "sig_str")
+METHOD_COLUMNS = ("ptr_receiver", "recv_kind", "recv_named", "sig_str")
 
 
 def method_rules(value_set: bool, added: str = "true") -> list[tuple[str, ...]]:
     def node(side: str) -> str:
-        return f"case when {side}_ptr_receiver then concat('(*', owner, ').', method_name) else concat(owner, '.', method_name) end"
+        return f"case when {side}_ptr_receiver then concat('(*', {side}_recv_named, ').', method_name) else concat({side}_recv_named, '.', method_name) end"
 
     def rule(condition, side, text, compatible, cause):
         part = f"concat(', ', {side}_recv_kind, ' method')"
