@@ -49,27 +49,31 @@ class WordEncoder:
 
     def forget(self) -> None:
         self.known = pa.array([], pa.large_string())
+        #: Place of each known word; kept from slice to slice, as hashing all known words anew costs more than a slice.
+        self.place: dict[str, int] = {}
         self.pool = np.zeros(0, np.uint32)
         self.lengths = np.zeros(0, np.int32)
         self.starts = np.zeros(0, np.int32)
 
     def places(self, words: pa.Array) -> np.ndarray:
         """Place of each of these distinct words among the known ones, which grow by the new ones."""
-        found = pc.index_in(words, value_set=self.known)
-        new = words.filter(found.is_null())
-        if not len(new):
-            return found.to_numpy(zero_copy_only=False)
+        spelled = words.to_pylist()
+        found = np.fromiter((self.place.get(w, -1) for w in spelled), np.int64, len(spelled))
+        if not (found < 0).any():
+            return found
+        new = words.filter(pa.array(found < 0))
         if len(self.known) + len(new) > CACHED_WORDS:
             self.forget()
             new = words
         one_run = pc.match_substring_regex(new, ONE_RUN)
         new = pa.concat_arrays([new.filter(one_run), rest := new.filter(pc.invert(one_run))])
         ids, lengths = self.encoded(new.slice(0, len(new) - len(rest)), rest)
+        self.place.update(zip(new.to_pylist(), range(len(self.known), len(self.known) + len(new))))
         self.known = pa.concat_arrays([self.known, new])
         self.pool = np.concatenate([self.pool, *ids])
         self.lengths = np.concatenate([self.lengths, *lengths]).astype(np.int32)
         self.starts = np.cumsum(self.lengths, dtype=np.int32) - self.lengths
-        return pc.index_in(words, value_set=self.known).to_numpy(zero_copy_only=False)
+        return np.fromiter((self.place[w] for w in spelled), np.int64, len(spelled))
 
     def encoded(self, one_run: pa.Array, rest: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of these words in a row and the number of each, in parts."""

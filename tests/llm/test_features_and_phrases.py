@@ -16,6 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from apidrift.llm import collocations, importance, oneperm, words
+from apidrift.llm.labelled import labelled_sample
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 LETTERS = st.text(st.sampled_from("aB1 é\n\t.,;-_\x00漢"), max_size=40)
@@ -259,3 +260,16 @@ def test_collocations_of_little(docs_of):
     assert collocations.collocations(docs_of([])).collect() == []
     big = [(None if i % 2 else i, "Big Apple, big  apple") for i in range(100)]
     assert [tuple(r) for r in collocations.collocations(docs_of(big)).collect()] == [("en", 1, "big apple", 200, 200, 200, 400, 2000)]
+
+
+# Labelled samples
+
+
+def test_a_sample_is_bounded_by_rows(spark):
+    """One id ten thousand times is one row of the sample."""
+    rows = [(7, "same")] * 10_000 + [(7, "other"), (8, None), (9, "x"), (None, "y")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    labels = spark.createDataFrame([(7, 1), (7, 0), (8, 1), (9, None), (None, 1)], "doc_id bigint, quality int")
+    got = [tuple(r) for r in labelled_sample(docs, labels, ["quality"], 10).collect()]
+    assert len(got) == 2 and {r[1:] for r in got} == {(7, 1), (8, 1)}
+    assert labelled_sample(docs, labels, ["quality"], 1).count() == 1
