@@ -31,9 +31,20 @@ BUCKETS = 1 << 14
 STEPS, TOLERANCE = 60, 1e-4
 
 
-def buckets(word: str) -> list[int]:
-    """Hashed features of a word: itself, its first and its last letters."""
-    return [zlib.crc32(f"{kind}{part}".encode()) % BUCKETS for kind, part in (("w", word), ("a", word[:3]), ("z", word[-3:]))]
+def _hashed(kind: str, parts: pa.Array) -> np.ndarray:
+    """Bucket of every part; equal parts are hashed once."""
+    coded = parts.dictionary_encode()
+    spelled = coded.dictionary.cast(pa.binary()).to_pylist()
+    start = zlib.crc32(kind.encode())
+    return (np.fromiter((zlib.crc32(x, start) for x in spelled), np.int64, len(spelled)) % BUCKETS)[coded.indices.to_numpy(zero_copy_only=False)]
+
+
+def buckets(words: pa.Array) -> np.ndarray:
+    """Hashed features of each word: itself, its first and its last three letters."""
+    words = words.cast(pa.large_string())
+    return np.column_stack(
+        [_hashed("w", words), _hashed("a", pc.utf8_slice_codeunits(words, 0, 3)), _hashed("z", pc.utf8_slice_codeunits(words, -3))]
+    )
 
 
 @dataclass
@@ -56,8 +67,8 @@ class DomainModel:
         if self._words is not None and len(self._words) <= len(known.known) and self._words.equals(known.known.slice(0, len(self._words))):
             done = len(self._words)
         if done < len(known.known):
-            hashed = np.array([buckets(w) for w in known.known.slice(done).to_pylist()], np.int64).reshape(-1, 3)
-            new = self.weights[hashed].sum(axis=1, dtype=np.float32)
+            first, *others = (self.weights[column] for column in buckets(known.known.slice(done)).T)
+            new = sum(others, first)
             self._scores = np.concatenate([self._scores, new]) if done else new
             self._words = known.known
         return self._scores if self._scores is not None else np.zeros((0, len(self.domains)), np.float32)
@@ -85,9 +96,10 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domains: list[str], rows: in
         for batch in slices(batches, "text"):
             words = encoder(tokenizer)
             at, counts = words.looked_up(batch["text"])
-            hashed = {int(i): buckets(words.known[int(i)].as_py()) for i in np.unique(at)}
+            places, used = np.unique(at, return_inverse=True)
+            hashed = buckets(words.known.take(pa.array(places)))[used]
             ends = np.cumsum(counts)
-            docs_buckets = [np.array([hashed[i] for i in at[e - n : e].tolist()], np.int64).ravel() for e, n in zip(ends, counts)]
+            docs_buckets = [hashed[e - n : e].ravel() for e, n in zip(ends, counts)]
             found = [np.unique(b, return_counts=True) for b in docs_buckets]
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["domain"], pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] / max(n, 1) for f, n in zip(found, counts)], pa.list_(pa.float64()))],

@@ -61,10 +61,11 @@ class WordEncoder:
         found = np.fromiter((self.place.get(w, -1) for w in spelled), np.int64, len(spelled))
         if not (found < 0).any():
             return found
-        new = words.filter(pa.array(found < 0))
-        if len(self.known) + len(new) > CACHED_WORDS:
+        lacking = np.flatnonzero(found < 0)
+        if len(self.known) + len(lacking) > CACHED_WORDS:
             self.forget()
-            new = words
+            lacking = np.arange(len(spelled))
+        new = words.take(pa.array(lacking))
         one_run = pc.match_substring_regex(new, ONE_RUN)
         new = pa.concat_arrays([new.filter(one_run), rest := new.filter(pc.invert(one_run))])
         ids, lengths = self.encoded(new.slice(0, len(new) - len(rest)), rest)
@@ -73,14 +74,15 @@ class WordEncoder:
         self.pool = np.concatenate([self.pool, *ids])
         self.lengths = np.concatenate([self.lengths, *lengths]).astype(np.int32)
         self.starts = np.cumsum(self.lengths, dtype=np.int32) - self.lengths
-        return np.fromiter((self.place[w] for w in spelled), np.int64, len(spelled))
+        found[lacking] = [self.place[spelled[i]] for i in lacking.tolist()]
+        return found
 
     def encoded(self, one_run: pa.Array, rest: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of these words in a row and the number of each, in parts."""
         ids, lengths = [], []
         for start in range(0, len(one_run), JOINED_WORDS):
             words = one_run.slice(start, JOINED_WORDS).to_pylist()
-            got = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+            got = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.ends_word[got])
             if len(ends) == len(words):
                 ids.append(got)
