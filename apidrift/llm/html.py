@@ -58,7 +58,17 @@ TOKEN = re.compile(
     r"<(?P<close>/?)(?P<name>[a-z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[a-z/!?][^>]*+(?:>|\Z)|(?P<text>[^<]++|<)",
     re.IGNORECASE | re.DOTALL,
 )
-ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
+#: Words of adverts; they hold for parts of a line as well.
+ADVERT_WORDS = frozenset("ad ads adsense advert adverts advertisement advertising promo sponsor sponsored".split())
+#: Beside one of these in a class or id, a word tells a state of the page and not what stands inside: no-sidebar, has-comments.
+STATE_WORDS = frozenset("allow closed disabled enabled has hide is no not off on open page with without".split())
+#: A marked part with this share of what stands outside of all such parts is a side part; with less outside, it is the page.
+OUTSIDE_SHARE = 0.2
+#: Longest line that a note of rights can be.
+RIGHTS_WORDS = 25
+RIGHTS = re.compile(r"(©|copyright\s*(©|\(c\)|\d{4})|\(c\)\s*\d{4})|.*\ball rights reserved\W*$", re.IGNORECASE)
+#: Whole attributes, so that neither parts of other names nor values are read as names.
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?|\"[^\"]*\"|'[^']*'")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -72,6 +82,8 @@ class Block:
     article: bool
     content: bool
     heading: bool
+    #: The elements around whose class or id speaks against it, outermost first.
+    marks: tuple[int, ...] = ()
 
 
 @dataclass
@@ -80,24 +92,65 @@ class _Open:
     side: int
     article: bool
     content: bool
-
-
-def _opened(name: str, rest: str, around: _Open) -> _Open:
-    """What an element makes of the context around it."""
-    found = {key.lower(): (value or "").strip("\"'") for key, value in ATTRIBUTE.findall(rest)} if rest.strip() else {}
-    words = {w.lower() for key in ("class", "id") for w in WORD.findall(found.get(key, ""))}
-    hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    article = name in ("article", "main") or found.get("role", "").lower() in ("article", "main")
-    side = around.side
-    if article and side == 1:
-        side = 0  # an article is no part of a side element that was left open
-    if name in SIDE_TAGS or hidden or found.get("role", "").lower() in SIDE_ROLES or words & SIDE_WORDS:
+    marks: tuple[int, ...] = ()
+
+
+def _attributes(rest: str) -> dict[str, str]:
+    """Attributes by lower-case name; of one given twice the first counts."""
+    found: dict[str, str] = {}
+    for key, value in ATTRIBUTE.findall(rest) if rest.strip() else ():
+        if key:
+            found.setdefault(key.lower(), (value or "").strip("\"'"))
+    return found
+
+
+def _named_words(found: dict[str, str]) -> set[str]:
+    """Words of class and id, without names that tell a state."""
+    words: set[str] = set()
+    for key in ("class", "id"):
+        for name in found.get(key, "").split():
+            own = {w.lower() for w in WORD.findall(name)}
+            if not own & STATE_WORDS:
+                words |= own
+    return words
+
+
+def _hidden(found: dict[str, str]) -> bool:
+    return "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+
+
+def _opened(name: str, rest: str, around: _Open, number: int) -> _Open:
+    """What an element makes of the context around it; ``number`` tells it from others."""
+    found = _attributes(rest)
+    words, role = _named_words(found), found.get("role", "").lower()
+    article = name in ("article", "main") or role in ("article", "main")
+    side, marks = around.side, around.marks
+    if article and side < 2:
+        side, marks = 0, ()  # an article is no part of a side element that was left open or wraps it
+    if name in SIDE_TAGS or _hidden(found) or role in SIDE_ROLES:
         side = max(side, 1)
+    elif words & SIDE_WORDS:
+        marks = (*marks, number)
     if name == "header" and not (around.article or article):
         side = max(side, 1)
     if words & COMMENT_WORDS and name != "body":
         side = 2
-    return _Open(name, side, around.article or article, around.content or bool(words & CONTENT_WORDS))
+    return _Open(name, side, around.article or article, around.content or bool(words & CONTENT_WORDS), marks)
+
+
+def _with_side_parts(blocks: list[Block]) -> list[Block]:
+    """Blocks in marked parts as side blocks, but for a part that wraps nearly all that is left of the page."""
+    void: set[int] = set()
+    for mark in sorted({m for b in blocks for m in b.marks}):
+        plain = [b for b in blocks if not b.side]
+        held = sum(b.words for b in plain if mark in b.marks)
+        outside = sum(b.words for b in plain if void.issuperset(b.marks))
+        if outside < OUTSIDE_SHARE * held:
+            void.add(mark)
+    for block in blocks:
+        if not void.issuperset(block.marks):
+            block.side = max(block.side, 1)
+    return blocks
 
 
 def _tokens(html: str) -> Iterator[re.Match]:
@@ -124,6 +177,7 @@ def blocks_of(html: str) -> list[Block]:
     stack = [_Open("", 0, False, False)]
     pieces: list[tuple[str, bool]] = []
     link = heading = False
+    muted, depth, number = "", 0, 0
     only_article = re.search(r"<article\b", html, re.IGNORECASE) is not None
 
     def close_block():
@@ -134,13 +188,17 @@ def blocks_of(html: str) -> list[Block]:
         if text:
             linked = len("".join(t if inside else " " for t, inside in pieces).split())
             at = stack[-1]
-            blocks.append(Block(text, text.count(" ") + 1, linked, at.side, at.article, at.content, heading))
+            words = text.count(" ") + 1
+            side = max(at.side, int(words <= RIGHTS_WORDS and RIGHTS.match(text) is not None))
+            blocks.append(Block(text, words, linked, side, at.article, at.content, heading, at.marks))
             link = False
         pieces.clear()
 
     for found in _tokens(html):
         text, name = found["text"], found["name"]
         if text:
+            if muted:
+                continue
             pieces.append((unescape(text), link))
             continue
         if not name:
@@ -150,15 +208,26 @@ def blocks_of(html: str) -> list[Block]:
             pieces.append((" ", link))
         elif name == "a":
             link = not closing
-        elif name in BLOCKS:
+        elif name not in BLOCKS:
+            # Hidden or advertising parts of a line, up to their end tag or the end of the block.
+            if muted:
+                depth += (name == muted) * (-1 if closing else 1)
+                muted = muted if depth else ""
+            elif not closing and name not in VOID and found["rest"].strip() and not found["rest"].rstrip().endswith("/"):
+                own = _attributes(found["rest"])
+                if _hidden(own) or _named_words(own) & ADVERT_WORDS:
+                    muted, depth = name, 1
+        else:
+            muted, depth = "", 0
             close_block()
+            number += 1
             heading = name in HEADINGS and not closing
             if name in HOLDERS:
                 if not closing:
                     if name == "li" and stack[-1].name == "li" or name in ("td", "th", "tr") and stack[-1].name == name:
                         stack.pop()
                     around = stack[-1]
-                    opened = _opened(name, found["rest"], around)
+                    opened = _opened(name, found["rest"], around, number)
                     if name == "main" and only_article:
                         opened.article = around.article
                     stack.append(opened)
@@ -167,16 +236,16 @@ def blocks_of(html: str) -> list[Block]:
                         pass
             elif not closing and found["rest"].strip():
                 # Marks on a paragraph or heading hold for it alone.
-                marked = _opened(name, found["rest"], stack[-1])
-                if marked.side > stack[-1].side:
+                marked = _opened(name, found["rest"], stack[-1], number)
+                if marked.side > stack[-1].side or marked.marks != stack[-1].marks:
                     while stack[-1].name == "p":
                         stack.pop()
-                    stack.append(_Open("p", marked.side, marked.article, marked.content))
+                    stack.append(_Open("p", marked.side, marked.article, marked.content, marked.marks))
                     continue
             if stack[-1].name == "p":
                 stack.pop()
     close_block()
-    return blocks
+    return _with_side_parts(blocks)
 
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "side", "article", "content", "heading")

@@ -33,6 +33,35 @@ def test_page_without_article():
     assert html.main_text(page, html.default_tree()).split("\n") == ["Head", "A short one.", "This page has no article, but its text stands in a part called content.", "Quote"]
 
 
+STORY = "<h1>Head</h1><p>This is the first paragraph of a story that goes on for some words.<p>And this is the second one, with a few words more."
+STORY_TEXT = "Head\nThis is the first paragraph of a story that goes on for some words.\nAnd this is the second one, with a few words more."
+
+
+@pytest.mark.parametrize(
+    "opened,close",
+    [
+        ('<div class="layout no-sidebar">', "</div>"), ('<div id="page-with-sidebar">', "</div>"), ('<article class="post comments-open">', "</article>"),
+        ('<div class="post has-comments"><article>', "</article></div>"), ('<div id="public-notice-of-2020">', "</div>"), ('<div class="dialog">', "</div>"),
+        ('<article data-hidden="false">', "</article>"), ('<article data-x="hidden gem">', "</article>"), ('<article data-id="related-7">', "</article>"),
+        ("<article title='class=ad'>", "</article>"), ('<div class="widget content">', "</div>"), ('<body class="login">', "</body>"),
+    ],
+)
+def test_wrappers_hold_the_article(opened, close):
+    page = f"<html><nav><a>Home</a> <a>News</a></nav>{opened}{STORY}{close}<footer>&copy; nobody</footer></html>"
+    assert html.main_text(page, html.default_tree()) == STORY_TEXT
+
+
+def test_side_parts_go():
+    rest = (
+        '<div id="comments" width="5"><p>I liked this story and have a lot of words to say about all of it here.</div><div class="sidebar"><p>Other stories that '
+        "one may read as well, told in a good number of words.</div><div>© 2024 Some House. All rights reserved.</div>"
+    )
+    inline = STORY.replace("first", '<span class="ad">Buy <span>this</span> now</span>first').replace("second", '<b style="display: none">unseen</b>second')
+    for page in (STORY + rest, inline + rest, f'<div class="wrap no-sidebar">{inline}{rest}</div>'):
+        assert html.main_text(page, html.default_tree()) == STORY_TEXT
+    assert html.main_text("<p>One <span hidden>two<p>three four five six seven eight nine ten.", html.default_tree()).endswith("three four five six seven eight nine ten.")
+
+
 def test_broken_pages():
     tree = html.default_tree()
     assert html.main_text('<div class="ad"><p>left open<article><p>Real text.</p><p class="ad">Ad</p><p>More.</article>', tree) == "Real text.\nMore."
