@@ -64,9 +64,9 @@ ADVERT_WORDS = frozenset("ad ads adsense advert adverts advertisement advertisin
 STATE_WORDS = frozenset("allow closed disabled enabled has hide is no not off on open page with without".split())
 #: A marked part with this share of what stands outside of all such parts is a side part; with less outside, it is the page.
 OUTSIDE_SHARE = 0.2
-#: Longest line that a note of rights can be.
+#: Longest line that a note of rights can be; inside an article such a line is its own.
 RIGHTS_WORDS = 25
-RIGHTS = re.compile(r"(©|copyright\s*(©|\(c\)|\d{4})|\(c\)\s*\d{4})|.*\ball rights reserved\W*$", re.IGNORECASE)
+RIGHTS = re.compile(r"©|copyright\s*(©|\(c\)|\d{4})|\(c\)\s*\d{4}", re.IGNORECASE)
 #: Whole attributes, so that neither parts of other names nor values are read as names.
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?|\"[^\"]*\"|'[^']*'")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -189,7 +189,8 @@ def blocks_of(html: str) -> list[Block]:
             linked = len("".join(t if inside else " " for t, inside in pieces).split())
             at = stack[-1]
             words = text.count(" ") + 1
-            side = max(at.side, int(words <= RIGHTS_WORDS and RIGHTS.match(text) is not None))
+            rights = words <= RIGHTS_WORDS and not (at.article or at.content) and RIGHTS.match(text) is not None
+            side = max(at.side, int(rights))
             blocks.append(Block(text, words, linked, side, at.article, at.content, heading, at.marks))
             link = False
         pieces.clear()
