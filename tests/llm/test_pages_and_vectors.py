@@ -115,6 +115,7 @@ def plain_top(rows, k, every):
 def test_top_k(spark, monkeypatch, shape):
     monkeypatch.setattr(topk, "CANDIDATE_ROWS", 60)
     monkeypatch.setattr(topk, "QUERY_ROWS", 4)
+    monkeypatch.setattr(topk, "STRIP_ROWS", 3)
     rng = np.random.default_rng(4)
     rows = [(int(i), rng.standard_normal(12).tolist()) for i in range(300)]
     if shape == "ties":
@@ -131,3 +132,15 @@ def test_top_k(spark, monkeypatch, shape):
 
 def test_top_k_of_nothing(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).collect() == []
+
+
+def test_top_k_adds_up_few_pairs(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATE_ROWS", 400)
+    rng = np.random.default_rng(7)
+    middles = rng.standard_normal((40, 32)) * 2
+    rows = [(int(i), (middles[i % 40] + 0.3 * rng.standard_normal(32)).tolist()) for i in range(2000)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    scored, _ = topk._scored(table, 50, 5, topk.SCALE, topk.GROUPS, "vec_id", "embedding")
+    added_up = sum(r.n_resolved for r in scored.collect())
+    assert 40 * 5 <= added_up < 0.25 * 40 * 2000
+    assert sorted(map(tuple, topk.top_k(table).collect())) == plain_top(rows, 5, 50)
