@@ -243,6 +243,12 @@ def unsupported_objects(nodes: DataFrame, scope: Sequence[str]) -> DataFrame:
     )
 
 
+def failed_objects(nodes: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Side output of a comparison: per side and tree, each kind the rules do not know and how often it occurs."""
+    unknown = nodes.filter(~F.col("node_kind").isin(*KNOWN_KINDS))
+    return unknown.groupBy(*scope, "side", "root", F.col("node_kind").alias("unsupported_kind")).agg(F.count(F.lit(1)).alias("n_nodes"))
+
+
 def drop_failed_pairs(rows: DataFrame, unsupported: DataFrame, pair: str = "pair_id") -> DataFrame:
     """Drop everything of a pair that has an unsupported object, as a failed comparison would."""
     return rows.join(unsupported.select(pair).distinct(), pair, "left_anti")

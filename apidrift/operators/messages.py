@@ -118,3 +118,13 @@ def report_lines(changes: DataFrame, scope: Sequence[str]) -> DataFrame:
 def change_counts(changes: DataFrame, by: Sequence[str]) -> DataFrame:
     """Breaking-change counts."""
     return changes.groupBy(*by).agg(F.count(F.lit(1)).alias("n_changes"))
+
+
+def change_totals(changes: DataFrame, by: Sequence[str], sets: Sequence[Sequence[str]]) -> DataFrame:
+    """Breaking-change counts of several groupings in one pass; a column that a row's grouping leaves out is NULL.
+
+    ``level`` has a bit per column of ``by``, the first one highest, set where the column is left out. It tells such a
+    NULL from a missing value.
+    """
+    grouped = changes.groupingSets([[F.col(c) for c in one] for one in sets], *[F.col(c) for c in by])
+    return grouped.agg(F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("n_changes"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 PAIR = ["pair_id"]
 PACKAGE = ["rel_id", "pkg_path"]
+CHANGE_FACTS = ["module", "update_kind", "changed_object", "changed_type"]
+CHANGE_SETS = [CHANGE_FACTS[:2], CHANGE_FACTS[:1], CHANGE_FACTS[1:], CHANGE_FACTS[1:2], CHANGE_FACTS[2:], []]
 
 
 class Bench:
@@ -704,7 +707,14 @@ def has_unexported_method(b: Bench) -> DataFrame:
 @query
 def change_counts(b: Bench) -> DataFrame:
     kinds = filters.reportable(b.object_changes).withColumn("update_kind", versions.update_kind(F.col("old_tag"), F.col("new_tag")))
-    return messages.change_counts(kinds, ["module", "update_kind", "changed_object", "changed_type"])
+    return messages.change_counts(kinds, CHANGE_FACTS)
+
+
+@query
+def change_totals(b: Bench) -> DataFrame:
+    """The same counts by module, by kind of update, object and change, and in all, in one pass."""
+    kinds = filters.reportable(b.object_changes).withColumn("update_kind", versions.update_kind(F.col("old_tag"), F.col("new_tag")))
+    return messages.change_totals(kinds, CHANGE_FACTS, CHANGE_SETS)
 
 
 # --- windows, order and set operations ---------------------------------------------------------------
@@ -853,6 +863,15 @@ def unsupported_objects(b: Bench) -> DataFrame:
     return correspondence.unsupported_objects(nodes, PACKAGE)
 
 
+@query
+def failed_objects(b: Bench) -> DataFrame:
+    """The side output of a comparison, with the same label for a type parameter."""
+    kind = F.when(F.col("label") == "t1", "typeParam").otherwise(F.col("node_kind"))
+    snapshot = replace(b.snapshot, api_type_node=b.snapshot.api_type_node.withColumn("node_kind", kind))
+    failed = pipelines.failed_objects(snapshot, pipelines.compare_releases(snapshot))
+    return failed.select("pair_id", "pkg_name", "side", "root", "unsupported_kind", "n_nodes", "module", "old_tag", "new_tag")
+
+
 # --- end-to-end queries ------------------------------------------------------------------------------
 
 

@@ -756,6 +756,8 @@ oracle("has_unexported_method", "select rel_id, owner, min(method_name) as unexp
 block("d_kinds", f"""select b.*, {_KIND.format(a='x', o='o', n='n')} as update_kind from (select *, contains(old_tag, '-') or contains(old_tag, '+') or contains(new_tag, '-') or contains(new_tag, '+') as x_pre,
  {segments('old_tag').format(p='o')}, {segments('new_tag').format(p='n')} from d_breaking) b""")
 oracle("change_counts", "select module, update_kind, changed_object, changed_type, count(*) as n_changes from d_kinds group by module, update_kind, changed_object, changed_type")
+oracle("change_totals", """select module, update_kind, changed_object, changed_type, cast(grouping(module, update_kind, changed_object, changed_type) as int) as level, count(*) as n_changes
+from d_kinds group by grouping sets ((module, update_kind), (module), (update_kind, changed_object, changed_type), (update_kind), (changed_object, changed_type), ())""")
 
 oracle("adjacent_releases", "select * from w_pairs")
 block("k_counted", f"""select v.*, coalesce(n.n_packages, 0) as n_packages, coalesce(n.n_kept, 0) as n_kept from w_valid v
@@ -788,6 +790,8 @@ oracle("embedded_names_correspond", """select pair_id, root, part, old_field_nam
  or old_embedded and new_embedded and not regexp_matches(old_field_name, '^[A-Z]') and not regexp_matches(new_field_name, '^[A-Z]') as corresponds from d_named_field""")
 oracle("establish_correspondence", f"select pair_id, pkg_path, old_name, 'named' as new_kind, new_name, array_to_string(pos, '/') as pos from {T9_MAPPING}")
 oracle("unsupported_objects", "select rel_id, pkg_path, root, count(*) as n_unsupported from v_type_node where label = 't1' group by rel_id, pkg_path, root")
+oracle("failed_objects", """select pair_id, pkg_name, side, root, 'typeParam' as unsupported_kind, count(*) as n_nodes, any_value(module) as module, any_value(old_tag) as old_tag, any_value(new_tag) as new_tag
+from (select pair_id, pkg_name, side, root from q_s_node where label = 't1') n join (select pair_id, module, old_tag, new_tag from q_pairs) p using (pair_id) group by pair_id, pkg_name, side, root""")
 
 BREAKING_REPORT = f"""select {server('server_url')} as server_name, server_url, old_tag, old_tag_time as olg_tag_time, new_tag, new_tag_time, old_pkg_name, new_pkg_name,
  old_pkg_path, new_pkg_path, change_node, changed_object as "changedObject", changed_type as "changedType", change_message as "changeMessage" from q_breaking"""

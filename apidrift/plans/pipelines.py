@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from apidrift.functions.text import obj_pkg_path
@@ -28,6 +29,13 @@ class Comparison:
 
     pairs: DataFrame
     packages: DataFrame
+    _trees: DataFrame | None = None
+
+    def trees(self, snapshot: Snapshot) -> DataFrame | None:
+        """Type trees of the compared packages, written once; None where the snapshot has none."""
+        if self._trees is None and snapshot.api_type_node is not None:
+            self._trees = materialize(self.scoped(snapshot.api_type_node), "nodes")
+        return self._trees
 
     def scoped(self, table: DataFrame) -> DataFrame:
         """Rows of ``table`` in packages that both sides have, keyed by pair, package name and ``side``."""
@@ -93,7 +101,7 @@ def api_changes(
     named = comparison.scoped(snapshot.api_type)
     fields = comparison.scoped(snapshot.api_field)
     methods = comparison.scoped(snapshot.api_method)
-    nodes = None if snapshot.api_type_node is None else materialize(comparison.scoped(snapshot.api_type_node), "nodes")
+    nodes = comparison.trees(snapshot)
     rename_map = None
     aligned_nodes = None if nodes is None else materialize(correspondence.align_trees(nodes), "aligned-nodes")
     if renames:
@@ -172,6 +180,43 @@ def breaking_changes(
     return filters.reportable(api_changes(snapshot, comparison, renames, compat))
 
 
+def failed_objects(snapshot: Snapshot, comparison: Comparison) -> DataFrame:
+    """Objects of compared packages with types the rules do not know, with the facts of their pair."""
+    nodes = comparison.trees(snapshot)
+    if nodes is None:
+        raise ValueError("telling failed objects needs a snapshot with type trees")
+    return correspondence.failed_objects(nodes, SCOPE).join(comparison.packages.drop("status"), list(SCOPE))
+
+
+class Outcome(NamedTuple):
+    """Breaking changes and, beside them, the objects that could not be compared whole. The observations hold the counts of
+    both once an action has run over them."""
+
+    changes: DataFrame
+    failures: DataFrame
+    seen_changes: Observation
+    seen_failures: Observation
+
+
+def breaking_changes_and_failures(
+    snapshot: Snapshot, white_list: Sequence[str] = filters.WHITE_LIST, renames: bool | None = None
+) -> Outcome:
+    """``breaking_changes`` with a second output; a pair with a failed object keeps its other rows.
+
+    The counts are taken while the outputs are written, without a pass of their own.
+    """
+    comparison = compare_releases(snapshot, white_list)
+    seen_changes, seen_failures = Observation("breaking_changes"), Observation("failed_objects")
+    changes = filters.reportable(api_changes(snapshot, comparison, renames))
+    failures = failed_objects(snapshot, comparison)
+    return Outcome(
+        changes.observe(seen_changes, F.count(F.lit(1)).alias("n_changes")),
+        failures.observe(seen_failures, F.count(F.lit(1)).alias("n_failed"), F.coalesce(F.sum("n_nodes"), F.lit(0)).alias("n_nodes")),
+        seen_changes,
+        seen_failures,
+    )
+
+
 def wanted_clients(client_versions: DataFrame, client_releases: DataFrame | None = None, client_packages: DataFrame | None = None) -> DataFrame:
     """Client versions that list packages, carry a module file (``client_releases``) and loaded whole."""
     wanted = filters.has_packages(client_versions)
