@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apidrift.llm.common import slices, written
+from apidrift.llm.common import slices, with_row_id, written
 from apidrift.llm.order import totals_before
 from apidrift.llm.tokens import default_tokenizer, encoder
 from apidrift.session import fresh_path
@@ -132,9 +132,10 @@ def write_token_files(
         yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "documents": [n], "tokens": [tokens]})
 
     narrow = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    # Equal ids may be dealt to several files, which keeps the order and no id in one task.
+    # Equal ids, and equal rows, may be dealt to several files, which keeps the order and no id in one task.
     tie = F.xxhash64("text")
-    ordered = narrow.repartitionByRange("id", tie).sortWithinPartitions("id", tie, "text")
+    numbered = with_row_id(narrow, "row").repartitionByRange("id", tie, "row")
+    ordered = numbered.sortWithinPartitions("id", tie, "text").select("id", "text")
     listed, _ = written(ordered.mapInArrow(run, "part bigint, path string, documents bigint, tokens bigint"), "token-file-list")
     return listed
 
