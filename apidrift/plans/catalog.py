@@ -813,6 +813,58 @@ def compare_types(b: Bench) -> DataFrame:
     return correspondence.compare_types(b.nodes, [*PAIR, "pkg_path"]).drop("part")
 
 
+def _shapes(fields: DataFrame) -> DataFrame:
+    """A type tree of some kind per field: its kind goes by the names, its parts by the facts of the field."""
+    number = F.substring("field_name", 2, 9).cast("int")
+    kinds = ("array", "slice", "map", "pointer", "chan", "struct", "interface", "basic")
+    code = (number * 3 + F.substring("owner", 5, 9).cast("int") + (F.col("embedded") & (F.col("type_str") == "T2")).cast("int")) % 8
+    kind = F.get(F.array(*[F.lit(k) for k in kinds]), code)
+    text, target, odd = F.col("type_str"), F.col("embedded_owner"), number % 2 == 1
+
+    def node(path, kind, label="", length=None, variadic=False, name="", embedded=False, tag=""):
+        as_column = lambda value, cast: (value if isinstance(value, F.Column) else F.lit(value)).cast(cast)
+        return F.struct(
+            F.array(*[F.lit(p) for p in path]).cast("array<int>").alias("path"), as_column(kind, "string").alias("node_kind"),
+            as_column(label, "string").alias("label"), as_column(length, "bigint").alias("array_len"),
+            as_column(variadic, "boolean").alias("variadic"), as_column(name, "string").alias("field_name"),
+            as_column(embedded, "boolean").alias("embedded"), as_column(tag, "string").alias("struct_tag"),
+        )
+
+    def method(slot, name, variadic, parameter):
+        top = node([slot], "signature", variadic=variadic, name=name)
+        return [top, node([slot, 0], "tuple"), node([slot, 1], "tuple"), node([slot, 0, 0], "basic", parameter)]
+
+    parts = {
+        "array": [node([0], "basic", target)],
+        "slice": [node([0], "pointer"), node([0, 0], "basic", text)],
+        "map": [node([0], "basic", text), node([1], "basic", target)],
+        "pointer": [node([0], "basic", text)],
+        "chan": [node([0], "basic", text)],
+        "struct": [
+            node([0], "basic", "int", name="A", embedded=F.col("embedded") & odd),
+            node([1], "basic", F.when(odd, text).otherwise("int"), name="B", tag=F.when(odd, target).otherwise("")),
+            F.when(target != "Type0", node([2], "basic", "int", name=F.concat(F.lit("C"), text))),
+        ],
+        "interface": [
+            *method(0, "M", F.col("embedded") & odd, F.when(odd, text).otherwise("int")),
+            *method(1, F.concat(F.lit("N"), target), False, text),
+            *[F.when((target == "Type2") & (text == "T1"), n) for n in method(2, "O", False, "int")],
+        ],
+        "basic": [],
+    }
+    length = F.substring("type_str", 2, 9)
+    trees = {k: F.array(node([], k, text if k == "basic" else "", length if k == "array" else None), *parts[k]) for k in kinds}
+    chosen = F.coalesce(*[F.when(kind == k, tree) for k, tree in trees.items()])
+    rows = fields.select(*PAIR, "side", F.col("owner").alias("root"), F.col("field_name").alias("part"), F.explode(F.filter(chosen, lambda n: n.isNotNull())).alias("n"))
+    return rows.select(*PAIR, "side", "root", "part", F.lit("").alias("named_pkg"), "n.*")
+
+
+@query
+def compare_types_of_all_kinds(b: Bench) -> DataFrame:
+    """Outcome and cause for arrays, slices, maps, pointers, channels, structs, interfaces and basic types."""
+    return correspondence.compare_types(_shapes(b.sided(b.views.api_field)), PAIR)
+
+
 @query
 def type_kinds(b: Bench) -> DataFrame:
     """Of the functions, and of every parameter as a tree of its own."""

@@ -782,6 +782,20 @@ oracle("compare_types", """select pair_id, pkg_path, root, not bool_or(type_diff
  then array_to_string(list_filter([case when bool_or(type_differs and starts_with(path, '0')) then 'params' end, case when bool_or(type_differs and starts_with(path, '1')) then 'returns' end,
  case when bool_or(type_differs and path = '') then 'variadic' end], lambda x: x is not null), '|') end as type_cause
 from d_node_diffs group by pair_id, pkg_path, root having bool_or(path = '' and in_old and in_new)""")
+block("s_shape", """select pair_id, side, owner as root, field_name as part, type_str, embedded, embedded_owner, cast(substr(field_name, 2) as int) % 2 = 1 as odd,
+ ['array', 'slice', 'map', 'pointer', 'chan', 'struct', 'interface', 'basic'][1 + (cast(substr(field_name, 2) as int) * 3 + cast(substr(owner, 5) as int) + cast(embedded and type_str = 'T2' as int)) % 8] as kind from s_field""")
+block("d_shape", aligned("s_shape", ("pair_id", "root", "part"), ("type_str", "embedded", "embedded_owner", "odd", "kind"), "inner"))
+block("d_shape_facts", """select pair_id, root, part, old_kind as kind, old_kind <> new_kind as other_kind, old_odd as odd, old_type_str <> new_type_str as text, old_embedded_owner <> new_embedded_owner as target,
+ old_odd and old_embedded <> new_embedded as mark, (old_embedded_owner <> 'Type0') <> (new_embedded_owner <> 'Type0') as fields, old_embedded_owner <> 'Type0' and old_type_str <> new_type_str as third,
+ (old_embedded_owner = 'Type2' and old_type_str = 'T1') <> (new_embedded_owner = 'Type2' and new_type_str = 'T1') as methods from d_shape""")
+block("d_shape_causes", """select *, case when other_kind then case kind when 'basic' then 'basic' else '' end
+ when kind = 'array' and (target or text) then concat_ws('|', case when target then 'element' end, case when text then 'length' end)
+ when kind in ('slice', 'chan') and text then 'element' when kind = 'pointer' and text then 'base' when kind = 'basic' and text then 'basic'
+ when kind = 'map' and (target or text) then concat_ws('|', case when text then 'key' end, case when target then 'element' end)
+ when kind = 'struct' then case when fields then 'fieldNumber' when mark then 'fieldAnonymous' when odd and target then 'fieldTag' when odd and text then 'fieldType' when third then 'fieldNames' end
+ when kind = 'interface' then case when methods then 'methodNumber' when odd and (text or mark) then concat_ws('|', case when text then 'params' end, case when mark then 'variadic' end) when target then 'methodID' when text then 'params' end
+ end as type_cause from d_shape_facts""")
+oracle("compare_types_of_all_kinds", "select pair_id, root, part, type_cause is null as corresponds, type_cause from d_shape_causes")
 oracle("type_kinds", """select rel_id, pkg_path, root, 'function' as type_kind from v_type_node where path = ''
 union all select rel_id, pkg_path, concat(root, '.', slot), case when p % 3 = 0 then 'pointer|named' else 'basic' end from v_child""")
 block("s_named_field", "select pair_id, side, owner as root, field_name as part, case when embedded then lower(embedded_owner) else field_name end as field_name, embedded from s_field")

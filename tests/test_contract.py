@@ -1,5 +1,6 @@
 """The driver's contract, and whole queries against their SQL on the smallest tables."""
 
+from dataclasses import replace
 from pathlib import Path
 
 import duckdb
@@ -26,7 +27,7 @@ def test_every_query_has_its_sql():
 
 
 @needs_tables
-@pytest.mark.parametrize("name", ["adjacent_kept_releases", "check_objects", "check_method_sets", "compare_types", "establish_correspondence", "client_usage", "dependency_graph", "breaking_changes"])
+@pytest.mark.parametrize("name", ["adjacent_kept_releases", "check_objects", "check_method_sets", "compare_types", "compare_types_of_all_kinds", "change_totals", "failed_objects", "establish_correspondence", "client_usage", "dependency_graph", "breaking_changes"])
 def test_query_matches_sql(spark, name):
     engine = duckdb.connect()
     for table in NAMES:
@@ -81,6 +82,24 @@ def test_renamed_types_are_followed(spark, rows):
         pipelines.breaking_changes(plain, renames=True)
 
 
+def test_failed_objects_leave_the_other_rows(spark, rows):
+    """G has a type parameter in the new release and F goes: the removal is reported, G is told beside it."""
+    plain = tiny_snapshot(spark, [(1, "v1.0.0", ["F", "G"]), (2, "v1.1.0", ["G"])])
+    nodes = []
+    for rel, kind in ((1, "basic"), (2, "typeParam")):
+        for path, node_kind, label in (([], "signature", ""), ([0], "tuple", ""), ([1], "tuple", ""), ([0, 0], kind, "T")):
+            nodes.append((rel, "m/core", "G", "", path, node_kind, label, None, None, False, None, False, None))
+    snapshot = replace(plain, api_type_node=spark.createDataFrame(nodes, TREE))
+    found = pipelines.breaking_changes_and_failures(snapshot)
+    changes = rows(found.changes, "change_node", "change_message")
+    assert ("F", "removed") in changes
+    assert rows(found.failures, "side", "root", "unsupported_kind", "n_nodes", "old_tag") == [("new", "G", "typeParam", 1, "v1.0.0")]
+    assert found.seen_changes.get == {"n_changes": len(changes)} and found.seen_failures.get == {"n_failed": 1, "n_nodes": 1}
+    assert rows(pipelines.breaking_changes(snapshot, compat=True), "change_node") == []
+    with pytest.raises(ValueError):
+        pipelines.breaking_changes_and_failures(plain)
+
+
 def test_usage_of_deleted_packages_and_methods(spark, rows):
     facts = [
         ("", "p: packages deleted", "", "l/gone"), ("(*T).Close", "struct method removed", "func", "l/p"), ("Open", "removed", "func", "l/p"),

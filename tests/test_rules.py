@@ -417,3 +417,10 @@ def test_unsupported_objects_drop_their_pair(spark, rows):
     assert rows(bad, "pair_id", "root", "n_unsupported") == [(1, "G", 1)]
     kept = correspondence.drop_failed_pairs(spark.createDataFrame([(1, "x"), (2, "y")], "pair_id int, m string"), bad)
     assert rows(kept, "pair_id", "m") == [(2, "y")]
+
+
+def test_change_totals_tell_left_out_columns_from_missing_values(spark, rows):
+    changes = spark.createDataFrame([("m", "patch"), ("m", "patch"), ("m", None), (None, "minor")], "module string, update_kind string")
+    found = messages.change_totals(changes, ["module", "update_kind"], [["module"], ["update_kind"], []])
+    expected = {("m", None, 1, 3), (None, None, 1, 1), (None, "patch", 2, 2), (None, None, 2, 1), (None, "minor", 2, 1), (None, None, 3, 4)}
+    assert {tuple(r) for r in found.collect()} == expected and found.columns == ["module", "update_kind", "level", "n_changes"]
