@@ -64,6 +64,19 @@ def test_token_files_round_trip(spark, docs_of, odd_rows):
             assert zstandard.ZstdDecompressor().stream_reader(file.read(), read_across_frames=True).read() == whole
 
 
+def test_equal_rows_are_dealt_over_several_files(spark, docs_of):
+    docs = docs_of([(1, "the same words")] * 4000 + [(2, "others")])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = frames.write_token_files(docs.repartition(3), fresh_path(spark, "frames"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    listed = files.collect()
+    assert sum(f.documents for f in listed) == 4001 and max(f.documents for f in listed) < 3600
+    rows = sorted((r.start, r.doc_id, r.n_tokens) for r in frames.read_token_files(files).collect())
+    assert [r[0] for r in rows] == [0, *np.cumsum([r[2] for r in rows])[:-1]] and rows[-1][1] == 2
+
+
 def test_damaged_frame_is_refused(tmp_path):
     path = tmp_path / "tokens"
     with path.open("wb") as out:
