@@ -623,6 +623,17 @@ def find_correspondence(b: Bench) -> DataFrame:
     return correspondence.find_correspondence(uses, known, PAIR)
 
 
+@query
+def find_correspondence_renamed(b: Bench) -> DataFrame:
+    """The same uses under a mapping that moves most types to another name."""
+    embedded = b.sided(b.views.api_field.filter("embedded").select("rel_id", "owner", "field_name", "embedded_owner"))
+    uses = diff.align(embedded, [*PAIR, "owner", "field_name"], ["embedded_owner"], matched=True)
+    uses = uses.select(*PAIR, F.col("old_embedded_owner").alias("old_name"), F.lit("named").alias("new_kind"), F.col("new_embedded_owner").alias("new_name"), "owner", "field_name")
+    moved = F.concat(F.lit("Type"), (F.substring("owner", 5, 9).cast("int") + F.col("pair_id")) % 3)
+    known = b.types.select(*PAIR, F.col("owner").alias("old_name"), F.lit("named").alias("new_kind"), moved.alias("new_name"))
+    return correspondence.find_correspondence(uses, known, PAIR)
+
+
 @query
 def require_both(b: Bench) -> DataFrame:
     sided = b.sided(b.views.api_object.select("rel_id", "pkg_path", "obj_name"))
@@ -808,6 +819,20 @@ def check_method_sets(b: Bench) -> DataFrame:
     return _row_columns(types.check_method_sets(b.types, b.methods, PAIR))
 
 
+@query
+def check_promoted_method_sets(b: Bench) -> DataFrame:
+    """Some methods come from an embedded type, one of them by pointer, so that the value set holds it as well."""
+    promoted = F.col("method_name").isin("M1", "M3")
+    methods = b.methods.withColumns(
+        {
+            "recv_is_owner": ~promoted,
+            "recv_named": F.when(promoted, "Inner").otherwise(F.col("recv_named")),
+            "in_value_set": F.col("in_value_set") | (F.col("method_name") == "M3"),
+        }
+    )
+    return _row_columns(types.check_method_sets(b.types, methods, PAIR))
+
+
 @query
 def compare_types(b: Bench) -> DataFrame:
     return correspondence.compare_types(b.nodes, [*PAIR, "pkg_path"]).drop("part")

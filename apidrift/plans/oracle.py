@@ -324,6 +324,19 @@ def method_rules(value_set: bool, added: str = "true") -> list[tuple[str, ...]]:
     return out
 
 
+def promoted_rules() -> list[tuple[str, ...]]:
+    """Rules of both method sets where a method may come from an embedded type (``owned`` is false)."""
+    changed, added, *_ = method_rules(False)[1:3], method_rules(False)[3]
+    key, node = method_rules(False)[0][1:3]
+    by_set = "case when old_owned then concat(', ', old_recv_kind, ' method') else concat(', method set of {}', owner) end"
+    removed = lambda condition, star: (condition, key, node, "'func'", by_set.format(star), "'function'", "'removed'", "false", "'removed'")
+    return [
+        removed("not in_new", "*"), *changed, added,
+        removed("in_old and old_in_value and not coalesce(new_in_value, false) and (in_new or not old_owned)", ""),
+        ("in_old and new_in_value and not old_in_value", *added[1:]),
+    ]
+
+
 def rule_blocks(prefix: str, scope: Sequence[str], types: str, fields: str, methods: str) -> None:
     """Blocks of all type rules over three sided blocks."""
     on = ", ".join(scope)
@@ -729,6 +742,9 @@ block("s_embedding", "select pair_id, side, owner, field_name, embedded_owner as
 block("d_embedding", aligned("s_embedding", ("pair_id", "owner", "field_name"), ("target",), "inner"))
 oracle("find_correspondence", """select e.pair_id, old_target as old_name, 'named' as new_kind, new_target as new_name, e.owner, e.field_name, t.owner is not null and old_target = new_target as agrees
 from d_embedding e left join d_types t on t.pair_id = e.pair_id and t.owner = e.old_target""")
+oracle("find_correspondence_renamed", """select e.pair_id, old_target as old_name, 'named' as new_kind, new_target as new_name, e.owner, e.field_name,
+ t.owner is not null and new_target = concat('Type', (cast(substr(old_target, 5) as int) + e.pair_id) % 3) as agrees
+from d_embedding e left join d_types t on t.pair_id = e.pair_id and t.owner = e.old_target""")
 oracle("require_both", """select pair_id, pkg_path, obj_name, case when in_new then 'both' else 'old' end as found from (select o.pair_id, o.pkg_path, o.obj_name, exists (select 1 from n where n.pair_id = o.pair_id and n.pkg_path = o.pkg_path and n.obj_name = o.obj_name) as in_new
  from o) x""".replace("from n where", "from (select pair_id, pkg_path, obj_name from v_api_object join w_sides using (rel_id) where side = 'new') n where").replace("from o) x", "from (select pair_id, pkg_path, obj_name from v_api_object join w_sides using (rel_id) where side = 'old') o) x"))
 
@@ -778,6 +794,11 @@ oracle("check_named_types", reported("d_type_rows", PAIR))
 oracle("check_structs", reported("d_field_rows", PAIR))
 oracle("check_interfaces", f"select {ROW_COLUMNS} from d_face_rows")
 oracle("check_method_sets", f"select {ROW_COLUMNS} from d_method_rows")
+block("s_promoted", """select m.* replace (case when method_name in ('M1', 'M3') then 'Inner' else recv_named end as recv_named), method_name not in ('M1', 'M3') as owned,
+ not ptr_receiver or method_name = 'M3' as in_value from d_plain_methods m""")
+block("d_promoted", aligned("s_promoted", ("pair_id", "owner", "method_name"), (*METHOD_COLUMNS, "owned", "in_value")))
+block("d_promoted_rows", rows(PAIR, "d_promoted", promoted_rules()))
+oracle("check_promoted_method_sets", f"select {ROW_COLUMNS} from d_promoted_rows")
 oracle("compare_types", """select pair_id, pkg_path, root, not bool_or(type_differs) as corresponds, case when bool_or(type_differs)
  then array_to_string(list_filter([case when bool_or(type_differs and starts_with(path, '0')) then 'params' end, case when bool_or(type_differs and starts_with(path, '1')) then 'returns' end,
  case when bool_or(type_differs and path = '') then 'variadic' end], lambda x: x is not null), '|') end as type_cause
