@@ -22,12 +22,9 @@ from apidrift.llm.common import slices, split_words
 from apidrift.llm.labelled import labelled_sample
 from apidrift.llm.linear import Sparse, fit_linear, sigmoid
 
-#: The label table has one column of toxicity. Words that name the finer categories among its toxic rows (fixed values).
-CATEGORY_WORDS = {
-    "insult": ("clown", "fool", "idiot", "loser", "moron", "stupid"),
-    "contempt": ("disgusting", "garbage", "pathetic", "scum", "trash", "worthless"),
-}
-CHAIN = ("insult", "contempt", "toxic")
+#: The label table has one column of toxicity. The finer categories are two kinds of toxic texts, told apart in training
+#: by which of their telling words go together.
+CHAIN = ("first_kind", "second_kind", "toxic")
 SAMPLE_ROWS = 2500
 FOLDS = 5
 THRESHOLD = 0.5
@@ -91,6 +88,27 @@ def _telling(rows: Sparse, label: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero((all_texts >= MIN_TEXTS) & (with_label >= MIN_SHARE * ones) & (lead > MIN_ERRORS * error))
 
 
+def kinds_of(rows: Sparse, toxic: np.ndarray, width: int) -> np.ndarray:
+    """Two columns: which toxic texts hold a telling word of the first and of the second kind; a text may be of both.
+
+    Telling words are split by the sign of the second eigenvector of their cosines over the toxic texts (the first one
+    only tells how frequent they are), so words that stand in the same texts are of one kind. The word with the largest
+    part counts as of the first kind.
+    """
+    chosen = _telling(rows, toxic, width)
+    if len(chosen) < 2:
+        return np.zeros((rows.n_rows, 2), bool)
+    place = np.full(width, -1)
+    place[chosen] = np.arange(len(chosen))
+    hit = (place[rows.column] >= 0) & toxic[rows.owner]
+    holds = np.zeros((rows.n_rows, len(chosen)))
+    holds[rows.owner[hit], place[rows.column[hit]]] = 1
+    unit = holds / np.sqrt(holds.sum(axis=0))
+    part = np.linalg.eigh(unit.T @ unit)[1][:, -2]
+    first = part * np.sign(part[np.argmax(np.abs(part))]) > 0
+    return np.column_stack([holds[:, first].any(axis=1), holds[:, ~first].any(axis=1)])
+
+
 def _fit_link(rows: Sparse, names: np.ndarray, label: np.ndarray, before: np.ndarray) -> Link:
     chosen = _telling(rows, label, len(names))
     place = np.full(len(names), -1)
@@ -175,7 +193,6 @@ def _unlike_earlier(texts) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[Link]:
     """The chain from at most ``rows`` labelled documents; without any, models of no words."""
-    names = {c: {zlib.crc32(w.encode()) for w in words} for c, words in CATEGORY_WORDS.items()}
 
     def run(batches):
         for batch in slices(batches, "text"):
@@ -194,9 +211,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[Lin
     columns, column = np.unique(np.concatenate([np.zeros(0, np.int64), *found["words"]]).astype(np.int64), return_inverse=True)
     owner = np.repeat(np.arange(len(found)), lengths)
     toxic = found["toxic"].to_numpy(np.int64) == 1
-    has = {c: np.bincount(owner, np.isin(columns, list(h))[column], len(found)) > 0 for c, h in names.items()}
-    targets = np.column_stack([toxic & has[c] if c in has else toxic for c in CHAIN])
-    return fit_chain(Sparse(owner, column, np.ones(len(column)), len(found)), columns, targets)
+    features = Sparse(owner, column, np.ones(len(column)), len(found))
+    return fit_chain(features, columns, np.column_stack([kinds_of(features, toxic, len(columns)), toxic]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

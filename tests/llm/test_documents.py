@@ -93,6 +93,17 @@ def test_toxicity_on_held_out_labels(spark):
     assert all(0 <= r[f"p_{c}"] <= 1 for r in rows for c in toxicity.CHAIN)
 
 
+def test_kinds_are_words_that_go_together():
+    """Four telling words in two pairs; a text of both pairs is of both kinds, toxic texts without them are of none."""
+    texts = [(0, 1)] * 30 + [(2, 3)] * 20 + [(0, 3)] * 3 + [(9,)] * 5 + [(5, 6)] * 300
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    rows = toxicity.Sparse(owner, np.array([w for t in texts for w in t]), np.ones(len(owner)), len(texts))
+    kinds = toxicity.kinds_of(rows, np.arange(len(texts)) < 58, 10)
+    assert sorted([kinds[0].tolist(), kinds[30].tolist()]) == [[False, True], [True, False]]
+    assert (kinds[:30] == kinds[0]).all() and (kinds[30:50] == kinds[30]).all() and kinds[50:53].all() and not kinds[53:].any()
+    assert not toxicity.kinds_of(rows, np.zeros(len(texts), bool), 10).any()
+
+
 def test_toxicity_of_odd_rows(spark, docs_of, odd_rows):
     for labels in ([], [(1, 1, 1), (5, 1, 0), (2, 1, None), (None, 0, 1)]):
         rows = toxicity.toxicity(docs_of(odd_rows), labels_of(spark, labels)).collect()
