@@ -4,7 +4,7 @@ Matches of the fixed patterns (and long hexadecimal keys) are seeds. The one and
 patterns. A pattern is judged by all of its occurrences in the corpus: the share that is followed by something
 believed to be an identifier. Identifiers under trusted patterns are believed in turn, and the two scores are
 repeated over the graph of patterns and instances. Patterns of high confidence then mark identifiers that no fixed
-pattern knows.
+pattern knows. These count as known when candidates for patterns are looked for again, until no pattern is added.
 """
 
 from __future__ import annotations
@@ -219,36 +219,61 @@ def _occurrences(texts: DataFrame, bits: np.ndarray) -> DataFrame:
     return texts.mapInArrow(run, "pattern string, n bigint").groupBy("pattern").agg(F.sum("n").alias("total"))
 
 
-def trusted_contexts(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str]:
-    """(pattern): the patterns of high confidence in this corpus, with the folder of this intermediate.
+def _believed(edges: DataFrame, confidence: DataFrame, least: float) -> DataFrame:
+    """(value, found): how far identifiers under patterns of at least that confidence are believed."""
+    sure = confidence.filter(F.col("confidence") >= least).select("pattern", F.least("confidence", F.lit(0.999)).alias("confidence"))
+    together = (1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("found")
+    return edges.join(sure.hint("merge"), "pattern").groupBy("value").agg(together)
+
+
+def _confidence(edges: DataFrame) -> tuple[DataFrame, str]:
+    """(pattern, confidence) after ``ROUNDS`` over the graph, and the folder of this intermediate.
 
-    ``MIN_SUPPORT`` seeds are enough at every size. Candidates, totals and confidences are tables and meet by merge
-    joins on the pattern or the identifier. Patterns are unique on one side of each, so adaptive execution can split
-    the other side of a hot one.
+    ``known`` is how far an identifier was believed before: 1 for seeds.
     """
-    spark, texts = docs.sparkSession, docs.select(F.col(text_col).alias("text"))
-    graph, graph_path = written(_graph(texts), "patterns")
-    support = graph.filter("seed").groupBy("pattern").agg(F.count(F.lit(1)).alias("support"))
-    candidates, candidates_path = written(support.filter(F.col("support") >= MIN_SUPPORT).select("pattern"), "pattern-candidates")
-    total, total_path = written(_occurrences(texts, _filter(candidates)).join(candidates.hint("merge"), "pattern"), "pattern-totals")
-    edges, edges_path = written(graph.join(total.hint("merge"), "pattern"), "pattern-edges")
-    drop(spark, graph_path, candidates_path, total_path)
-    belief = F.col("seed").cast("double")
-    scored, confidence, path = edges.withColumn("belief", belief), None, None
+    belief, path = F.col("known"), None
+    scored = edges.withColumn("belief", belief)
     for _ in range(ROUNDS):
         before = path
         shares = scored.groupBy("pattern").agg((F.sum(F.col("n") * F.col("belief")) / F.max("total")).alias("confidence"))
         confidence, path = written(shares, "pattern-confidence")
         if before:
-            drop(spark, before)
-        trusted = confidence.filter(F.col("confidence") >= TRUSTED).select("pattern", F.least("confidence", F.lit(0.999)).alias("confidence"))
-        believed = edges.join(trusted.hint("merge"), "pattern").groupBy("value").agg(
-            (1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("found")
-        )
-        scored = edges.join(believed.hint("merge"), "value", "left").withColumn("belief", F.greatest(belief, F.coalesce("found", F.lit(0.0))))
-    accepted, accepted_path = written(confidence.filter(F.col("confidence") >= ACCEPTED).select("pattern"), "pattern-accepted")
-    drop(spark, edges_path, path)
-    return accepted, accepted_path
+            drop(edges.sparkSession, before)
+        scored = edges.join(_believed(edges, confidence, TRUSTED).hint("merge"), "value", "left").withColumn("belief", F.greatest(belief, F.coalesce("found", F.lit(0.0))))
+    return confidence, path
+
+
+def trusted_contexts(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str]:
+    """(pattern): the patterns of high confidence in this corpus, with the folder of this intermediate.
+
+    A pattern becomes a candidate with ``MIN_SUPPORT`` different known identifiers, at every size: seeds at first, then
+    what accepted patterns mark as well, believed as far as these are. Generations of candidates follow until one adds none; only the new ones are
+    counted in the texts. Candidates, totals and confidences are tables and meet by merge joins on the pattern or the
+    identifier. Patterns are unique on one side of each, so adaptive execution can split the other side of a hot one.
+    """
+    spark, texts = docs.sparkSession, docs.select(F.col(text_col).alias("text"))
+    graph, graph_path = written(_graph(texts), "patterns")
+    seeds = F.col("seed").cast("double")
+    nodes, totals, paths, accepted, accepted_path = graph.withColumn("known", seeds), None, [graph_path], None, None
+    while True:
+        support = nodes.filter("known > 0").groupBy("pattern").agg(F.count(F.lit(1)).alias("support"))
+        fresh = support.filter(F.col("support") >= MIN_SUPPORT).select("pattern")
+        if totals is not None:
+            fresh = fresh.join(totals.hint("merge"), "pattern", "left_anti")
+        fresh, fresh_path = written(fresh, "pattern-candidates")
+        if totals is not None and fresh.isEmpty():
+            drop(spark, fresh_path, *paths)
+            return accepted, accepted_path
+        total, total_path = written(_occurrences(texts, _filter(fresh)).join(fresh.hint("merge"), "pattern"), "pattern-totals")
+        totals = total if totals is None else totals.unionByName(total)
+        edges, edges_path = written(nodes.join(totals.hint("merge"), "pattern"), "pattern-edges")
+        confidence, confidence_path = _confidence(edges)
+        before = accepted_path
+        accepted, accepted_path = written(confidence.filter(F.col("confidence") >= ACCEPTED).select("pattern"), "pattern-accepted")
+        values, values_path = written(_believed(edges, confidence, ACCEPTED), "found-values")
+        drop(spark, fresh_path, edges_path, confidence_path, *([before] if before else []))
+        paths += [total_path, values_path]
+        nodes = graph.join(values.hint("merge"), "value", "left").withColumn("known", F.greatest(seeds, F.coalesce("found", F.lit(0.0)))).drop("found")
 
 
 def accepted_patterns(docs: DataFrame, text_col: str = "text") -> frozenset[str]:

@@ -186,6 +186,62 @@ def test_contexts_discover_unseen_identifiers(spark, docs_of, odd_rows):
     assert pii.personal_data(docs_of([])).collect() == [] == pii.mask_personal_data(docs_of([])).collect()
 
 
+def plain_contexts(texts):
+    """Accepted patterns of all generations, in plain dictionaries."""
+    graph, totals = Counter(), Counter()
+    for text in texts:
+        for start, end, seed, patterns in pii.mentions(text, pii.base_spans(text)):
+            graph.update((p, text[start:end], seed) for p in patterns)
+        words = [pii._named(w) for w in text.split()]
+        totals.update(words[:-1])
+        totals.update(" ".join(w) for w in zip(words[:-2], words[1:-1]))
+    edges = {(p, v): (n, seed) for (p, v, seed), n in graph.items()}
+    assert len(edges) == len(graph)
+    found, counted, accepted = {}, set(), set()
+
+    def believed(confidence, inside, least):
+        doubt = {}
+        for p, v in inside:
+            if confidence[p] >= least:
+                doubt[v] = doubt.get(v, 1.0) * (1 - min(confidence[p], 0.999))
+        return {v: 1 - d for v, d in doubt.items()}
+
+    while True:
+        known = {(p, v): max(float(seed), found.get(v, 0.0)) for (p, v), (_, seed) in edges.items()}
+        support = Counter(p for (p, _), b in known.items() if b > 0)
+        fresh = {p for p, n in support.items() if n >= pii.MIN_SUPPORT} - counted
+        if not fresh:
+            return accepted
+        counted |= fresh
+        inside = [e for e in edges if e[0] in counted]
+        belief = {e: known[e] for e in inside}
+        for _ in range(pii.ROUNDS):
+            mass = Counter()
+            for p, v in inside:
+                mass[p] += edges[p, v][0] * belief[p, v]
+            confidence = {p: mass[p] / totals[p] for p in counted}
+            marked = believed(confidence, inside, pii.TRUSTED)
+            belief = {(p, v): max(known[p, v], marked.get(v, 0.0)) for p, v in inside}
+        accepted = {p for p, c in confidence.items() if c >= pii.ACCEPTED}
+        found = believed(confidence, inside, pii.ACCEPTED)
+
+
+def test_found_identifiers_seed_patterns(spark, docs_of):
+    """Account numbers found under "account no" make "pass" a pattern, and what stands there "locker" in turn."""
+    cards = [n for n in (f"41111111{i:08d}" for i in range(400)) if luhn(n)][:20]
+    texts = [f"Please note: account no {c} was opened." for c in cards]
+    texts += [f"The account no AB-778{i} was closed." for i in range(4)] + [f"Show your pass AB-778{i} here." for i in range(4)]
+    texts += ["Show your pass QX-90001 here.", "Show your pass QX-90002 here."]
+    texts += [f"Key of locker {v} is lost." for v in ("AB-7780", "AB-7781", "QX-90001", "QX-90002", "ZZ-55555")]
+    texts += [f"The year {10000 + i} was good." for i in range(9)] + ["The year AB-7780 was odd."]
+    docs = docs_of(list(enumerate(texts)))
+    accepted = pii.accepted_patterns(docs)
+    assert accepted == plain_contexts(texts)
+    assert {"account no", "your pass", "of locker"} <= accepted and "year" not in accepted
+    rows = {r.doc_id: r.spans for r in pii.personal_data(docs).collect()}
+    assert rows[texts.index("Key of locker ZZ-55555 is lost.")] == "context:14:22"
+
+
 @pytest.mark.parametrize("gap", [" " * 1000, " \n\t" * 300])
 def test_context_words_far_away(gap):
     found = lambda text: [(text[s:e], p) for s, e, _, p in pii.mentions(text, pii.base_spans(text))]
